@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -45,6 +45,25 @@ def by_batch(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
                 yield int(bid[i]), table.slice(i, j - i)
 
 
+def batches(rows: DataFrame) -> GroupedData:
+    """The rows by batch, each batch in one or two compressed values: texts are shuffled once for each pass."""
+
+    def pack(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bid, table in by_batch(tables):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(table)
+            yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bid", "rows"])
+
+    return rows.mapInArrow(pack, "bid long, rows binary").groupBy("bid")
+
+
+def unpacked(left: pa.Table) -> pa.Table | None:
+    """The rows of a batch (None if it has none)."""
+    found = [pa.ipc.open_stream(x).read_all() for x in bodies(left, "rows")]
+    return pa.concat_tables(found) if found else None
+
+
 def send(bid: int, kind: int, hashes: np.ndarray, n: int, body: Callable[[np.ndarray], bytes], tail: Callable[[np.ndarray], bytes] | None = None) -> pa.RecordBatch:
     """One row for each bucket; body and tail pack the chosen positions of hashes."""
     bucket = ((hashes >> T.U(40)) % T.U(n)).astype(np.uint32)
@@ -57,6 +76,10 @@ def send(bid: int, kind: int, hashes: np.ndarray, n: int, body: Callable[[np.nda
     )
 
 
+def nothing() -> pa.Table:
+    return pa.table({k: pa.array([], t) for k, t in (("bid", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary()), ("tail", pa.binary()))})
+
+
 def ask(sent: DataFrame, answer: Callable[[pa.Table], list[bytes | None]]) -> DataFrame:
     """Gives each bucket to answer, which returns a value for each of its rows (None: nothing to say)."""
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .lm_score import lm_scores
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -22,5 +24,42 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_suffix_dedup, op9_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target model is that of the rows labelled as good; the background model that of all rows."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    scored = lm_scores(table(spark, sf_dir, "documents"), good)
+    return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_lm_score, op6_suffix_dedup, op9_substring_dedup)}
+ORACLE_SQL: dict[str, str] = {
+    "op10_lm_score": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS own
+  FROM documents),
+ends AS (SELECT doc_id, own, len(w) AS n, list_append(w, '') AS w FROM d WHERE len(w) > 0),
+tok AS (SELECT doc_id, own, n, w[i] AS word, CASE WHEN i = 1 THEN '' ELSE w[i - 1] END AS prev
+        FROM (SELECT *, unnest(range(1, n + 2)) AS i FROM ends)),
+pairs AS (SELECT prev, word, count(*) AS b, count(*) FILTER (WHERE own) AS t FROM tok GROUP BY ALL),
+singles AS (SELECT word, count(*) AS b, count(*) FILTER (WHERE own) AS t FROM tok GROUP BY ALL),
+everything AS (SELECT count(*) AS b, count(*) FILTER (WHERE own) AS t FROM tok),
+mine2 AS (SELECT doc_id, own, n, prev, word, count(*) AS c FROM tok GROUP BY ALL),
+mine1 AS (SELECT doc_id, word, count(*) AS c FROM tok GROUP BY ALL),
+counts AS (
+  SELECT m.doc_id, m.n, m.c,
+         p.b - m.c AS b2, v.b - coalesce(o.c, 0) AS bv, s.b - u.c AS b1, e.b - (m.n + 1) AS b0,
+         p.t - m.c * m.own::INT AS t2, v.t - coalesce(o.c, 0) * m.own::INT AS tv, s.t - u.c * m.own::INT AS t1, e.t - (m.n + 1) * m.own::INT AS t0
+  FROM mine2 m JOIN pairs p ON p.prev = m.prev AND p.word = m.word
+  JOIN singles v ON v.word = m.prev JOIN singles s ON s.word = m.word
+  JOIN mine1 u ON u.doc_id = m.doc_id AND u.word = m.word
+  LEFT JOIN mine1 o ON o.doc_id = m.doc_id AND o.word = m.prev CROSS JOIN everything e),
+probs AS (
+  SELECT doc_id, n, c,
+    (CASE WHEN bv > 0 THEN 0.7e0 ELSE 0e0 END) * b2 / greatest(bv, 1) + (1e0 - CASE WHEN bv > 0 THEN 0.7e0 ELSE 0e0 END) * (0.95e0 * b1 / greatest(b0, 1) + 0.05e0 / 1048576) AS pb,
+    (CASE WHEN tv > 0 THEN 0.7e0 ELSE 0e0 END) * t2 / greatest(tv, 1) + (1e0 - CASE WHEN tv > 0 THEN 0.7e0 ELSE 0e0 END) * (0.95e0 * t1 / greatest(t0, 1) + 0.05e0 / 1048576) AS pt
+  FROM counts),
+losses AS (SELECT doc_id, n, sum(-ln(pt) * c) / (n + 1) AS lt, sum(-ln(pb) * c) / (n + 1) AS lb FROM probs GROUP BY doc_id, n)
+SELECT d.doc_id, len(d.w) AS n_words, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lb - lt, 6) AS score
+FROM d LEFT JOIN losses USING (doc_id)""",
+}

@@ -139,8 +139,9 @@ def suffix_dedup(docs: DataFrame, width: int = 400, spread: int = 256, text: str
     refined = P.ask(rows.select("bid", "text").mapInArrow(initial, P.SENT), _refine)
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("bid", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary()), ("tail", pa.binary()))})
+        left = P.unpacked(left)
+        if left is None or not right.num_rows:
+            return P.nothing()
         bid, known = left.column("bid")[0].as_py(), _states(right)
         data, offs = T.buffers(left.column("text"))
         a, b = [], []
@@ -161,11 +162,12 @@ def suffix_dedup(docs: DataFrame, width: int = 400, spread: int = 256, text: str
             out.append(P.send(bid, 1, x["a"], n, lambda p: x[p].tobytes(), lambda p: twice[p].tobytes()))
         return pa.Table.from_batches(out)
 
-    sent = rows.select("bid", "text").groupBy("bid").cogroup(refined.groupBy("bid")).applyInArrow(windows, P.SENT)
+    sent = P.batches(rows.select("bid", "text")).cogroup(refined.groupBy("bid")).applyInArrow(windows, P.SENT)
     repeated = P.ask(sent, _compare)
     kind = to_arrow_type(rows.schema["id"].dataType)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = P.unpacked(left)
         first = pa.compute.equal(right.column("kind"), 0)
         known = _states(right.filter(first))
         back = np.frombuffer(b"".join(P.bodies(right.filter(pa.compute.invert(first)))), P.WIDE)
@@ -196,5 +198,5 @@ def suffix_dedup(docs: DataFrame, width: int = 400, spread: int = 256, text: str
         return pa.table({"id": left.column("id").cast(kind), "kept": pa.array(kept, pa.binary()), "n_bytes": pa.array(np.diff(offs), pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = rows.select("bid", "id", "text").groupBy("bid").cogroup(repeated.groupBy("bid")).applyInArrow(remove, schema)
+    out = P.batches(rows.select("bid", "id", "text")).cogroup(repeated.groupBy("bid")).applyInArrow(remove, schema)
     return out.withColumnRenamed("id", key)
