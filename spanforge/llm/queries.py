@@ -7,15 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import new_folder
+from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
+from .mixing import mix_sources
+from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
+from .warc import read_warc, write_warc
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    weights = (F.round(c, 6).alias(c.removeprefix("mix_")) for c in ("mix_weight", "mix_rate"))
+    return mixed.select("doc_id", "source", "lang", "topic", F.col("mix_tokens").alias("tokens"), *weights, F.col("mix_copies").alias("copies"))
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("n_bytes", "n_chunks")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as archives in the shared folder and reads them back in byte ranges."""
+    folder = new_folder(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), folder).write.format("noop").mode("overwrite").save()
+    records = read_warc(spark, folder, split_bytes=4 << 20, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -31,8 +60,45 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_lm_score, op6_suffix_dedup, op9_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op10_lm_score, op8_sharding, op6_suffix_dedup, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+m AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM d),
+bits AS (SELECT page_id, n, first, list_aggregate(list_transform(range(1, 41), lambda i: lpad(bin(('0x' || substr(h, i::INT, 1))::INT), 4, '0')), 'string_agg', '') AS bits FROM m)
+SELECT page_id, n AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_sum(list_transform(range(0, 5), lambda j: substr(bits, (5 * i + j + 1)::INT, 1)::INT * (1 << (4 - j)::INT)))::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits""",
+    "op2_exact_dedup": """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)""",
+    "op1_mixing": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang,
+    CASE WHEN contains(text, 'icensed under') THEN 'licence' WHEN contains(text, ' | ') THEN 'table'
+         WHEN contains(text, 'http') THEN 'link' WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END AS topic,
+    CASE WHEN length(text) > 0 THEN 2 * length(text) - length(replace(text, ' ', '')) - length(replace(text, chr(10), '')) + 1 ELSE 0 END::BIGINT AS tokens
+  FROM documents),
+cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+s AS (SELECT source, pow(sum(tokens), 0.7) AS w FROM cells GROUP BY source),
+l AS (SELECT lang, pow(sum(tokens), 0.7) AS w FROM cells GROUP BY lang),
+t AS (SELECT topic, pow(sum(tokens), 0.7) AS w FROM cells GROUP BY topic),
+base AS (SELECT c.*, s.w / (SELECT sum(w) FROM s) AS ts, l.w / (SELECT sum(w) FROM l) AS tl, t.w / (SELECT sum(w) FROM t) AS tt
+         FROM cells c JOIN s USING (source) JOIN l USING (lang) JOIN t USING (topic)),
+fit AS (
+  SELECT 0 AS k, source, lang, topic, tokens, ts, tl, tt, tokens / (SELECT sum(tokens) FROM cells) AS w FROM base
+  UNION ALL
+  SELECT k + 1, source, lang, topic, tokens, ts, tl, tt, w * tt / sum(w) OVER (PARTITION BY topic) FROM (
+    SELECT * REPLACE (w * tl / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+      SELECT * REPLACE (w * ts / sum(w) OVER (PARTITION BY source) AS w) FROM fit WHERE k < 40))),
+r AS (SELECT source, lang, topic, w, w / (tokens / (SELECT sum(tokens) FROM cells)) AS rate FROM fit WHERE k = 40)
+SELECT doc_id, source, lang, topic, tokens, round(w, 6) AS weight, round(rate, 6) AS rate,
+  (floor(rate) + CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT / 281474976710656.0 < rate - floor(rate) THEN 1 ELSE 0 END)::INT AS copies
+FROM d JOIN r USING (source, lang, topic)""",
     "op10_lm_score": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
