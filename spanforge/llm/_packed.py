@@ -51,7 +51,7 @@ def batches(rows: DataFrame) -> GroupedData:
     def pack(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bid, table in by_batch(tables):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
                 out.write_batch(table)
             yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bid", "rows"])
 
@@ -126,7 +126,10 @@ def wide_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_wide(table: pa.Table) -> list[bytes | None]:
-    """answer() for rows of unique 96-bit hashes (body) and whether the batch has each twice (tail): those with two sightings."""
+    """answer() for rows of unique 96-bit hashes (body) and whether the batch has each twice (tail).
+
+    Those with two sightings go back by their first 64 bits, enough to tell the hashes of one batch apart.
+    """
     raw = [np.frombuffer(b, WIDE) for b in bodies(table)]
     sizes = np.array([len(r) for r in raw])
     x = np.concatenate(raw)
@@ -137,7 +140,7 @@ def repeated_wide(table: pa.Table) -> list[bytes | None]:
     hit[order] = seen[run] >= 2
     out, at = [], 0
     for r, n in zip(raw, sizes, strict=True):
-        out.append(r[hit[at : at + n]].tobytes() or None)
+        out.append(np.ascontiguousarray(r["a"][hit[at : at + n]]).tobytes() or None)
         at += n
     return out
 
@@ -151,18 +154,3 @@ def unique_wide(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.bincount(run)
     first = np.concatenate([[0], np.cumsum(n)[:-1]])
     return x[order[first]], (n > 1).astype(np.uint8)
-
-
-def in_wide(back: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the hashes are among the records that came back."""
-    back = np.unique(back)
-    at = np.searchsorted(back["a"], a)
-    hit, x = np.zeros(len(a), bool), (b >> T.U(32)).astype(np.uint32)
-    todo = np.flatnonzero(at < len(back))
-    while len(todo):  # more than one step only where two records share their first 64 bits
-        same = back["a"][at[todo]] == a[todo]
-        todo = todo[same]
-        hit[todo] |= back["b"][at[todo]] == x[todo]
-        at[todo] += 1
-        todo = todo[~hit[todo] & (at[todo] < len(back))]
-    return hit

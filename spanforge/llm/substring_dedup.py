@@ -83,8 +83,9 @@ def substring_dedup(docs: DataFrame, width: int = 35, text: str = "text", key: s
     hits = P.ask(rows.select("bid", "text").mapInArrow(probe, P.SENT), _hits)
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({k: pa.array([], t) for k, t in (("bid", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary()), ("tail", pa.binary()))})
+        left = P.unpacked(left)
+        if left is None or not right.num_rows:
+            return P.nothing()
         back = np.unique(P.from_low5(b"".join(P.bodies(right))))
         data, offs = T.buffers(left.column("text"))
         a, b = [], []
@@ -104,11 +105,11 @@ def substring_dedup(docs: DataFrame, width: int = 35, text: str = "text", key: s
         x, twice = P.unique_wide(np.concatenate(a), np.concatenate(b))
         return pa.Table.from_batches([P.send(left.column("bid")[0].as_py(), 1, x["a"], n, lambda p: x[p].tobytes(), lambda p: twice[p].tobytes())])
 
-    batch = rows.select("bid", "text").groupBy("bid")
-    repeated = P.ask(batch.cogroup(hits.groupBy("bid")).applyInArrow(extend, P.SENT), P.repeated_wide)
+    repeated = P.ask(P.batches(rows.select("bid", "text")).cogroup(hits.groupBy("bid")).applyInArrow(extend, P.SENT), P.repeated_wide)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        back = np.frombuffer(b"".join(P.bodies(right)), P.WIDE)
+        left = P.unpacked(left)
+        back = np.unique(np.frombuffer(b"".join(P.bodies(right)), "<u8"))
         data, offs = T.buffers(left.column("text"))
         texts, total, gone, spans, sha = [], [], [], [], []
         for i, j in T.pieces(offs):
@@ -117,8 +118,8 @@ def substring_dedup(docs: DataFrame, width: int = 35, text: str = "text", key: s
             cover = np.zeros(len(s), bool)
             if len(back):
                 at = T.windows(begin, width)
-                x = [T.span_hash(T.prefix(T.word_hashes(d, s, e, k)), at, at + width) for k in (1, 2)]
-                cover = T.spread(at[P.in_wide(back, *x)], width, len(s))
+                found = T.span_hash(T.prefix(T.word_hashes(d, s, e)), at, at + width)
+                cover = T.spread(at[T.member(back, found)], width, len(s))
             raw = d.tobytes()
             for k in range(j - i):
                 lo, hi = begin[k], begin[k + 1]
@@ -135,5 +136,5 @@ def substring_dedup(docs: DataFrame, width: int = 35, text: str = "text", key: s
 
     kind = to_arrow_type(rows.schema["id"].dataType)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, kept_text string, n_words long, n_removed long, n_spans long, kept_sha256 string"
-    out = rows.select("bid", "id", "text").groupBy("bid").cogroup(repeated.groupBy("bid")).applyInArrow(remove, schema)
+    out = P.batches(rows.select("bid", "id", "text")).cogroup(repeated.groupBy("bid")).applyInArrow(remove, schema)
     return out.withColumnRenamed("id", key)

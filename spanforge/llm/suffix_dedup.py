@@ -170,7 +170,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, spread: int = 256, text: str
         left = P.unpacked(left)
         first = pa.compute.equal(right.column("kind"), 0)
         known = _states(right.filter(first))
-        back = np.frombuffer(b"".join(P.bodies(right.filter(pa.compute.invert(first)))), P.WIDE)
+        back = np.unique(np.frombuffer(b"".join(P.bodies(right.filter(pa.compute.invert(first)))), "<u8"))
         data, offs = T.buffers(left.column("text"))
         kept, gone, spans, sha = [], [], [], []
         for i, j in T.pieces(offs):
@@ -184,7 +184,7 @@ def suffix_dedup(docs: DataFrame, width: int = 400, spread: int = 256, text: str
                 np.add.at(step, s.ends[done] + width, -1)
                 if len(back):
                     at = T.windows(o, width)
-                    at = at[P.in_wide(back, *(T.span_hash(x, at, at + width) for x in s.sums))]
+                    at = at[T.member(back, T.span_hash(s.sums[0], at, at + width))]
                     np.add.at(step, at, 1)
                     np.add.at(step, at + width, -1)
                 out = np.cumsum(step[:-1]) > 0
