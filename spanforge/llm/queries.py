@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import new_folder
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
 from .mixing import mix_sources
@@ -15,6 +16,7 @@ from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
+from .toxicity import toxicity
 from .warc import read_warc, write_warc
 
 
@@ -40,6 +42,21 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def held_out(key: Column) -> Column:
+    """The fold whose labels are never learnt from; null keys are in it."""
+    return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(True))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("place")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,7 +77,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op10_lm_score, op8_sharding, op6_suffix_dedup, op9_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_toxicity, op5_decontamination, op10_lm_score, op8_sharding, op6_suffix_dedup, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
 WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
