@@ -8,7 +8,9 @@ its own counts, so that being in the target does not by itself help it:
     p(w | v) = a * c(v, w) / c(v) + (1 - a) * ((1 - e) * c(w) / c() + e / VOCABULARY)
 
 where a = 0 if v was not seen. The score is the mean over the row's words and its end of
-log p_target - log p_background, in nats; higher means closer to the target.
+log p_target - log p_background, in nats; higher means closer to the target. Words and pairs are
+known by hashes of 40 bits and their bucket, so that of a hundred million pairs a few dozen share
+their counts with another.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from . import _text as T
 #: Words that the floor of the unigram model is spread over; a fixed size, so that counts can be gathered in one pass.
 VOCABULARY = 1 << 20
 ALL, WORD, PAIR = (T.U(k) for k in (0x11, 0x33, 0x44))
-_COUNT = np.dtype([("gram", "<u8"), ("background", "<u4"), ("target", "<u4")])
 _EDGE = T.U(0x5DEECE66D)
 
 
@@ -40,38 +41,47 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return T.mix(h ^ WORD), T.mix(before ^ WORD), T.mix(T.mix(before + PAIR) ^ h), size + (size > 0)
 
 
-def _escaped(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in one byte: positions to repeat, and the parts, which add up to each count."""
-    many = np.maximum(-(-n // 255), 1)
+def _nibbles(n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two counts in a byte: positions to repeat, and bytes whose halves add up to n and own."""
+    many = np.maximum(-(-n // 15), 1)  # own is never above n
     at = np.repeat(np.arange(len(n)), many)
-    part = np.full(len(at), 255, np.int64)
-    part[np.cumsum(many) - 1] = n - 255 * (many - 1)
-    return at, part.astype(np.uint8)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+    return at, (np.clip(n[at] - 15 * nth, 0, 15) | np.clip(own[at] - 15 * nth, 0, 15) << 4).astype(np.uint8)
+
+
+def _known(bucket: int, names: np.ndarray, total: np.ndarray, target: np.ndarray) -> bytes | None:
+    """Names and counts one array after another: high bytes, mostly zero, stand together."""
+    planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T) for x in (total, target)]
+    return b"".join([bucket.to_bytes(4, "little"), P.low5(names), *(x.tobytes() for x in planes)]) if len(names) else None
+
+
+def _learn(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = (len(raw) - 4) // 13
+    names = P.from_low5(raw[4 : 4 + 5 * n]) | T.U(int.from_bytes(raw[:4], "little") << 40)
+    planes = np.frombuffer(raw[4 + 5 * n :], np.uint8).reshape(2, 4, n)
+    total, target = (np.ascontiguousarray(x.T).view("<u4").reshape(-1).astype(float) for x in planes)
+    return names, total, target
 
 
 def _add_up(table: pa.Table) -> list[bytes | None]:
     """Sums the counts of each gram; answers each batch with those it can't know itself (seen more than once)."""
-    raw = [np.frombuffer(b, "<u8") for b in P.bodies(table)]
-    kind = table.column("kind").to_numpy()
-    n = np.frombuffer(b"".join(P.bodies(table, "tail")), np.uint8).astype(float)
+    raw = [P.from_low5(b) for b in P.bodies(table)]
+    tail = np.frombuffer(b"".join(P.bodies(table, "tail")), np.uint8)
     x = np.concatenate(raw)
-    own = np.repeat(kind, [len(r) for r in raw]) == 1
     order = np.argsort(x, kind="stable")
     y = x[order]
     new = np.ones(len(y), bool)
     new[1:] = y[1:] != y[:-1]
-    run = np.cumsum(new) - 1
-    total, target = np.bincount(run, weights=(n * ~own)[order]), np.bincount(run, weights=(n * own)[order])
+    run, names = np.cumsum(new) - 1, y[new]
+    total, target = (np.bincount(run, weights=n[order]) for n in (tail & 15, tail >> 4))
     back = np.empty(len(x), np.int64)
     back[order] = run
     out, at = [], 0
-    for r, k in zip(raw, kind.tolist(), strict=True):
+    for r, bucket in zip(raw, table.column("bucket").to_pylist(), strict=True):
         g = back[at : at + len(r)]
         at += len(r)
         g = np.unique(g[total[g] > 1])
-        found = np.empty(len(g), _COUNT)
-        found["gram"], found["background"], found["target"] = y[new][g], np.minimum(total[g], 2**32 - 1), np.minimum(target[g], 2**32 - 1)
-        out.append(found.tobytes() or None if k == 0 else None)
+        out.append(_known(bucket, names[g], np.minimum(total[g], 2**32 - 1), np.minimum(target[g], 2**32 - 1)))
     return out
 
 
@@ -97,18 +107,16 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
         if left is not None:
             data, offs = T.buffers(left.column("text"))
             mine = owned(left.column("uid"), right.column("uids")[0].as_py() if right.num_rows else [])
-            found: dict[int, list] = {0: [], 1: []}
+            found, whose = [], []
             for i, j in T.pieces(offs):
                 word, _, pair, size = grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                own = np.repeat(mine[i:j], size)
-                for kind, keep in ((0, slice(None)), (1, own)):
-                    found[kind] += [word[keep], pair[keep], np.full(len(word[keep]), ALL)]
-            for kind, parts in found.items():
-                h, seen = np.unique(np.concatenate(parts), return_counts=True)
-                if len(h):
-                    at, part = _escaped(seen)
-                    h = h[at]
-                    out.append(P.send(left.column("bid")[0].as_py(), kind, h, n, lambda p, h=h: h[p].tobytes(), lambda p, part=part: part[p].tobytes()))
+                found += [word, pair, np.full(len(word), ALL)]
+                whose += [np.repeat(mine[i:j], size)] * 3
+            h, inverse, seen = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            if len(h):
+                at, part = _nibbles(seen, np.bincount(inverse, weights=np.concatenate(whose)).astype(np.int64))
+                h = h[at]
+                out.append(P.send(left.column("bid")[0].as_py(), 0, h, n, lambda p: P.low5(h[p]), lambda p: part[p].tobytes()))
         return pa.Table.from_batches(out) if out else P.nothing()
 
     counts = P.ask(P.batches(rows.select("uid", "bid", "text")).cogroup(marks.groupBy("bid")).applyInArrow(count, P.SENT), _add_up)
@@ -117,9 +125,10 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         left = P.unpacked(left)
         uids = [u for x in right.column("uids").to_pylist() if x for u in x]
-        known = np.concatenate([np.frombuffer(b, _COUNT) for b in P.bodies(right) if b] or [np.empty(0, _COUNT)])
-        known = known[np.argsort(known["gram"], kind="stable")]
-        names, back, front = known["gram"].copy(), known["background"].astype(float), known["target"].astype(float)
+        learnt = [_learn(b) for b in P.bodies(right) if b]
+        names, back, front = (np.concatenate(x) for x in zip(*learnt, strict=True)) if learnt else (np.zeros(0, T.U), np.zeros(0), np.zeros(0))
+        order = np.argsort(names, kind="stable")
+        names, back, front = names[order], back[order], front[order]
         data, offs = T.buffers(left.column("text"))
         own_row = owned(left.column("uid"), uids).astype(float)
         words, losses = [np.zeros(0, np.int64)], [np.zeros((2, 0))]
@@ -127,6 +136,7 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
         def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(names):
                 return np.zeros(len(h)), np.zeros(len(h))
+            h = h & T.U((1 << 40) - 1) | (h >> T.U(40)) % T.U(n) << T.U(40)  # as low5() and the bucket have it
             at = np.minimum(np.searchsorted(names, h), len(names) - 1)
             hit = names[at] == h
             return np.where(hit, back[at], 0.0), np.where(hit, front[at], 0.0)
