@@ -64,11 +64,15 @@ def unpacked(left: pa.Table) -> pa.Table | None:
     return pa.concat_tables(found) if found else None
 
 
+def by_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The order of buckets, in which hashes of one bucket keep theirs."""
+    return np.argsort(((hashes >> T.U(40)) % T.U(n)).astype(np.uint32), kind="stable")
+
+
 def send(bid: int, kind: int, hashes: np.ndarray, n: int, body: Callable[[np.ndarray], bytes], tail: Callable[[np.ndarray], bytes] | None = None) -> pa.RecordBatch:
     """One row for each bucket; body and tail pack the chosen positions of hashes."""
-    bucket = ((hashes >> T.U(40)) % T.U(n)).astype(np.uint32)
-    order = np.argsort(bucket, kind="stable")
-    found, first = np.unique(bucket[order], return_index=True)
+    order = by_bucket(hashes, n)
+    found, first = np.unique((hashes[order] >> T.U(40)) % T.U(n), return_index=True)
     parts = np.split(order, first[1:]) if len(order) else []
     return pa.RecordBatch.from_arrays(
         [pa.array([bid] * len(found), pa.int64()), pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), pa.array([body(p) for p in parts], pa.binary()), pa.array([tail(p) if tail else b"" for p in parts], pa.binary())],

@@ -49,22 +49,8 @@ def _nibbles(n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (np.clip(n[at] - 15 * nth, 0, 15) | np.clip(own[at] - 15 * nth, 0, 15) << 4).astype(np.uint8)
 
 
-def _known(bucket: int, names: np.ndarray, total: np.ndarray, target: np.ndarray) -> bytes | None:
-    """Names and counts one array after another: high bytes, mostly zero, stand together."""
-    planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T) for x in (total, target)]
-    return b"".join([bucket.to_bytes(4, "little"), P.low5(names), *(x.tobytes() for x in planes)]) if len(names) else None
-
-
-def _learn(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = (len(raw) - 4) // 13
-    names = P.from_low5(raw[4 : 4 + 5 * n]) | T.U(int.from_bytes(raw[:4], "little") << 40)
-    planes = np.frombuffer(raw[4 + 5 * n :], np.uint8).reshape(2, 4, n)
-    total, target = (np.ascontiguousarray(x.T).view("<u4").reshape(-1).astype(float) for x in planes)
-    return names, total, target
-
-
 def _add_up(table: pa.Table) -> list[bytes | None]:
-    """Sums the counts of each gram; answers each batch with those it can't know itself (seen more than once)."""
+    """Sums the counts of each gram; answers each batch with both counts of each of its grams, in its order."""
     raw = [P.from_low5(b) for b in P.bodies(table)]
     tail = np.frombuffer(b"".join(P.bodies(table, "tail")), np.uint8)
     x = np.concatenate(raw)
@@ -72,19 +58,40 @@ def _add_up(table: pa.Table) -> list[bytes | None]:
     y = x[order]
     new = np.ones(len(y), bool)
     new[1:] = y[1:] != y[:-1]
-    run, names = np.cumsum(new) - 1, y[new]
-    total, target = (np.bincount(run, weights=n[order]) for n in (tail & 15, tail >> 4))
+    run = np.cumsum(new) - 1
+    sums = [np.minimum(np.bincount(run, weights=n[order]), 2**32 - 1).astype("<u4") for n in (tail & 15, tail >> 4)]
     back = np.empty(len(x), np.int64)
     back[order] = run
     out, at = [], 0
     for r, bucket in zip(raw, table.column("bucket").to_pylist(), strict=True):
         g = back[at : at + len(r)]
         at += len(r)
-        g = np.unique(g[total[g] > 1])
-        out.append(_known(bucket, names[g], np.minimum(total[g], 2**32 - 1), np.minimum(target[g], 2**32 - 1)))
+        # byte by byte: the high bytes, mostly zero, stand together and shrink to nothing
+        planes = [np.ascontiguousarray(n[g].view(np.uint8).reshape(-1, 4).T).tobytes() for n in sums]
+        out.append(b"".join([bucket.to_bytes(4, "little"), *planes]))
     return out
 
 
+def _sums(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What _add_up() says of a batch, bucket by bucket."""
+    bodies = sorted(bodies, key=lambda b: int.from_bytes(b[:4], "little"))
+    planes = [np.frombuffer(b, np.uint8, offset=4).reshape(2, 4, -1) for b in bodies] or [np.zeros((2, 4, 0), np.uint8)]
+    both = np.concatenate(planes, axis=2)
+    return tuple(np.ascontiguousarray(x.T).view("<u4").reshape(-1).astype(float) for x in both)
+
+
+def _batch_grams(data: np.ndarray, offs: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a batch in order, those with large counts several times, and their counts as _nibbles() packs them."""
+    found, whose = [np.zeros(0, T.U)], [np.zeros(0, bool)]
+    for i, j in T.pieces(offs):
+        word, _, pair, size = grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        found += [word, pair, np.full(len(word), ALL)]
+        whose += [np.repeat(mine[i:j], size)] * 3
+    h, inverse, seen = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    at, part = _nibbles(seen, np.bincount(inverse, weights=np.concatenate(whose), minlength=len(h)).astype(np.int64))
+    return h[at], part
+
+
 def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: float = 0.05, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Scores every row; target has the keys of the rows that make up the target model.
 
@@ -102,22 +109,12 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
         return np.isin(uid.to_numpy(), np.array(uids, np.int64))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
         left = P.unpacked(left)
-        if left is not None:
-            data, offs = T.buffers(left.column("text"))
-            mine = owned(left.column("uid"), right.column("uids")[0].as_py() if right.num_rows else [])
-            found, whose = [], []
-            for i, j in T.pieces(offs):
-                word, _, pair, size = grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                found += [word, pair, np.full(len(word), ALL)]
-                whose += [np.repeat(mine[i:j], size)] * 3
-            h, inverse, seen = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-            if len(h):
-                at, part = _nibbles(seen, np.bincount(inverse, weights=np.concatenate(whose)).astype(np.int64))
-                h = h[at]
-                out.append(P.send(left.column("bid")[0].as_py(), 0, h, n, lambda p: P.low5(h[p]), lambda p: part[p].tobytes()))
-        return pa.Table.from_batches(out) if out else P.nothing()
+        if left is None:
+            return P.nothing()
+        mine = owned(left.column("uid"), right.column("uids")[0].as_py() if right.num_rows else [])
+        h, part = _batch_grams(*T.buffers(left.column("text")), mine)
+        return pa.Table.from_batches([P.send(left.column("bid")[0].as_py(), 0, h, n, lambda p: P.low5(h[p]), lambda p: part[p].tobytes())])
 
     counts = P.ask(P.batches(rows.select("uid", "bid", "text")).cogroup(marks.groupBy("bid")).applyInArrow(count, P.SENT), _add_up)
     kind = to_arrow_type(rows.schema["id"].dataType)
@@ -125,21 +122,17 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         left = P.unpacked(left)
         uids = [u for x in right.column("uids").to_pylist() if x for u in x]
-        learnt = [_learn(b) for b in P.bodies(right) if b]
-        names, back, front = (np.concatenate(x) for x in zip(*learnt, strict=True)) if learnt else (np.zeros(0, T.U), np.zeros(0), np.zeros(0))
-        order = np.argsort(names, kind="stable")
-        names, back, front = names[order], back[order], front[order]
         data, offs = T.buffers(left.column("text"))
-        own_row = owned(left.column("uid"), uids).astype(float)
+        own_row = owned(left.column("uid"), uids)
+        names, _ = _batch_grams(data, offs, own_row)
+        back, front = np.empty(len(names)), np.empty(len(names))
+        order = P.by_bucket(names, n)
+        back[order], front[order] = _sums([b for b in P.bodies(right) if b])
         words, losses = [np.zeros(0, np.int64)], [np.zeros((2, 0))]
 
         def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(names):
-                return np.zeros(len(h)), np.zeros(len(h))
-            h = h & T.U((1 << 40) - 1) | (h >> T.U(40)) % T.U(n) << T.U(40)  # as low5() and the bucket have it
-            at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-            hit = names[at] == h
-            return np.where(hit, back[at], 0.0), np.where(hit, front[at], 0.0)
+            at = np.searchsorted(names, h)
+            return back[at], front[at]
 
         def own(h: np.ndarray, row: np.ndarray, also: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
             """How often each row has its grams itself; the same for the grams in also."""

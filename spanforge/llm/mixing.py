@@ -72,7 +72,7 @@ def mix_sources(
     docs: DataFrame,
     powers: Mapping[str, float] | None = None,
     targets: Mapping[str, DataFrame] | None = None,
-    budget: float = 1.0,
+    budget: float | None = 1.0,
     rounds: int = 40,
     text: str = "text",
     key: str = "doc_id",
@@ -82,7 +82,8 @@ def mix_sources(
     Token weights of (source, lang, topic) cells are raked to the margins' targets: those given, or
     else shares tempered by powers. mix_weight is the raked share of the row's cell; mix_rate, the
     expected number of copies, is budget * raked share / natural share, so that the expected tokens
-    are budget times those of the input, in the target mix. mix_copies is mix_rate rounded down or
+    are budget times those of the input, in the target mix; without a budget, it is the largest one
+    at which no row is wanted more than once. mix_copies is mix_rate rounded down or
     up by the row's draw, which depends on key and nothing else.
 
     Nulls of a margin are a value of their own, "". Empty and null texts have no tokens; they take
@@ -99,9 +100,10 @@ def mix_sources(
     cells = checkpointed(cells)
     goals = {m: (targets or {}).get(m) for m in MARGINS}
     raked = rake(cells, {m: tempered(cells, m, powers[m]) if goals[m] is None else goals[m] for m in MARGINS}, rounds)
-    natural = F.col("tokens") / F.sum("tokens").over(Window.partitionBy())
-    raked = raked.select(*(F.col(m).alias(f"mix_{m}") for m in MARGINS), F.col("weight").alias("mix_weight"), F.when(F.col("tokens") > 0, budget * F.col("weight") / natural).otherwise(0.0).alias("mix_rate"))
-    raked = checkpointed(raked)
+    gain = F.when(F.col("tokens") > 0, F.col("weight") * F.sum("tokens").over(Window.partitionBy()) / F.col("tokens")).otherwise(0.0)
+    raked = raked.withColumn("gain", gain)
+    rate = F.col("gain") / F.greatest(F.max("gain").over(Window.partitionBy()), F.lit(1e-300)) if budget is None else budget * F.col("gain")
+    raked = checkpointed(raked.select(*(F.col(m).alias(f"mix_{m}") for m in MARGINS), F.col("weight").alias("mix_weight"), rate.alias("mix_rate")))
     small = raked.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     out = rows.join(F.broadcast(raked) if small else raked, [f"mix_{m}" for m in MARGINS])
     whole = F.floor("mix_rate")

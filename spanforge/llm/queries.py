@@ -11,6 +11,7 @@ from ._shared import new_folder
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
+from .minhash import near_duplicates
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
 from .substring_dedup import substring_dedup
@@ -57,6 +58,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("place")
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -77,7 +82,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_toxicity, op5_decontamination, op10_lm_score, op8_sharding, op6_suffix_dedup, op9_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_toxicity, op5_decontamination, op10_lm_score, op8_sharding, op6_suffix_dedup, op7_minhash, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
 WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
