@@ -7,8 +7,9 @@ signatures agree in a register with the probability Jaccard similarity of the te
 
 1. Texts with equal words make one node. 2. Bands of registers give buckets; each node is paired
 with the first and the last node of its buckets. 3. The likeliest pairs by signature are verified on
-the shingles; verified links make classes. 4. In buckets that still hold several classes, all pairs
-across classes whose signatures are close are verified too, so that no link within a bucket is lost.
+the shingles; verified links make classes. 4. In buckets that still hold several classes, rows ask
+their likeliest partners of other classes, and at last all close pairs across classes are verified
+in place, so that no class that a link within a bucket would join stays apart.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -110,6 +111,12 @@ def _set(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _similar(x: bytes, y: bytes, similarity: float) -> bool:
+    least, most = sorted((len(x) // 5, len(y) // 5))
+    both = len(np.intersect1d(_set(x), _set(y), assume_unique=True)) if least >= similarity * most else 0
+    return both >= similarity * (least + most - both) - 1e-9
+
+
 def _registers(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, REGISTERS)
 
@@ -126,35 +133,84 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = []
-            for x, y in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), strict=True):
-                least, most = sorted((len(x) // 5, len(y) // 5))
-                both = len(np.intersect1d(_set(x), _set(y), assume_unique=True)) if least >= similarity * most else 0
-                keep.append(both >= similarity * (least + most - both) - 1e-9)
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([_similar(x, y, similarity) for x, y in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
 
     left, right = (sets.select(F.col("uid").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     return checkpointed(pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long"))
 
 
-def _across(batches: pa.Table) -> pa.Table:
-    """Close pairs of different classes in the same bucket, of the blocks i and j."""
-    t = batches.sort_by("key")
-    key, uid, label, block = (t.column(c).to_numpy() for c in ("key", "uid", "label", "block"))
-    i, j = (t.column(c).to_numpy() for c in ("i", "j"))
-    sign = _registers(t.column("sign").to_pylist())
-    edge = [0, *(np.flatnonzero(np.diff(key)) + 1), len(key)]
-    out = [np.zeros((2, 0), np.int64)]
+PAIRS = {"a": pa.int64(), "b": pa.int64()}
+
+
+def _buckets_in(table: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Each bucket's two blocks: the rows, and which of them are in the first and in the second block."""
+    t = table.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("uid", "ascending")])
+    key, i, j, block = (t.column(c).to_numpy() for c in ("key", "i", "j", "block"))
+    edge = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1), len(key)]
     for lo, hi in zip(edge, edge[1:], strict=False):
-        left, right = np.flatnonzero(block[lo:hi] == i[lo:hi]) + lo, np.flatnonzero(block[lo:hi] == j[lo:hi]) + lo
-        for x in left.tolist():
-            y = right[(label[right] != label[x]) & (uid[right] > uid[x] if i[x] == j[x] else True)]
-            if len(y):
-                y = y[(sign[y] == sign[x]).mean(1) >= CLOSE]
+        if hi > lo:
+            yield t.slice(lo, hi - lo), np.flatnonzero(block[lo:hi] == i[lo]), np.flatnonzero(block[lo:hi] == j[lo])
+
+
+def _close_across(part: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of the left block the rows of the right one in another class and with a close signature, and how close."""
+    label, sign = part.column("label").to_numpy(), _registers(part.column("sign").to_pylist())
+    own = part.column("i")[0] == part.column("j")[0]
+    for x in left.tolist():
+        y = right[right > x] if own else right
+        y = y[label[y] != label[x]]
+        if len(y):
+            same = (sign[y] == sign[x]).mean(1)
+            if (same >= CLOSE).any():
+                yield x, y[same >= CLOSE], same[same >= CLOSE]
+
+
+def _nearest(most: int):
+    """The `most` likeliest partners across classes of each row of a bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = [np.zeros((2, 0), np.int64)]
+        for part, left, right in _buckets_in(table):
+            uid = part.column("uid").to_numpy()
+            for x, y, same in _close_across(part, left, right):
+                y = y[np.argsort(-same, kind="stable")[:most]]
                 out.append(np.stack([np.minimum(uid[x], uid[y]), np.maximum(uid[x], uid[y])]))
-    a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.table({"a": pa.array(a, PAIRS["a"]), "b": pa.array(b, PAIRS["b"])})
+
+    return run
+
+
+def _still_open(table: pa.Table) -> pa.Table:
+    """The buckets with any close rows of different classes."""
+    keys = [part.column("key")[0].as_py() for part, left, right in _buckets_in(table) if next(_close_across(part, left, right), None) is not None]
+    return pa.table({"key": pa.array(keys, pa.int64())})
+
+
+def _every_link(similarity: float):
+    """Verifies all close rows of different classes of a bucket, but for classes that a link found here has joined."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = []
+        for part, left, right in _buckets_in(table):
+            uid, label = part.column("uid").to_numpy(), part.column("label").to_pylist()
+            raw, parent = part.column("shingles").to_pylist(), {}
+
+            def root(c: int, parent: dict[int, int] = parent) -> int:
+                while c in parent:
+                    c = parent[c]
+                return c
+
+            for x, ys, same in _close_across(part, left, right):
+                for y in ys[np.argsort(-same, kind="stable")].tolist():
+                    a, b = root(label[x]), root(label[y])
+                    if a != b and _similar(raw[x], raw[y], similarity):
+                        parent[max(a, b)] = min(a, b)
+                        found.append(sorted((int(uid[x]), int(uid[y]))))
+        return pa.table({"a": pa.array([a for a, _ in found], PAIRS["a"]), "b": pa.array([b for _, b in found], PAIRS["b"])})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -194,18 +250,37 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
     links = _verify(likely, sets, similarity)
     label = components(links)
 
-    # What is left: buckets that hold more than one class.
-    labelled = member.select("uid", "key", "size").join(label.select(F.col("node").alias("uid"), "label"), "uid", "left").select("uid", "key", "size", F.coalesce("label", "uid").alias("label"))
-    labelled = checkpointed(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key", parity)
-    open_rows = labelled.select("*", parity).join(mixed, ["key", "parity"]).join(nodes.select("uid", "sign"), "uid")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    open_rows = open_rows.withColumn("block", F.pmod(F.xxhash64("uid"), blocks)).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    open_rows = open_rows.select("key", "uid", "label", "sign", "block", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j"))
+    # Buckets that hold several classes: each row asks its likeliest partners in other classes, twice;
+    # what then is still open is compared in full.
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    across = open_rows.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).alias("part")).applyInArrow(_by_block, "a long, b long").distinct()
-    more = _verify(checkpointed(across.join(likely, ["a", "b"], "left_anti")), sets, similarity)
-    label = components(links.unionAll(more))
+
+    def open_rows() -> DataFrame:
+        labelled = member.select("uid", "key", "size").join(label.select(F.col("node").alias("uid"), "label"), "uid", "left")
+        labelled = labelled.select("uid", "key", "size", F.coalesce("label", "uid").alias("label"))
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key", parity)
+        return labelled.select("*", parity).join(mixed, ["key", "parity"]).join(nodes.select("uid", "sign"), "uid")
+
+    def by_block(rows: DataFrame) -> GroupedData:
+        blocks = F.ceil(F.col("size") / BLOCK)
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("uid"), blocks)).withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+        rows = rows.select("*", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j")).drop("partner", "size", "parity")
+        return rows.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).alias("part"))
+
+    for _ in range(2):
+        next_pairs = by_block(open_rows()).applyInArrow(_nearest(3), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti")
+        next_pairs = checkpointed(next_pairs)
+        more = _verify(next_pairs, sets, similarity)
+        if more.isEmpty():
+            break
+        likely, links = likely.unionAll(next_pairs), links.unionAll(more)
+        label = components(links)
+    rest = checkpointed(open_rows())
+    still = checkpointed(by_block(rest).applyInArrow(_still_open, "key long").distinct())
+    if not still.isEmpty():
+        rest = rest.join(still, "key").join(sets, "uid")
+        more = checkpointed(by_block(rest).applyInArrow(_every_link(similarity), "a long, b long").distinct())
+        if not more.isEmpty():
+            label = components(links.unionAll(more))
 
     groups = same.join(label, "node", "left").select("words_a", "words_b", "first", "n", F.coalesce("label", "node").alias("label"))
     classes = groups.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"))
@@ -213,9 +288,3 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
     groups = groups.select("*", odd).join(classes.select("*", odd), ["label", "parity"])
     out = signed.select("uid", "id", "words_a", "words_b").join(groups.select("words_a", "words_b", "keep", "class_size"), ["words_a", "words_b"])
     return out.select(F.col("id").alias(key), "uid", F.col("keep.id").alias("class_id"), "class_size", (F.col("uid") == F.col("keep.uid")).alias("kept"))
-
-
-def _by_block(table: pa.Table) -> pa.Table:
-    """_across() for each pair of blocks of a group of buckets."""
-    found = [_across(table.filter(pc.and_(pc.equal(table.column("i"), i), pc.equal(table.column("j"), j)))) for i, j in sorted(set(zip(table.column("i").to_pylist(), table.column("j").to_pylist(), strict=True)))]
-    return pa.concat_tables(found) if found else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
