@@ -1,7 +1,7 @@
 """All queries of the engine over the test tables, and the SQL that each is held against."""
 
-from . import spans
+from . import analytics, ledger, spans
 
-_PARTS = (spans,)
+_PARTS = (spans, ledger, analytics)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

@@ -69,14 +69,14 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_suppkey") % 9).alias("entities_found"),
         F.col("l_shipdate").alias("timestamp"),
         F.element_at(F.create_map(*(F.lit(x) for x in ("A", "Easy", "N", "Medium", "R", "Hard"))), F.col("l_returnflag")).alias("difficulty"),
-        F.col("l_shipmode").alias("domain"),
+        F.concat(F.lit("d"), (F.col("l_suppkey") % 5).cast("string")).alias("domain"),
     )
 
 
 RUNS_SQL = "runs AS (SELECT o_orderkey AS id, o_orderdate AS timestamp, o_orderpriority AS model_used, o_totalprice AS budget, o_orderstatus AS status FROM orders)"
 RESULTS_SQL = """results AS (SELECT l_orderkey AS run_id, l_orderkey::VARCHAR || '-' || l_linenumber::VARCHAR AS document_id, l_partkey AS part, 'doc' || (l_partkey % 40)::VARCHAR AS document_name, l_extendedprice AS cost, l_quantity AS processing_time,
   1 - l_discount AS confidence, l_returnflag <> 'R' AS success, l_suppkey % 9 AS entities_found, l_shipdate AS timestamp,
-  CASE l_returnflag WHEN 'A' THEN 'Easy' WHEN 'N' THEN 'Medium' WHEN 'R' THEN 'Hard' END AS difficulty, l_shipmode AS domain FROM lineitem)"""
+  CASE l_returnflag WHEN 'A' THEN 'Easy' WHEN 'N' THEN 'Medium' WHEN 'R' THEN 'Hard' END AS difficulty, 'd' || (l_suppkey % 5)::VARCHAR AS domain FROM lineitem)"""
 
 
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
