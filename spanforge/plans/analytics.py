@@ -42,9 +42,9 @@ def o080_by_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarised(A.by_difficulty(performance(spark, sf_dir)))
 
 
-@query(W + "SELECT CAST(timestamp AS DATE) AS day, round(avg(accuracy_score), 7) AS accuracy_mean, round(sum(cost), 7) AS cost_sum FROM performance GROUP BY ALL")
+@query(W + "SELECT CAST(timestamp AS DATE) AS day, round(avg(accuracy_score), 9) AS accuracy_mean, round(sum(cost), 9) AS cost_sum FROM performance GROUP BY ALL")
 def o081_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.daily(performance(spark, sf_dir)), 7)
+    return rounded(A.daily(performance(spark, sf_dir)), 9)
 
 
 @query(W + "SELECT model, round(avg(accuracy_score) / avg(cost), 4) AS cost_efficiency, round(avg(accuracy_score) / avg(latency), 4) AS speed_efficiency FROM performance GROUP BY model")

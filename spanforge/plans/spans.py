@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..operators import ensemble as N
+from ..operators import evaluate as V
 from ..operators import extract as E
+from ..operators import privacy as P
+from ..operators import spans as S
 from .tables import documents as docs
 
 SCORE = {"confidence": 6}
@@ -27,6 +31,144 @@ def o119_dictionary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.dictionary_spans(docs(spark, sf_dir), types=None).drop("context"))
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.rule_spans(docs(spark, sf_dir))
+
+
+def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule spans, and a second extractor that has missed every third and is less sure of the others."""
+    one = _spans(spark, sf_dir)
+    two = one.filter((F.col("doc_id") + F.col("start_pos")) % 3 != 0).withColumns({"confidence": F.col("confidence") - 0.25, "extractor": F.lit("second")})
+    return S.union_all([one, two])
+
+
+def o026_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.threshold_sweep(_spans(spark, sf_dir), [0.5, 0.6, 0.7, 0.8, 0.9])
+
+
+def o027_role_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = S.for_role(_spans(spark, sf_dir), "hr_manager")
+    return rounded(seen.select("doc_id", "start_pos", "pii_type", "text", "confidence", "redaction"))
+
+
+def o061_extraction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.statistics(_spans(spark, sf_dir)))
+
+
+def o118_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and confidence by language and type."""
+    return rounded(S.type_histogram(E.rule_spans(docs(spark, sf_dir), key=("doc_id", "lang")), ["lang"]))
+
+
+def o131_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.first_of_each(_two(spark, sf_dir)).select("doc_id", "text", "pii_type", "confidence", "start_pos", "extractor"))
+
+
+def o131_dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _two(spark, sf_dir)
+    return S.dedup_counts(both, S.first_of_each(both))
+
+
+def o132_best_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.best_of_each(_two(spark, sf_dir)).select("doc_id", "pii_type", "text", "confidence", "start_pos", "votes"))
+
+
+def o134_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _spans(spark, sf_dir).withColumn("kind", S.upper_type(F.col("pii_type")))
+    return spans.groupBy("kind").agg(F.count("*").alias("spans"), F.count_if(S.quality_gate(F.col("kind"), F.col("text"))).alias("good"))
+
+
+def o136_similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(N.group_similar(_two(spark, sf_dir)))
+
+
+def _vote(method: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        voted = N.vote(N.group_similar(_two(spark, sf_dir)), method, {"second": 0.5})
+        return rounded(voted.select("doc_id", "pii_type", "text", "confidence", "start_pos", "votes"))
+
+    run.__name__ = f"o137_vote_{method}"
+    return run
+
+
+def _exact_vote(method: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rounded(N.exact_vote(_two(spark, sf_dir), method).select("doc_id", "pii_type", "text", "confidence", "start_pos", "votes"))
+
+    run.__name__ = f"o138_exact_{method}"
+    return run
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truth: rule spans with some left out, some moved by a character and some under another name."""
+    h = F.pmod(F.col("doc_id") * 7 + F.col("start_pos"), F.lit(10))
+    spans = _spans(spark, sf_dir).filter(h != 0)
+    return spans.withColumns({"start_pos": F.when(h == 1, F.col("start_pos") + 1).otherwise(F.col("start_pos")), "pii_type": F.when((h == 2) & (F.col("pii_type") == "person_name"), "individual").otherwise(F.col("pii_type"))})
+
+
+def o142_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.match(_spans(spark, sf_dir), _truth(spark, sf_dir)))
+
+
+def o143_rates_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.rates(V.counts(_spans(spark, sf_dir), _truth(spark, sf_dir))))
+
+
+def o145_overall_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(V.overall(V.counts(_spans(spark, sf_dir), _truth(spark, sf_dir))))
+
+
+def o148_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = docs(spark, sf_dir)
+    return P.redact(found.select("doc_id", "text"), E.rule_spans(found))
+
+
+def o148_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, text = F.col("pii_type"), F.col("text")
+    return _spans(spark, sf_dir).select("doc_id", "start_pos", "pii_type", P.replacement(kind, text).alias("blocks"), P.replacement(kind, text, False).alias("label"))
+
+
+def o149_role_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _spans(spark, sf_dir).withColumn("kind", S.upper_type(F.col("pii_type")))
+    views = (S.role_text(F.col("kind"), F.col("text"), F.lit(r)).alias(r) for r in ("partial", "full"))
+    return spans.select("doc_id", "start_pos", "kind", "text", *views)
+
+
+def o150_token_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.token_vault(_spans(spark, sf_dir), "pepper")
+
+
+def o150_tokenized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = docs(spark, sf_dir)
+    return P.tokenize(found.select("doc_id", "text"), E.rule_spans(found), "pepper")
+
+
+def o151_mixed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = docs(spark, sf_dir)
+    return P.mixed(found.select("doc_id", "text"), E.rule_spans(found), "pepper")
+
+
+def o152_noisy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _spans(spark, sf_dir).groupBy("pii_type").agg(F.count("*").alias("spans"))
+    return P.laplace_counts(n, ["pii_type"], "spans", 1.0, "salt")
+
+
+def o214_highlighted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = docs(spark, sf_dir)
+    return P.highlight(found.select("doc_id", "text"), E.rule_spans(found))
+
+
+def o215_corrected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _spans(spark, sf_dir)
+    h = F.pmod(F.col("doc_id") + F.col("start_pos"), F.lit(5))
+    fixes = spans.filter(h < 3).select("doc_id", "start_pos", "end_pos", "pii_type", F.when(h == 0, "remove").when(h == 1, "recategorise").otherwise("retext").alias("action"), F.lit("organization").alias("new_type"), F.upper("text").alias("new_text"))
+    return rounded(S.apply_corrections(spans, fixes).select("doc_id", "start_pos", "end_pos", "pii_type", "text", "confidence"))
+
+
+def o216_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(S.accept(_spans(spark, sf_dir)))
+
+
 # --- SQL -----------------------------------------------------------------------------------------
 
 
@@ -76,8 +218,51 @@ spans AS (SELECT doc_id, text, pii_type, start_pos, end_pos, 'dictionary' AS ext
   round({_DSCORE} * CASE WHEN regexp_matches(text, '^[0-9]+$|^[a-zA-Z]+$') THEN 0.8::DOUBLE ELSE 1::DOUBLE END, 6) AS confidence FROM near
   WHERE CASE pii_type WHEN 'medical_record_number' THEN regexp_matches(text, '[0-9]') WHEN 'financial_account' THEN regexp_matches(text, '[0-9]{{4,}}') ELSE true END)"""
 
-QUERIES = {f.__name__: f for f in (o118_rule_spans, o119_dictionary_spans)}
+R = f"WITH {RULE_SPANS_SQL} "
+_BOTH = """, two AS (SELECT *, 0 AS rank FROM spans UNION ALL SELECT * REPLACE (confidence - 0.25::DOUBLE AS confidence, 'second' AS extractor), 1 FROM spans WHERE (doc_id + start_pos) % 3 <> 0)"""
+_UPPER = "CASE pii_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in S.UPPER_TYPES.items()) + " ELSE upper(pii_type) END"
+_CATEGORY = f"CASE {_UPPER} " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in S.CATEGORIES.items()) + " ELSE 'identity' END"
+_LABEL = "CASE pii_type " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in P.LABELS.items()) + " ELSE '[' || upper(pii_type) || ']' END"
+_PARTS = "regexp_extract_all(text, '\\S+')"
+_FIRST_OF = f"{R}{_BOTH}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, pii_type ORDER BY rank, start_pos, end_pos) AS n FROM two)"
+_EXACT = f"""{R}{_BOTH}, g AS (SELECT doc_id, pii_type, arg_max({{'t': text, 'c': confidence, 's': start_pos}}, row(confidence, -rank, -start_pos, -end_pos)) AS b, count(*) AS votes, avg(confidence) AS mean FROM two GROUP BY doc_id, lower(text), pii_type)
+SELECT doc_id, pii_type, b.t AS text, round(@score, 6) AS confidence, b.s AS start_pos, votes FROM g WHERE @wins"""
+QUERIES = {
+    f.__name__: f
+    for f in (
+        o118_rule_spans, o119_dictionary_spans, o026_threshold_sweep, o027_role_filter, o061_extraction_statistics, o118_type_histogram, o131_first_of_each, o131_dedup_counts, o132_best_of_each, o134_quality_gate,
+        o136_similar_groups, *map(_vote, ("majority", "weighted", "union", "consensus")), *map(_exact_vote, ("weighted", "union", "majority")), o142_matches, o143_rates_by_type, o145_overall_rates,
+        o148_redacted_text, o148_replacements, o149_role_text, o150_token_vault, o150_tokenized_text, o151_mixed_text, o152_noisy_counts, o214_highlighted_text, o215_corrected_spans, o216_accepted,
+    )
+}
 ORACLE_SQL = {
+    "o026_threshold_sweep": R + "SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE confidence >= t::DOUBLE) AS spans FROM spans, (VALUES (0.5), (0.6), (0.7), (0.8), (0.9)) v(t) GROUP BY t",
+    "o027_role_filter": R + f"SELECT doc_id, start_pos, pii_type, text, confidence, 'partial' AS redaction FROM spans WHERE confidence >= 0.75::DOUBLE AND {_CATEGORY} IN ('identity', 'contact', 'employment')",
+    "o061_extraction_statistics": R + "SELECT doc_id, count(*) AS spans, count(DISTINCT pii_type) AS types, round(avg(confidence), 6) AS avg_confidence, round(min(confidence), 6) AS min_confidence, round(max(confidence), 6) AS max_confidence FROM spans GROUP BY doc_id",
+    "o118_type_histogram": R + "SELECT lang, pii_type, count(*) AS spans, round(avg(confidence), 6) AS avg_confidence FROM spans GROUP BY ALL",
+    "o131_first_of_each": _FIRST_OF + " SELECT doc_id, text, pii_type, round(confidence, 6) AS confidence, start_pos, extractor FROM f WHERE n = 1",
+    "o131_dedup_counts": _FIRST_OF + " SELECT doc_id, count(*) AS before, count(*) FILTER (WHERE n = 1) AS after FROM f GROUP BY doc_id",
+    "o132_best_of_each": R + _BOTH + """, g AS (SELECT doc_id, pii_type, arg_max({'t': text, 'c': confidence}, row(confidence, -rank, -start_pos, -end_pos)) AS b, min(row(rank, start_pos)) AS f, count(*) AS votes FROM two GROUP BY doc_id, lower(trim(text)), pii_type)
+SELECT doc_id, pii_type, b.t AS text, round(b.c, 6) AS confidence, f[2] AS start_pos, votes FROM g""",
+    "o134_quality_gate": R + f"""SELECT {_UPPER} AS kind, count(*) AS spans, count(*) FILTER (WHERE length(trim(text)) >= 2 AND CASE {_UPPER} WHEN 'EMAIL' THEN contains(text, '@') AND contains(text, '.') WHEN 'PHONE' THEN length({_DIGITS}) >= 10
+  WHEN 'PERSON' THEN len({_PARTS}) >= 2 AND len(list_filter({_PARTS}, lambda p: regexp_matches(p, '^\\p{{L}}+$'))) >= len({_PARTS}) * 0.8 ELSE true END) AS good FROM spans GROUP BY ALL""",
+    "o138_exact_weighted": _EXACT.replace("@score", "mean").replace("@wins", "votes = 1 OR mean >= 0.7::DOUBLE"),
+    "o138_exact_union": _EXACT.replace("@score", "b.c").replace("@wins", "true"),
+    "o138_exact_majority": _EXACT.replace("@score", "b.c").replace("@wins", "votes > 1"),
+    "o148_replacements": R + f"""SELECT doc_id, start_pos, pii_type, {_LABEL} AS label, CASE
+  WHEN pii_type = 'email_address' AND len(string_split(text, '@')) = 2 THEN repeat('█', length(split_part(text, '@', 1))) || '@' || repeat('█', length(split_part(text, '@', 2)))
+  WHEN pii_type = 'phone_number' THEN regexp_replace(text, '[0-9]', '█', 'g')
+  WHEN pii_type = 'credit_card_number' THEN list_aggregate(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN regexp_matches(substr(text, i, 1), '[0-9]') AND length(regexp_replace(substr(text, i + 1), '[^0-9]', '', 'g')) >= 4 THEN '█' ELSE substr(text, i, 1) END), 'string_agg', '')
+  WHEN length({_LABEL}) = length(text) THEN {_LABEL} ELSE repeat('█', length(text)) END AS blocks FROM spans""",
+    "o149_role_text": R + f"""SELECT doc_id, start_pos, {_UPPER} AS kind, text, '[REDACTED_' || {_UPPER} || ']' AS "full", CASE {_UPPER}
+  WHEN 'EMAIL' THEN CASE WHEN len(string_split(text, '@')) = 2 AND length(split_part(text, '@', 1)) > 2 THEN substr(text, 1, 1) || repeat('*', length(split_part(text, '@', 1)) - 2) || right(split_part(text, '@', 1), 1) || '@' || split_part(text, '@', 2) ELSE text END
+  WHEN 'PHONE' THEN CASE WHEN length({_DIGITS}) >= 10 THEN replace(text, substr({_DIGITS}, 4, 4), '****') ELSE text END
+  WHEN 'PERSON' THEN CASE WHEN len({_PARTS}) >= 2 THEN array_to_string({_PARTS}[1:len({_PARTS}) - 1], ' ') || ' ' || substr({_PARTS}[-1], 1, 1) || repeat('*', length({_PARTS}[-1]) - 1) ELSE text END ELSE text END AS partial FROM spans""",
+    "o150_token_vault": R + "SELECT DISTINCT 'TOK_' || upper(pii_type) || '_' || substr(sha256('pepper' || pii_type || '|' || text), 1, 16) AS token, pii_type, text FROM spans",
+    "o152_noisy_counts": R + """, n AS (SELECT pii_type, count(*) AS spans, (('0x' || substr(md5('salt|' || pii_type), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE - 0.5::DOUBLE AS u FROM spans GROUP BY ALL)
+SELECT pii_type, spans, greatest(trunc(spans - sign(u) * ln(1 - 2 * abs(u)))::BIGINT, 0) AS noisy FROM n""",
+    "o215_corrected_spans": R + """SELECT doc_id, start_pos, end_pos, CASE WHEN (doc_id + start_pos) % 5 = 1 THEN 'organization' ELSE pii_type END AS pii_type, CASE WHEN (doc_id + start_pos) % 5 = 2 THEN upper(text) ELSE text END AS text, confidence FROM spans WHERE (doc_id + start_pos) % 5 <> 0""",
+    "o216_accepted": R + "SELECT doc_id, count(*) AS spans, round(avg(confidence), 6) AS mean, avg(confidence) >= 0.7::DOUBLE AS accepted FROM spans GROUP BY doc_id",
     "o118_rule_spans": f"WITH {RULE_SPANS_SQL} SELECT * FROM spans",
     "o119_dictionary_spans": f"WITH {DICTIONARY_SPANS_SQL} SELECT doc_id, text, pii_type, confidence, start_pos, end_pos, extractor, dictionary FROM spans",
 }
