@@ -1 +1 @@
-
+"""Metric streams: windows, alerts and micro-batches."""
