@@ -42,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn, none twice, so that sources, languages and topics come near equal weights by a little."""
-    mixed = mix_sources(docs, {"source": 0.9, "lang": 0.9, "topic": 0.95}, budget=None)
+    mixed = mix_sources(docs, {"source": 0.95, "lang": 0.95, "topic": 0.98}, budget=None)
     return mixed.filter("mix_copies > 0").select(*docs.columns)
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
+from ._shared import in_place
 
 SENT = "bid long, kind int, bucket int, body binary, tail binary"
 BACK = "bid long, kind int, body binary"
@@ -32,7 +33,7 @@ def with_batch(docs: DataFrame, docs_in_batch: int = 512) -> DataFrame:
 
     uid comes from the place of the row in the scan and is the same in every pass over the same files.
     """
-    return docs.withColumn("uid", F.monotonically_increasing_id()).withColumn("bid", F.shiftright("uid", docs_in_batch.bit_length() - 1))
+    return in_place(docs).withColumn("uid", F.monotonically_increasing_id()).withColumn("bid", F.shiftright("uid", docs_in_batch.bit_length() - 1))
 
 
 def by_batch(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:

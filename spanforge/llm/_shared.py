@@ -25,3 +25,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and cut off from its lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def in_place(rows: DataFrame) -> DataFrame:
+    """Rows that stand at the same place in every pass, as monotonically_increasing_id() needs.
+
+    That holds for rows straight from files. What comes out of a shuffle or a cache may come in
+    another order when it is made again, and is written to the shared folder first.
+    """
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    if not any(step in plan for step in ("Exchange", "InMemory", "Sample", "Generate", "Python", "Arrow", "Pandas")):
+        return rows
+    folder = new_folder(rows.sparkSession, "rows")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)

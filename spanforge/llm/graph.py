@@ -26,3 +26,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if after.filter("moved").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels of components() after further links; only the classes that these name are worked on."""
+    own = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    between = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    step = components(between.filter("a <> b"))
+    moved = labels.join(step.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return checkpointed(moved.unionAll(step.join(labels, "node", "left_anti")))

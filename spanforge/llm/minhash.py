@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import checkpointed
-from .graph import components
+from ._shared import checkpointed, in_place
+from .graph import components, joined
 
 BANDS, IN_BAND = 20, 5
 REGISTERS = BANDS * IN_BAND
@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
     a text of fewer than five words is one shingle; texts without words, null ones included, are one
     class; rows that repeat are one class; other columns are not read.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = in_place(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumn("uid", F.monotonically_increasing_id())
     signed = checkpointed(rows.mapInArrow(_signed, f"uid long, id {rows.schema['id'].dataType.simpleString()}, words_a long, words_b long, sign binary, bands array<long>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid"))
     same = signed.groupBy("words_a", "words_b").agg(F.min("uid").alias("node"), first.alias("first"), F.count("*").alias("n"))
@@ -247,11 +247,10 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
     likely = checkpointed(ranked.select(F.least("of", "with").alias("a"), F.greatest("of", "with").alias("b")).distinct())
     texts = member.select("uid").distinct()
     sets = checkpointed(rows.select("uid", "text").join(texts, "uid", "left_semi").mapInArrow(_shingle_sets, "uid long, shingles binary"))
-    links = _verify(likely, sets, similarity)
-    label = components(links)
+    label = components(_verify(likely, sets, similarity))
 
-    # Buckets that hold several classes: each row asks its likeliest partners in other classes, twice;
-    # what then is still open is compared in full.
+    # Buckets that hold several classes: each row asks its likeliest partners in other classes; what
+    # then is still open is compared in full.
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def open_rows() -> DataFrame:
@@ -266,21 +265,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
         rows = rows.select("*", F.least("block", "partner").alias("i"), F.greatest("block", "partner").alias("j")).drop("partner", "size", "parity")
         return rows.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).alias("part"))
 
-    for _ in range(2):
-        next_pairs = by_block(open_rows()).applyInArrow(_nearest(3), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti")
-        next_pairs = checkpointed(next_pairs)
-        more = _verify(next_pairs, sets, similarity)
-        if more.isEmpty():
-            break
-        likely, links = likely.unionAll(next_pairs), links.unionAll(more)
-        label = components(links)
+    asked = by_block(open_rows()).applyInArrow(_nearest(3), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti")
+    label = joined(label, _verify(asked, sets, similarity))
     rest = checkpointed(open_rows())
     still = checkpointed(by_block(rest).applyInArrow(_still_open, "key long").distinct())
     if not still.isEmpty():
         rest = rest.join(still, "key").join(sets, "uid")
-        more = checkpointed(by_block(rest).applyInArrow(_every_link(similarity), "a long, b long").distinct())
-        if not more.isEmpty():
-            label = components(links.unionAll(more))
+        label = joined(label, checkpointed(by_block(rest).applyInArrow(_every_link(similarity), "a long, b long").distinct()))
 
     groups = same.join(label, "node", "left").select("words_a", "words_b", "first", "n", F.coalesce("label", "node").alias("label"))
     classes = groups.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"))

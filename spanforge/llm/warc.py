@@ -19,6 +19,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import in_place
+
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
 CRLF = b"\r\n"
@@ -69,7 +71,7 @@ def with_originals(pages: DataFrame, least: int = 0) -> DataFrame:
     and xxHash64 agree.
     """
     body = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("uid"), F.octet_length(body).alias("size"), F.sha1(body).alias("sha"), F.xxhash64(body).alias("hash"))
+    rows = in_place(pages.select("page_id", "url", "html")).select("page_id", "url", "html", F.monotonically_increasing_id().alias("uid"), F.octet_length(body).alias("size"), F.sha1(body).alias("sha"), F.xxhash64(body).alias("hash"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uid"))
     groups = rows.filter(F.col("size") >= least).groupBy("sha", "hash").agg(F.max("size").alias("size"), first.alias("first"), F.count("*").alias("n"))
     # Joined by size too, which deals both sides anew, so that Spark can split a hot group.
