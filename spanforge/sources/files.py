@@ -59,8 +59,8 @@ def enrich(texts: DataFrame, text: str = "text", name: str = "file_name") -> Dat
 
 
 def read_text(files: DataFrame) -> DataFrame:
-    """raw_text of text files (what is no UTF-8 is replaced), the same as ocr_text, and counts."""
-    text = F.decode("content", "UTF-8")
+    """raw_text of text files (what is no UTF-8 is left out), the same as ocr_text, and counts."""
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     out = files.filter(extension(F.col("path")).isin("txt", "csv", "json")).select("path", text.alias("raw_text"))
     return out.withColumns({"ocr_text": F.col("raw_text"), "char_count": F.length("raw_text"), "line_count": F.size(F.split("raw_text", "\n", -1)), "word_count": F.size(F.filter(F.split("raw_text", r"\s+"), lambda w: w != ""))})
 
