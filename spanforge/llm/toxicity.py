@@ -106,7 +106,7 @@ class Channel:
             after: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in beam.items():
                 steps = [((b, k), score + cost + float(self.logp[a, b, k]), text + x) for x, cost in options for k in (_CODE.get(x, 0),)]
-                if c == last or (text and text[-1] in SIGNS.get(c, "")) or not c.isalnum():
+                if c == last or (text and (text[-1] == c or text[-1] in SIGNS.get(c, ""))) or not c.isalnum():
                     steps.append(((a, b), score + DROP_COST, text))
                 for state, value, letters in steps:
                     if state not in after or value > after[state][0]:
