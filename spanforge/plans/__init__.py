@@ -1,7 +1,7 @@
 """All queries of the engine over the test tables, and the SQL that each is held against."""
 
-from . import analytics, ledger, quality, spans, streams
+from . import advice, analytics, ledger, quality, spans, streams
 
-_PARTS = (spans, ledger, analytics, quality, streams)
+_PARTS = (spans, ledger, analytics, quality, streams, advice)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in _PARTS for k, v in p.ORACLE_SQL.items()}

@@ -14,6 +14,7 @@ from spanforge.functions import text as X
 from spanforge.operators import ensemble as N
 from spanforge.operators import evaluate as V
 from spanforge.operators import extract as E
+from spanforge.operators import models as MO
 from spanforge.operators import privacy as P
 from spanforge.operators import quality as Q
 from spanforge.operators import routing as R
@@ -212,3 +213,41 @@ def test_window_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.n for r in spark.table("windows").collect()) == [15, 15, 15, 15]
+
+
+def chunked(text, most):
+    """Sentence packing, step by step."""
+    out, now = [], ""
+    for s in filter(None, (s.strip() for s in re.split("[.!?]+", text))):
+        if len(now) + len(s) + 1 <= most:
+            now = f"{now}. {s}" if now else s
+        elif now:
+            out.append(now)
+            now = s
+        else:
+            for w in s.split():
+                if len(now) + len(w) + 1 <= most:
+                    now = f"{now} {w}" if now else w
+                elif now:
+                    out.append(now)
+                    now = w
+                else:
+                    out.append(w)
+    return [*out, now] if now else out or [text[:most]]
+
+
+def test_chunks(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["aa", "bbbb.", "cc!", "d" * 30, "e?"]) for _ in range(rng.randrange(40))) for _ in range(30)] + ["", "...", "x" * 50]
+    got = {r.doc_id: r.c for r in docs(spark, *texts).select("doc_id", MO.chunks(F.col("text"), 24).alias("c")).collect()}
+    assert got == {i: chunked(t, 24) for i, t in enumerate(texts)}
+
+
+def test_bio_and_meta(spark):
+    t = spark.createDataFrame([(0, 0, "Jean", "B-PER", 0.9), (0, 1, "Roy", "I-PER", 0.95), (0, 2, "at", "O", 0.99), (0, 3, "Acme", "B-ORG", 0.99), (0, 4, "x", "B-LOC", 0.5), (1, 0, "y", "I-PER", 0.99)], "doc_id long, position int, token string, tag string, confidence double")
+    assert sorted((r.text, r.pii_type, round(r.confidence, 3)) for r in MO.bio_spans(t).collect()) == [("Acme", "organization", 0.99), ("Jean Roy", "person_name", 0.925)]
+    s = spans(spark, *((f"n{k}", "person_name", 0.9 if k % 2 else 0.3, k + 1, "rule_based", 0) for k in range(40))).withColumn("context", F.lit(""))
+    f = MO.span_features(s)
+    assert {len(r.f) for r in f.collect()} == {25}
+    good = MO.meta(N.exact_groups(f), MO.train_meta(MO.labelled(f, s.filter("confidence > 0.5"))))
+    assert {int(r.text[1:]) % 2 for r in good.collect()} == {1} and good.count() == 20
