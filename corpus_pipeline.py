@@ -20,6 +20,8 @@ from spanforge.llm.toxicity import toxicity
 
 TOXIC = 0.7
 SHARDS = 8
+#: A row's place in the scan of a stage's input, by which results are joined back.
+PLACE = "__place"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +32,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class stays, that with the smallest doc_id."""
-    kept = near_duplicates(docs).filter("kept").select("uid")
-    return docs.withColumn("uid", F.monotonically_increasing_id()).join(kept, "uid", "left_semi").select(*docs.columns)
+    kept = near_duplicates(docs).filter("kept").select(F.col("uid").alias(PLACE))
+    return docs.withColumn(PLACE, F.monotonically_increasing_id()).join(kept, PLACE, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("place").distinct()
-    return docs.withColumn("place", F.monotonically_increasing_id()).join(hits, "place", "left_anti").select(*docs.columns)
+    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("place").alias(PLACE)).distinct()
+    return docs.withColumn(PLACE, F.monotonically_increasing_id()).join(hits, PLACE, "left_anti").select(*docs.columns)
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,13 +177,18 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, grams: tuple[np.ndarray, n
                 words = ["", *map(channel.restore, (body or "").lower().split()), ""]
                 for k in range(1, len(words) - 1):
                     w = words[k]
-                    seen.update((x, f"{words[k - 1]} {w} {words[k + 1]}") for x in (w, *(f"{w[:n]}-" for n in range(4, min(len(w), 8)))) if x in names)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([y for _, y in seen], pa.string())], ["feature", "place"])
+                    seen.update((x, w, f"{words[k - 1]} {words[k + 1]}") for x in (w, *(f"{w[:n]}-" for n in range(4, min(len(w), 8)))) if x in names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*seen, strict=True) if seen else ([], [], []))], ["feature", "word", "place"])
 
     # Copies of one toxic text make all its words look toxic: a feature counts once for each surrounding.
-    around = train.filter("toxic > 0").select("text").mapInArrow(places, "feature string, place string")
-    varied = {r.feature: r.n for r in around.distinct().groupBy("feature").agg(F.count("*").alias("n")).collect()}
-    bounds = {r.feature: _surely(min(r.toxic, varied.get(r.feature, 0)), r.clean) for r in best if varied.get(r.feature, 0) >= 4}
+    # A beginning says no more than its one word unless it begins several.
+    around = train.filter("toxic > 0").select("text").mapInArrow(places, "feature string, word string, place string").distinct().groupBy("feature")
+    varied = {r.feature: (r.n, r.words) for r in around.agg(F.count("*").alias("n"), F.countDistinct("word").alias("words")).collect()}
+    bounds = {}
+    for r in best:
+        n, words = varied.get(r.feature, (0, 0))
+        if n >= 4 and (words >= 3 or not r.feature.endswith("-")):
+            bounds[r.feature] = _surely(min(r.toxic, n), r.clean)
     return {x: p for x, p in bounds.items() if p >= 0.55}
 
 
