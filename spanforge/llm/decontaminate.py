@@ -109,7 +109,7 @@ def decontaminate(
 
         def run(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for table in tables:
+            for table in T.small(tables):
                 data, offs = lowered(table.column("text"))
                 places, ids = table.column("place"), table.column("id")
                 for i, j in T.pieces(offs):

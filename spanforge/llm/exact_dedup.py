@@ -61,7 +61,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     rows = docs.select(F.col(key).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
 
     def chunked(tables: Iterator[pa.RecordBatch], with_chunks: bool) -> Iterator[pa.RecordBatch]:
-        for table in tables:
+        for table in T.small(tables):
             data, offs = T.buffers(table.column("text"))
             raw = data.tobytes().lower()  # bytes.lower() changes A to Z only
             data = np.frombuffer(raw, np.uint8)

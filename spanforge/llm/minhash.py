@@ -77,9 +77,9 @@ def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """uid, id, two hashes of the words, the signature in bytes and the keys of its bands."""
-    for table in batches:
+    for table in T.small(batches):
         data, offs = _lowered(table.column("text"))
-        for i, j in T.pieces(offs, 2 << 20):
+        for i, j in T.pieces(offs):
             h, row, count, a, b = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             sign = signatures(h, row, 1 + np.log(count), j - i)
             bands = np.zeros((j - i, BANDS), T.U)
@@ -96,9 +96,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """uid and the text's distinct shingles, 40 bits of each, in order."""
-    for table in batches:
+    for table in T.small(batches):
         data, offs = _lowered(table.column("text"))
-        for i, j in T.pieces(offs, 2 << 20):
+        for i, j in T.pieces(offs):
             h, row, _, _, _ = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             at = np.searchsorted(row, np.arange(j - i + 1))
             low = np.ascontiguousarray((h >> T.U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from . import _text as T
+
 
 #: Letters that a sign can stand for.
 SIGNS = {"@": "a", "4": "a", "8": "b", "(": "c", "3": "e", "€": "e", "6": "g", "9": "g", "#": "h", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z", "*": "aeiou"}
@@ -29,7 +31,7 @@ _CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 #: Log probabilities of the channel.
 SIGN_COST, DROP_COST, KEEP_COST = -1.0, -0.5, -4.0
 #: Words whose restored forms a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 _GAP = re.compile(r"[ .\-_*/]")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*/]\S){3,}(?!\S)")
@@ -51,7 +53,7 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
 
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = _codes(), np.zeros(SIZE**3, np.int64)
-        for batch in tables:
+        for batch in T.small(tables):
             raw = " ".join(x or "" for x in batch.column(0).to_pylist()).lower()
             for i in range(0, len(raw), 1 << 20):
                 points = np.frombuffer(raw[i : i + (1 << 20) + 2].encode("utf-32-le"), np.uint32)
@@ -151,10 +153,10 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, grams: tuple[np.ndarray, n
 
     def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, seen = Channel(*grams), (Counter(), Counter())
-        for batch in tables:
+        for batch in T.small(tables):
             for body, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[toxic > 0].update(_features(channel.words(body or "")))
-            if len(seen[0]) > 500_000:
+            if len(seen[0]) > 200_000:
                 yield from flush(seen)
         yield from flush(seen)
 
@@ -171,7 +173,7 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, grams: tuple[np.ndarray, n
 
     def places(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(*grams)
-        for batch in tables:
+        for batch in T.small(tables):
             seen = set()
             for body in batch.column("text").to_pylist():
                 words = ["", *map(channel.restore, (body or "").lower().split()), ""]
@@ -223,7 +225,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 100_000, text: str
 
     def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, remembered = Channel(*grams), {}
-        for batch in tables:
+        for batch in T.small(tables):
             body = batch.column(kept.index(text)).to_pylist()
             out = pa.array([score_words(channel.words(x or ""), lexicon, 0.01, remembered) for x in body], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*kept, "toxic_score"])
