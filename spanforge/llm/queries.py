@@ -82,7 +82,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_toxicity, op5_decontamination, op10_lm_score, op8_sharding, op6_suffix_dedup, op7_minhash, op9_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_toxicity, op5_decontamination, op6_suffix_dedup, op7_minhash, op8_sharding, op9_substring_dedup, op10_lm_score)
+}
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
 WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
