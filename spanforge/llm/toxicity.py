@@ -36,8 +36,10 @@ REMEMBERED = 150_000
 _GAP = re.compile(r"[ .\-_*/]")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*/]\S){3,}(?!\S)")
 _EDGE = re.compile(r"^[^\w@$€]+|[^\w@$€]+$")
+_PLAIN = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in "@$_")
 _SIGN = re.compile(r"[@48(3€69#1!|05$7+2*]")
 _LETTER = re.compile(r"[^\W\d_]")
+_INNER = re.compile(r"[^\W\d_][.\-_~'`]+[^\W\d_]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -80,6 +82,9 @@ class Channel:
 
     def restore(self, word: str) -> str:
         """The likeliest word behind a written one (lower case)."""
+        bare = word.strip(_PLAIN)
+        if bare.isalpha() and not _RUN.search(bare):
+            return bare
         found = self.known.get(word)
         if found is None:
             found = self._restore(word)
@@ -90,7 +95,7 @@ class Channel:
 
     def _restore(self, word: str) -> str:
         bare = _EDGE.sub("", word)
-        if not _LETTER.search(bare) or not (_SIGN.search(bare) or _RUN.search(bare)):
+        if not _LETTER.search(bare) or not (_SIGN.search(bare) or _RUN.search(bare) or _INNER.search(bare)):
             return bare
         return self.decode(bare)
 

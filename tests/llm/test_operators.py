@@ -211,7 +211,7 @@ def test_channel_restores_words(spark):
     corpus = spark.createDataFrame([("stupid idiot trash loser moron pathetic people say hello and read the text " * 20,)], "text string")
     g = trigram_counts(corpus).toPandas()
     channel = Channel(g["gram"].to_numpy(), g["n"].to_numpy(float))
-    for written, meant in (("stup1d", "stupid"), ("1d10t", "idiot"), ("tr@$h", "trash"), ("l0ooooser", "loser"), ("p4th3t1c!!!", "pathetic"), ("hello", "hello"), ("text", "text")):
+    for written, meant in (("stup1d", "stupid"), ("1d10t", "idiot"), ("tr@$h", "trash"), ("l0ooooser", "loser"), ("p4th3t1c!!!", "pathetic"), ("st-up.id", "stupid"), ("hello", "hello"), ("text", "text")):
         assert channel.restore(written) == meant
     assert {"stupid", "moron"} <= channel.words("you s t u p i d and m.o.r.o.n man")
 
