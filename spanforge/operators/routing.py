@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
+from ..llm._shared import checkpointed
 from .analytics import average_rank
 
 #: Weights of accuracy, speed, cost and reliability by strategy.
@@ -109,6 +110,22 @@ def page(rows: DataFrame, order: Sequence[Column], size: int, number: int) -> Da
     return rows.orderBy(*order).offset(size * number).limit(size)
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds name: each row's place, from 1, in the given order over all rows; rows that tie follow the scan.
+
+    Rows are dealt by range; the number within a partition plus the rows of the partitions before it
+    is the place in the whole.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*order, F.col("_scan")]
+    # The checkpoint fixes the partition of each row: another pass might sample other range bounds.
+    dealt = checkpointed(rows.withColumn("_scan", F.monotonically_increasing_id()).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = dealt.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_part").orderBy(*order)
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.row_number().over(within)).drop("_part", "_scan", "_before")
+
+
 def split(rows: DataFrame, key: str, shares: Mapping[str, float], salt: str = "split") -> DataFrame:
     """Adds part: rows dealt by the order of a salted hash of key, in the given shares of their number, as whole rows; the last part takes the rest.
 

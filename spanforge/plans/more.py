@@ -80,6 +80,14 @@ def o110_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(table(spark, sf_dir, "documents").select("doc_id", ((1 - n % 100 / 100.0) * 10 + 5 * (n % 2)).alias("priority")), 6).orderBy(F.desc("priority"), "doc_id").limit(50)
 
 
+@query("SELECT doc_id, priority, row_number() OVER (ORDER BY priority DESC, doc_id) AS place FROM (SELECT doc_id, round((1 - n_chars % 100 / 100.0::DOUBLE) * 10 + 5 * (n_chars % 2), 6) AS priority FROM documents)")
+def o110_review_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place; o110_review_order is the first page of it."""
+    n = F.col("n_chars")
+    rows = rounded(table(spark, sf_dir, "documents").select("doc_id", ((1 - n % 100 / 100.0) * 10 + 5 * (n % 2)).alias("priority")), 6)
+    return R.numbered(rows, [F.desc("priority"), F.col("doc_id")], "place")
+
+
 @query(f"WITH {PERFORMANCE_SQL} SELECT model, round(avg(accuracy_score) / avg(cost), 4) AS value FROM performance GROUP BY model ORDER BY value DESC, model LIMIT 3")
 def o112_best_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = performance(spark, sf_dir).groupBy("model").agg(F.avg("accuracy_score").alias("quality"), F.avg("cost").alias("cost"))

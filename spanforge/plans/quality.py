@@ -71,6 +71,14 @@ def o025_effective_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(c, "doc_id").select("doc_id", E.effective_text(F.col("raw"), F.col("ocr")).alias("text"))
 
 
+@query("SELECT d.doc_id, CASE WHEN length(coalesce(d.text, '')) < 50 THEN concat_ws(chr(10), nullif(d.text, ''), nullif(c.text, '')) ELSE d.text END AS text FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0")
+def o025_effective_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its whole text; o025_effective_text is the same over beginnings of 1 to 100 characters, which reach the short branch."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
+    c = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("ocr"))
+    return d.join(c, "doc_id", "left").select("doc_id", E.effective_text(F.col("raw"), F.col("ocr")).alias("text"))
+
+
 @query(P + "SELECT document_id, model, difficulty, round(cost, 6) AS cost FROM performance WHERE timestamp BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-01-01' AND difficulty IN ('Easy', 'Hard') AND success AND cost BETWEEN 0.01 AND 0.05")
 def o028_report_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = performance(spark, sf_dir).filter(F.col("timestamp").between(F.lit(datetime(1995, 1, 1)), F.lit(datetime(1996, 1, 1))) & F.col("difficulty").isin("Easy", "Hard") & F.col("success") & F.col("cost").between(0.01, 0.05))
@@ -269,6 +277,13 @@ def o109_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("priority")).orderBy(F.desc("priority"), "o_orderkey").limit(200)
 
 
+@query("SELECT o_orderkey, priority, row_number() OVER (ORDER BY priority DESC, o_orderkey) AS place FROM (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS priority FROM orders)")
+def o109_priority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with its place; o109_priority_order is the first page of it."""
+    p = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(1)
+    return R.numbered(table(spark, sf_dir, "orders").select("o_orderkey", p.alias("priority")), [F.desc("priority"), F.col("o_orderkey")], "place")
+
+
 @query("SELECT c_nationkey, arg_max(c_custkey, row(c_acctbal, -c_custkey)) AS richest, arg_min(c_custkey, row(c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY c_nationkey")
 def o111_extreme_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")

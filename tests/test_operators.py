@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from spanforge import plans
 from spanforge.functions import fixed
 from spanforge.functions import text as X
 from spanforge.operators import ensemble as N
@@ -146,6 +147,25 @@ def test_split_is_whole_and_exact(spark):
     assert got == {"train": 700, "validation": 150, "test": 150}
 
 
+def test_numbered_places_every_row(spark):
+    rows = spark.createDataFrame([(i, i % 3) for i in range(5000)], "id long, priority int").repartition(7)
+    got = R.numbered(rows, [F.desc("priority"), F.col("id")], "place").collect()
+    want = {i: n for n, (_, i) in enumerate(sorted((-(i % 3), i) for i in range(5000)), 1)}
+    assert {r.id: r.place for r in got} == want and len(got) == 5000
+
+
+def test_whole_texts_and_orders(spark, tmp_path):
+    texts = [None, "", "short", "x" * 49, "y" * 50, "z" * 3000, "alone"]
+    spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, f"ocr {i}") for i in range(6)] + [(6, 1, "later turn")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(i, ["1-URGENT", "2-HIGH", "5-LOW"][i % 3]) for i in range(900)], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.doc_id: r.text for r in plans.QUERIES["o025_effective_whole_text"](spark, str(tmp_path)).collect()}
+    assert got == {0: "ocr 0", 1: "ocr 1", 2: "short\nocr 2", 3: "x" * 49 + "\nocr 3", 4: "y" * 50, 5: "z" * 3000, 6: "alone"}
+    orders = plans.QUERIES["o109_priority_ranks"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [r.place for r in orders] == list(range(1, 901)) and [r.o_orderkey % 3 for r in orders] == [0] * 300 + [1] * 300 + [2] * 300
+    assert plans.QUERIES["o110_review_ranks"](spark, str(tmp_path)).count() == len(texts)
+
+
 def test_helpers(spark):
     d = spark.createDataFrame([("a b", "A  b ", 0, 4, 2, 6), ("", "", 0, 0, 0, 0), ("x y", "y z", 0, 2, 5, 9)], "a string, b string, p int, q int, r int, s int")
     got = d.select(X.word_jaccard(F.col("a"), F.col("b")).alias("j"), X.range_iou(*(F.col(c) for c in "pqrs")).alias("i")).collect()
