@@ -28,7 +28,7 @@ from . import _text as T
 
 #: Words that the floor of the unigram model is spread over; a fixed size, so that counts can be gathered in one pass.
 VOCABULARY = 1 << 20
-ALL, WORD, PAIR = (T.U(k) for k in (0x11, 0x33, 0x44))
+WORD, PAIR = (T.U(k) for k in (0x33, 0x44))
 _EDGE = T.U(0x5DEECE66D)
 
 
@@ -41,55 +41,78 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return T.mix(h ^ WORD), T.mix(before ^ WORD), T.mix(T.mix(before + PAIR) ^ h), size + (size > 0)
 
 
-def _nibbles(n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two counts in a byte: positions to repeat, and bytes whose halves add up to n and own."""
-    many = np.maximum(-(-n // 15), 1)  # own is never above n
-    at = np.repeat(np.arange(len(n)), many)
-    nth = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-    return at, (np.clip(n[at] - 15 * nth, 0, 15) | np.clip(own[at] - 15 * nth, 0, 15) << 4).astype(np.uint8)
+def _planes(x: np.ndarray) -> bytes:
+    """Counts byte by byte, as many bytes as the largest needs: the high bytes, mostly zero, stand together and shrink to nothing."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(raw: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for k, plane in enumerate(raw.reshape(-1, size) if size else ()):
+        out |= plane.astype(np.int64) << 8 * k
+    return out
+
+
+def _pack_counts(n: np.ndarray, own: np.ndarray) -> bytes:
+    """A byte with both counts of each gram, 15 where it is more; what is more follows in full."""
+    few = (np.minimum(n, 15) | np.minimum(own, 15) << 4).astype(np.uint8)
+    return few.tobytes() + _planes(np.concatenate([n[n >= 15], own[own >= 15]]))
+
+
+def _unpack_counts(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    few, more = np.frombuffer(raw, np.uint8, size), np.frombuffer(raw, np.uint8, offset=size)
+    n, own = (few & 15).astype(np.int64), (few >> 4).astype(np.int64)
+    many = n == 15, own == 15
+    counts = _from_planes(more, int(many[0].sum() + many[1].sum()))
+    n[many[0]], own[many[1]] = np.split(counts, [int(many[0].sum())])
+    return n, own
 
 
 def _add_up(table: pa.Table) -> list[bytes | None]:
     """Sums the counts of each gram; answers each batch with both counts of each of its grams, in its order."""
     raw = [P.from_low5(b) for b in P.bodies(table)]
-    tail = np.frombuffer(b"".join(P.bodies(table, "tail")), np.uint8)
+    counts = [_unpack_counts(t, len(r)) for t, r in zip(P.bodies(table, "tail"), raw, strict=True)]
     x = np.concatenate(raw)
     order = np.argsort(x, kind="stable")
     y = x[order]
     new = np.ones(len(y), bool)
     new[1:] = y[1:] != y[:-1]
-    run = np.cumsum(new) - 1
-    sums = [np.minimum(np.bincount(run, weights=n[order]), 2**32 - 1).astype("<u4") for n in (tail & 15, tail >> 4)]
+    first = np.flatnonzero(new)
+    sums = [np.add.reduceat(np.concatenate(n)[order], first) if len(first) else np.zeros(0, np.int64) for n in zip(*counts, strict=True)]
     back = np.empty(len(x), np.int64)
-    back[order] = run
+    back[order] = np.cumsum(new) - 1
     out, at = [], 0
     for r, bucket in zip(raw, table.column("bucket").to_pylist(), strict=True):
         g = back[at : at + len(r)]
         at += len(r)
-        # byte by byte: the high bytes, mostly zero, stand together and shrink to nothing
-        planes = [np.ascontiguousarray(n[g].view(np.uint8).reshape(-1, 4).T).tobytes() for n in sums]
-        out.append(b"".join([bucket.to_bytes(4, "little"), *planes]))
+        out.append(bucket.to_bytes(4, "little") + len(r).to_bytes(4, "little") + _planes(np.concatenate([n[g] for n in sums])))
     return out
 
 
 def _sums(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """What _add_up() says of a batch, bucket by bucket."""
     bodies = sorted(bodies, key=lambda b: int.from_bytes(b[:4], "little"))
-    planes = [np.frombuffer(b, np.uint8, offset=4).reshape(2, 4, -1) for b in bodies] or [np.zeros((2, 4, 0), np.uint8)]
-    both = np.concatenate(planes, axis=2)
-    return tuple(np.ascontiguousarray(x.T).view("<u4").reshape(-1).astype(float) for x in both)
+    both = [_from_planes(np.frombuffer(b, np.uint8, offset=8), 2 * int.from_bytes(b[4:8], "little")).reshape(2, -1) for b in bodies]
+    return tuple(np.concatenate([np.zeros((2, 0), np.int64), *both], axis=1).astype(float))
 
 
-def _batch_grams(data: np.ndarray, offs: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct grams of a batch in order, those with large counts several times, and their counts as _nibbles() packs them."""
+def _batch_grams(data: np.ndarray, offs: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams of a batch in order, how often they are there and how often in rows of the target."""
     found, whose = [np.zeros(0, T.U)], [np.zeros(0, bool)]
     for i, j in T.pieces(offs):
         word, _, pair, size = grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-        found += [word, pair, np.full(len(word), ALL)]
-        whose += [np.repeat(mine[i:j], size)] * 3
+        found += [word, pair]
+        whose += [np.repeat(mine[i:j], size)] * 2
     h, inverse, seen = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    at, part = _nibbles(seen, np.bincount(inverse, weights=np.concatenate(whose), minlength=len(h)).astype(np.int64))
-    return h[at], part
+    return h, seen, np.bincount(inverse, weights=np.concatenate(whose), minlength=len(h)).astype(np.int64)
+
+
+def _totals(rows: DataFrame, target: DataFrame) -> tuple[int, int]:
+    """Words and ends of all rows, and of those of the target."""
+    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    sized = rows.select("id", F.when(words > 0, words + 1).otherwise(0).cast("long").alias("n"))
+    return tuple(x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (sized, sized.join(target, "id", "left_semi")))
 
 
 def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: float = 0.05, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -102,7 +125,9 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
     """
     n = P.buckets(docs.sparkSession)
     rows = P.with_batch(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), 1024)
-    marks = rows.select("id", "uid", "bid").join(target.select(F.col(key).alias("id")).distinct(), "id", "left_semi")
+    target = target.select(F.col(key).alias("id")).distinct()
+    totals = _totals(rows, target)
+    marks = rows.select("id", "uid", "bid").join(target, "id", "left_semi")
     marks = marks.groupBy("bid").agg(F.collect_list("uid").alias("uids"))  # a batch has no more than 1024
 
     def owned(uid: pa.ChunkedArray, uids: list[int]) -> np.ndarray:
@@ -113,8 +138,8 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
         if left is None:
             return P.nothing()
         mine = owned(left.column("uid"), right.column("uids")[0].as_py() if right.num_rows else [])
-        h, part = _batch_grams(*T.buffers(left.column("text")), mine)
-        return pa.Table.from_batches([P.send(left.column("bid")[0].as_py(), 0, h, n, lambda p: P.low5(h[p]), lambda p: part[p].tobytes())])
+        h, seen, own = _batch_grams(*T.buffers(left.column("text")), mine)
+        return pa.Table.from_batches([P.send(left.column("bid")[0].as_py(), 0, h, n, lambda p: P.low5(h[p]), lambda p: _pack_counts(seen[p], own[p]))])
 
     counts = P.ask(P.batches(rows.select("uid", "bid", "text")).cogroup(marks.groupBy("bid")).applyInArrow(count, P.SENT), _add_up)
     kind = to_arrow_type(rows.schema["id"].dataType)
@@ -124,7 +149,7 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
         uids = [u for x in right.column("uids").to_pylist() if x for u in x]
         data, offs = T.buffers(left.column("text"))
         own_row = owned(left.column("uid"), uids)
-        names, _ = _batch_grams(data, offs, own_row)
+        names, _, _ = _batch_grams(data, offs, own_row)
         back, front = np.empty(len(names)), np.empty(len(names))
         order = P.by_bucket(names, n)
         back[order], front[order] = _sums([b for b in P.bodies(right) if b])
@@ -153,7 +178,7 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
                 mine = own_row[i:j][row]
                 less_word, less_before = own(word, row, before)
                 less = (own(pair, row)[0], less_before, less_word, size[row])
-                seen = [counted(x) for x in (pair, before, word, np.full(1, ALL))]
+                seen = [*(counted(x) for x in (pair, before, word)), totals]
                 for k in (0, 1):  # the background, then the target
                     both, context, single, everything = (np.maximum(c[k] - x * (mine if k else 1), 0) for c, x in zip(seen, less, strict=True))
                     a = np.where(context > 0, weight, 0.0)

@@ -8,9 +8,13 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from spanforge.llm import _packed as P
+from spanforge.llm import lm_score as L
 from spanforge.llm import warc as W
 from spanforge.llm.decontaminate import decontaminate
 from spanforge.llm.exact_dedup import exact_dedup
@@ -158,6 +162,17 @@ def test_lm_scores(spark):
     assert min(got[i].score for i in (20, 23)) > max(got[i].score for i in range(20))
 
 
+def test_lm_counts_go_whole():
+    text = b"again " * 5000 + b"once"
+    h, seen, own = L._batch_grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]), np.array([True]))
+    assert len(h) == 3 + 4 and sorted(seen)[-2:] == [4999, 5000] and (own == seen).all()  # an entry for each word, end and pair
+    n, own = np.array([1, 14, 15, 3_000_000_000, 5]), np.array([0, 14, 15, 16, 0])
+    grams = np.arange(5, dtype=np.uint64)
+    sent = pa.table({"bucket": [7, 7], "body": [P.low5(grams), P.low5(grams[3:])], "tail": [L._pack_counts(n, own), L._pack_counts(n[3:], own[3:])]})
+    back, front = L._sums([L._add_up(sent)[0]])
+    assert back.tolist() == [1, 14, 15, 6_000_000_000, 10] and front.tolist() == [0, 14, 15, 32, 0]
+
+
 def test_sharding(spark, texts):
     rows = sorted(shard_by_bytes(table(spark, texts, list(range(100, 100 + len(texts)))), 5).collect(), key=lambda r: r.doc_id)
     sizes = [len((t or "").encode()) + 1 for t in texts]
