@@ -3,8 +3,7 @@
 A seed is a fixed mask over a run of words: positions marked 0 are ignored, so a passage in which
 words were replaced still shares seeds with its benchmark item. Hashes of all masked runs of the
 benchmark are held against those of the texts; around each hit the two texts are compared word by
-word along the same alignment, and the best stretch, in which a mismatch costs more than a match
-gains, must be long and similar enough.
+word along the same alignment, and any run of words that is long and similar enough counts.
 """
 
 from __future__ import annotations
@@ -34,17 +33,18 @@ def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """The seeds of a block of benchmark items, sorted by hash, with the items' words."""
 
-    def __init__(self, ids: list, texts: list[str], masks: Sequence[str]):
+    def __init__(self, ids: list, texts: list[str], masks: Sequence[str], similarity: float):
         data, offs = lowered(pa.array(texts, pa.large_string()))
         s, e, self.begin = T.words(data, offs, T.PUNCT)
         self.words, self.ids = T.word_hashes(data, s, e), ids
         short = {int(n) for n in np.diff(self.begin) if 0 < n < max(map(len, masks))}
-        self.masks = [tuple(k for k, c in enumerate(m) if c == "1") for m in masks] + [tuple(range(n)) for n in sorted(short)]
-        self.spans = [len(m) for m in masks] + sorted(short)
+        pieces = [(piece, n) for n in sorted(short) for piece in _pieces(n, similarity)]
+        self.masks = [tuple(k for k, c in enumerate(m) if c == "1") for m in masks] + [piece for piece, _ in pieces]
+        self.spans = [len(m) for m in masks] + [n for _, n in pieces]
         found = []
         for k, (mask, span) in enumerate(zip(self.masks, self.spans, strict=True)):
             at = T.windows(self.begin, span)
-            if k >= len(masks):  # short items are seeds as a whole
+            if k >= len(masks):  # short items are seeds by their pieces
                 row = np.searchsorted(self.begin, at, "right") - 1
                 at = at[np.diff(self.begin)[row] == span]
             found.append((seeds(self.words, at, mask, k), at))
@@ -56,6 +56,11 @@ class Index:
         self.maybe[self.hashes >> T.U(42)] = True
 
 
+def _pieces(n: int, similarity: float) -> list[tuple[int, ...]]:
+    """The words of a short item in one piece more than it may have mismatches, so that one piece agrees."""
+    return [tuple(x.tolist()) for x in np.array_split(np.arange(n), int((1 - similarity) * n + 1e-9) + 1) if len(x)]
+
+
 def seeds(words: np.ndarray, at: np.ndarray, mask: Sequence[int], kind: int) -> np.ndarray:
     """Hash of the words that the mask shows at each place."""
     h = np.full(len(at), kind + 1, T.U)
@@ -64,12 +69,21 @@ def seeds(words: np.ndarray, at: np.ndarray, mask: Sequence[int], kind: int) ->
     return T.mix(h)
 
 
-def _stretch(same: np.ndarray, loss: int) -> tuple[int, int]:
-    """The stretch with the best sum of 1 for a match and -loss for a mismatch."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -loss))])
+def _run(same: np.ndarray, need: int, similarity: float) -> tuple[int, int] | None:
+    """Of the runs of at least need words in which the given share agrees, that with most agreeing words."""
+    total = np.concatenate([[0], np.cumsum(same - similarity)])
+    agree = np.concatenate([[0], np.cumsum(same)])
     low = np.minimum.accumulate(total)
-    hi = int(np.argmax(total - low))
-    return int(np.argmin(total[: hi + 1])), hi
+    end = np.arange(len(total))
+    start = np.searchsorted(-low, -total - 1e-9)  # the first place from which a run up to here agrees enough
+    good = np.flatnonzero(end - start >= need)
+    if not len(good):
+        return None
+    b = int(good[np.argmax(agree[good] - agree[start[good]])])
+    a = int(start[b])
+    while not same[a] and b - a > need:
+        a += 1
+    return a, b
 
 
 def decontaminate(
@@ -87,8 +101,8 @@ def decontaminate(
 
     Returns key, item_id, doc_start and item_start (first words of the overlap), n_words, n_same
     (words that agree) and place (the row's place in the scan, equal for no two rows). An overlap is
-    the best stretch of one alignment; it counts if it has least_words words, or the whole of an item
-    with fewer, and at least the given similarity. Of several alignments the one with most agreeing
+    a run of one alignment that has least_words words or more, or the whole of an item with fewer,
+    and at least the given similarity. Of several runs and alignments the one with most agreeing
     words is given, then the first. Words are lower-cased runs of letters and digits. Null and empty
     texts and items overlap with nothing; rows that repeat are each reported; items that repeat are
     reported under each id; other columns are not read.
@@ -124,7 +138,7 @@ def decontaminate(
     out, ids, texts, held = None, [], [], 0
     for item, body, n in (*blocks, (None, None, None)):
         if ids and (n is None or held + n > block_words):
-            part = search(Index(ids, texts, masks))
+            part = search(Index(ids, texts, masks, similarity))
             out = part if out is None else out.unionAll(part)
             ids, texts, held = [], [], 0
         if n is not None:
@@ -156,10 +170,11 @@ def _overlaps(index: Index, data: np.ndarray, offsets: np.ndarray, least_words:
     for row, item, shift in np.unique(np.concatenate(hits, axis=1), axis=1).T.tolist():
         lo, hi = max(index.begin[item], begin[row] - shift), min(index.begin[item + 1], begin[row + 1] - shift)
         same = index.words[lo:hi] == words[lo + shift : hi + shift]
-        a, b = _stretch(same, 2)
-        agree = int(same[a:b].sum())
         need = min(least_words, int(index.begin[item + 1] - index.begin[item]))
-        if b - a >= need and agree >= similarity * (b - a):
+        run = _run(same, need, similarity)
+        if run:
+            a, b = run
+            agree = int(same[a:b].sum())
             found = (row, item, int(lo + a + shift - begin[row]), int(lo + a - index.begin[item]), b - a, agree)
             if (row, item) not in best or agree > best[row, item][-1]:
                 best[row, item] = found
