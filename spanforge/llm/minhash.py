@@ -1,7 +1,7 @@
 """Near-duplicate classes with ProbMinHash, banding and verification.
 
-The weighted shingles of a text send arrivals of a Poisson process, each at a rate given by its
-weight, to random registers of a signature; a register keeps the shingle that arrives first. A
+The distinct shingles of a text send arrivals of a Poisson process, all at one rate however often
+they repeat, to random registers of a signature; a register keeps the shingle that arrives first. A
 shingle stops once its next arrival comes after every register of the text was reached. Two
 signatures agree in a register with the probability Jaccard similarity of the texts.
 
@@ -80,8 +80,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in T.small(batches):
         data, offs = _lowered(table.column("text"))
         for i, j in T.pieces(offs):
-            h, row, count, a, b = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            sign = signatures(h, row, 1 + np.log(count), j - i)
+            h, row, _, a, b = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            sign = signatures(h, row, np.ones(len(h)), j - i)
             bands = np.zeros((j - i, BANDS), T.U)
             for k in range(IN_BAND):
                 bands = T.mix(bands + sign[:, k::IN_BAND])
