@@ -68,6 +68,19 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 40, t
     return out.select(*names, "tokens", "weight")
 
 
+def once_rate(keep: float) -> Column:
+    """Rates of cells, none above 1, in proportion to gain but for the cells that stay whole.
+
+    The scale is the one at which the share keep of all tokens stays, so that a rare cell with a large
+    gain is kept whole in place of thinning all others; it is larger if more can stay in the target mix.
+    The kept tokens as a function of the scale are the least of a line for each number of whole
+    cells: ahead (tokens of cells with more gain) and scale * behind (tokens times gain of the rest).
+    """
+    line = F.when(F.col("behind") > 0, (keep * F.col("all_tokens") - F.col("ahead")) / F.col("behind"))
+    every = Window.partitionBy()
+    return F.least(F.lit(1.0), F.col("gain") * F.greatest(F.max(line).over(every), 1 / F.greatest(F.max("gain").over(every), F.lit(1e-300))))
+
+
 def mix_sources(
     docs: DataFrame,
     powers: Mapping[str, float] | None = None,
@@ -76,14 +89,15 @@ def mix_sources(
     rounds: int = 40,
     text: str = "text",
     key: str = "doc_id",
+    keep: float = 0.9,
 ) -> DataFrame:
     """Adds topic (unless there), mix_tokens, mix_weight, mix_rate and mix_copies to the rows.
 
     Token weights of (source, lang, topic) cells are raked to the margins' targets: those given, or
     else shares tempered by powers. mix_weight is the raked share of the row's cell; mix_rate, the
     expected number of copies, is budget * raked share / natural share, so that the expected tokens
-    are budget times those of the input, in the target mix; without a budget, it is the largest one
-    at which no row is wanted more than once. mix_copies is mix_rate rounded down or
+    are budget times those of the input, in the target mix; without a budget, no row is wanted more
+    than once, see once_rate(), and at least the share keep of all tokens is expected to stay. mix_copies is mix_rate rounded down or
     up by the row's draw, which depends on key and nothing else.
 
     Nulls of a margin are a value of their own, "". Empty and null texts have no tokens; they take
@@ -102,8 +116,16 @@ def mix_sources(
     raked = rake(cells, {m: tempered(cells, m, powers[m]) if goals[m] is None else goals[m] for m in MARGINS}, rounds)
     gain = F.when(F.col("tokens") > 0, F.col("weight") * F.sum("tokens").over(Window.partitionBy()) / F.col("tokens")).otherwise(0.0)
     raked = raked.withColumn("gain", gain)
-    rate = F.col("gain") / F.greatest(F.max("gain").over(Window.partitionBy()), F.lit(1e-300)) if budget is None else budget * F.col("gain")
-    raked = checkpointed(raked.select(*(F.col(m).alias(f"mix_{m}") for m in MARGINS), F.col("weight").alias("mix_weight"), rate.alias("mix_rate")))
+    if budget is None:
+        by_gain = Window.orderBy(F.desc("gain"), *MARGINS)  # a row for each cell
+        raked = raked.withColumns({
+            "all_tokens": F.sum("tokens").over(Window.partitionBy()),
+            "ahead": F.coalesce(F.sum("tokens").over(by_gain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "behind": F.sum(F.col("tokens") * F.col("gain")).over(by_gain.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        })
+    rate = once_rate(keep) if budget is None else budget * F.col("gain")
+    raked = raked.withColumn("rate", rate)
+    raked = checkpointed(raked.select(*(F.col(m).alias(f"mix_{m}") for m in MARGINS), F.col("weight").alias("mix_weight"), F.col("rate").alias("mix_rate")))
     small = raked.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     out = rows.join(F.broadcast(raked) if small else raked, [f"mix_{m}" for m in MARGINS])
     whole = F.floor("mix_rate")
