@@ -1,7 +1,9 @@
 """Corpus-wide questions about hashes, asked in packed form.
 
-A task makes each hash of a batch of rows unique and sends the hashes of one bucket as one
-binary value, so that Spark shuffles a few large rows in place of one row for each position of
+The rows go through one exchange in batches of neighbours, each batch as one compressed value. Every
+later step reads that exchange (Spark reuses it), so a row's batch is settled once and a text is
+shuffled once however often it is read. A batch makes its hashes unique and sends those of one bucket as
+one binary value, so that Spark shuffles a few large rows in place of one row for each position of
 the corpus, and a hot hash goes once for each batch. The task that owns a bucket sees all
 sightings of its hashes and answers each batch, again in packed form. Buckets follow
 spark.sql.shuffle.partitions, so what one task holds stays even when the input grows.
@@ -17,7 +19,6 @@ from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import in_place
 
 SENT = "bid long, kind int, bucket int, body binary, tail binary"
 BACK = "bid long, kind int, body binary"
@@ -28,41 +29,36 @@ def buckets(spark: SparkSession) -> int:
     return 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_batch(docs: DataFrame, docs_in_batch: int = 512) -> DataFrame:
-    """Adds uid, which tells rows apart that agree in all columns, and bid, the batch of neighbours.
+def batches(rows: DataFrame, most_rows: int = 512, most_bytes: int = 8 << 20, more: Callable[[pa.Array], pa.Array] | None = None) -> GroupedData:
+    """The rows (id, text) by bid: batches of neighbours, of at most most_rows rows and, unless one text is longer, most_bytes of text.
 
-    uid comes from the place of the row in the scan and is the same in every pass over the same files.
+    bid is the place of a batch's first row in the scan. more makes a further column from the texts.
     """
-    return in_place(docs).withColumn("uid", F.monotonically_increasing_id()).withColumn("bid", F.shiftright("uid", docs_in_batch.bit_length() - 1))
 
+    def pack(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            _, offs = T.buffers(table.column("text"))
+            bids = table.column("uid").to_numpy()
+            for i, j in T.pieces(offs, most_bytes, most_rows):
+                columns = {k: table.column(k).slice(i, j - i) for k in ("id", "text")}
+                if more:
+                    columns["more"] = more(columns["text"])
+                part = pa.record_batch(columns)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([bids[i]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bid", "rows"])
 
-def by_batch(tables: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Arrow batches cut where bid changes."""
-    for table in tables:
-        if table.num_rows:
-            bid = table.column("bid").to_numpy(zero_copy_only=False)
-            edge = [0, *(np.flatnonzero(np.diff(bid)) + 1), len(bid)]
-            for i, j in zip(edge, edge[1:], strict=False):
-                yield int(bid[i]), table.slice(i, j - i)
-
+    return rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(pack, "bid long, rows binary").groupBy("bid")
 
-def batches(rows: DataFrame) -> GroupedData:
-    """The rows by batch, each batch in one or two compressed values: texts are shuffled once for each pass."""
 
-    def pack(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bid, table in by_batch(tables):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
-                out.write_batch(table)
-            yield pa.RecordBatch.from_arrays([pa.array([bid], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bid", "rows"])
+def unpacked(left: pa.Table) -> pa.Table:
+    """The rows of a batch."""
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in bodies(left, "rows")])
 
-    return rows.mapInArrow(pack, "bid long, rows binary").groupBy("bid")
 
-
-def unpacked(left: pa.Table) -> pa.Table | None:
-    """The rows of a batch (None if it has none)."""
-    found = [pa.ipc.open_stream(x).read_all() for x in bodies(left, "rows")]
-    return pa.concat_tables(found) if found else None
+def bid_of(left: pa.Table) -> int:
+    return left.column("bid")[0].as_py()
 
 
 def by_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -70,28 +66,32 @@ def by_bucket(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(((hashes >> T.U(40)) % T.U(n)).astype(np.uint32), kind="stable")
 
 
-def send(bid: int, kind: int, hashes: np.ndarray, n: int, body: Callable[[np.ndarray], bytes], tail: Callable[[np.ndarray], bytes] | None = None) -> pa.RecordBatch:
+def send(bid: int, kind: int, hashes: np.ndarray, n: int, body: Callable[[np.ndarray], bytes], tail: Callable[[np.ndarray], bytes] | None = None) -> pa.Table:
     """One row for each bucket; body and tail pack the chosen positions of hashes."""
     order = by_bucket(hashes, n)
     found, first = np.unique((hashes[order] >> T.U(40)) % T.U(n), return_index=True)
     parts = np.split(order, first[1:]) if len(order) else []
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bid] * len(found), pa.int64()), pa.array([kind] * len(found), pa.int32()), pa.array(found.astype(np.int32)), pa.array([body(p) for p in parts], pa.binary()), pa.array([tail(p) if tail else b"" for p in parts], pa.binary())],
-        ["bid", "kind", "bucket", "body", "tail"],
-    )
+    columns = [[bid] * len(found), [kind] * len(found), found.astype(np.int32), [body(p) for p in parts], [tail(p) if tail else b"" for p in parts]]
+    return pa.table({k: pa.array(c, t) for (k, t), c in zip(_SENT.items(), columns, strict=True)})
+
+
+_SENT = {"bid": pa.int64(), "kind": pa.int32(), "bucket": pa.int32(), "body": pa.binary(), "tail": pa.binary()}
 
 
 def nothing() -> pa.Table:
-    return pa.table({k: pa.array([], t) for k, t in (("bid", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary()), ("tail", pa.binary()))})
+    return pa.table({k: pa.array([], t) for k, t in _SENT.items()})
 
 
 def ask(sent: DataFrame, answer: Callable[[pa.Table], list[bytes | None]]) -> DataFrame:
-    """Gives each bucket to answer, which returns a value for each of its rows (None: nothing to say)."""
+    """Gives each kind of each bucket to answer, which returns a value for each of its rows (None: nothing to say)."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = pa.array(answer(table), pa.binary())
-        keep = out.is_valid()
-        return pa.table({"bid": table.column("bid").filter(keep), "kind": table.column("kind").filter(keep), "body": out.filter(keep)})
+        kind, out = table.column("kind").to_numpy(), []
+        for k in np.unique(kind):
+            part = table.filter(pa.array(kind == k))
+            body = pa.array(answer(part), pa.binary())
+            out.append(pa.table({"bid": part.column("bid"), "kind": part.column("kind"), "body": body}).filter(body.is_valid()))
+        return pa.concat_tables(out)
 
     return sent.groupBy("bucket").applyInArrow(run, BACK)
 
@@ -100,6 +100,16 @@ def bodies(table: pa.Table, name: str = "body") -> list[bytes]:
     return table.column(name).to_pylist()
 
 
+def of_kind(table: pa.Table, kind: int) -> list[bytes]:
+    """The bodies of the answers of one kind."""
+    return [b for k, b in zip(table.column("kind").to_pylist(), bodies(table), strict=True) if k == kind]
+
+
+def hashes_of(raw: list[bytes]) -> np.ndarray:
+    """The distinct 64-bit hashes of some answers, in order."""
+    return np.unique(np.frombuffer(b"".join(raw), "<u8"))
+
+
 def low5(h: np.ndarray) -> bytes:
     """The low 40 bits of each hash; the bucket holds further ones."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
@@ -130,24 +140,31 @@ def wide_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new) - 1
 
 
+def repeated(raw: list[np.ndarray], twice: list[bytes], order: np.ndarray, run: np.ndarray) -> list[np.ndarray]:
+    """Which entries of each row have two sightings or more; a batch says of each entry whether it has it twice."""
+    seen = np.bincount(run, weights=(np.frombuffer(b"".join(twice), np.uint8) + 1.0)[order])
+    hit = np.empty(len(order), bool)
+    hit[order] = seen[run] >= 2
+    return np.split(hit, np.cumsum([len(r) for r in raw])[:-1])
+
+
 def repeated_wide(table: pa.Table) -> list[bytes | None]:
     """answer() for rows of unique 96-bit hashes (body) and whether the batch has each twice (tail).
 
     Those with two sightings go back by their first 64 bits, enough to tell the hashes of one batch apart.
     """
     raw = [np.frombuffer(b, WIDE) for b in bodies(table)]
-    sizes = np.array([len(r) for r in raw])
+    hits = repeated(raw, bodies(table, "tail"), *wide_runs(np.concatenate(raw)))
+    return [np.ascontiguousarray(r["a"][h]).tobytes() or None for r, h in zip(raw, hits, strict=True)]
+
+
+def repeated_hashes(table: pa.Table) -> list[bytes | None]:
+    """The same for 64-bit hashes."""
+    raw = [np.frombuffer(b, "<u8") for b in bodies(table)]
     x = np.concatenate(raw)
-    twice = np.frombuffer(b"".join(bodies(table, "tail")), np.uint8) + np.int64(1)
-    order, run = wide_runs(x)
-    seen = np.bincount(run, weights=twice[order])
-    hit = np.empty(len(x), bool)
-    hit[order] = seen[run] >= 2
-    out, at = [], 0
-    for r, n in zip(raw, sizes, strict=True):
-        out.append(np.ascontiguousarray(r["a"][hit[at : at + n]]).tobytes() or None)
-        at += n
-    return out
+    order = np.argsort(x, kind="stable")
+    run = np.cumsum(np.concatenate([[0], x[order][1:] != x[order][:-1]]))
+    return [r[h].tobytes() or None for r, h in zip(raw, repeated(raw, bodies(table, "tail"), order, run), strict=True)]
 
 
 def unique_wide(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

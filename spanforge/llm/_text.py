@@ -74,13 +74,14 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
             yield batch.slice(i, rows)
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most `most` bytes; a longer row makes a run of its own."""
+def pieces(offsets: np.ndarray, most: int = 1 << 20, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Runs of rows of at most `most` bytes and `rows` rows; a longer row makes a run of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, i + rows, n)
+        yield i, j
+        i = j
 
 
 SPACE = np.zeros(256, bool)

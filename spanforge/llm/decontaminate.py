@@ -96,11 +96,13 @@ def decontaminate(
     key: str = "doc_id",
     item_key: str = "item_id",
     block_words: int = BLOCK_WORDS,
+    place: str | None = None,
 ) -> DataFrame:
     """One row for each text and benchmark item that overlap.
 
     Returns key, item_id, doc_start and item_start (first words of the overlap), n_words, n_same
-    (words that agree) and place (the row's place in the scan, equal for no two rows). An overlap is
+    (words that agree) and place (the row's place: the column place, if one is named, or else its
+    place in the scan, equal for no two rows). An overlap is
     a run of one alignment that has least_words words or more, or the whole of an item with fewer,
     and at least the given similarity. Of several runs and alignments the one with most agreeing
     words is given, then the first. Words are lower-cased runs of letters and digits. Null and empty
@@ -110,7 +112,7 @@ def decontaminate(
     The benchmark goes to the tasks in blocks of at most block_words words, one pass over the texts
     for each block.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = docs.select((F.col(place) if place else F.monotonically_increasing_id()).alias("place"), F.col(key).alias("id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_key).alias("item"), F.col("text").alias("text")).filter("text is not null")
     size = F.size(F.split("text", r"\s+"))
     blocks = items.select("item", "text", size.alias("n")).orderBy("item").toLocalIterator(prefetchPartitions=False)

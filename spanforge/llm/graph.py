@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from ._shared import checkpointed
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of the links (a, b): label is the smallest node of its component.
 
     Each round takes the least label among a node's neighbours, then that of its label's label, so
-    that long chains shorten fast. Nodes that no link names are not in the result; a link from a
+    that long chains shorten fast; it ends as labels only ever fall. Nodes that no link names are not in the result; a link from a
     node to itself names it.
     """
     edges = checkpointed(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a")).distinct())
     labels = checkpointed(edges.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("near"))
         far = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
@@ -25,7 +25,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = after.select("node", "label")
         if after.filter("moved").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -110,9 +111,17 @@ def _batch_grams(data: np.ndarray, offs: np.ndarray, mine: np.ndarray) -> tuple[
 
 def _totals(rows: DataFrame, target: DataFrame) -> tuple[int, int]:
     """Words and ends of all rows, and of those of the target."""
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    sized = rows.select("id", F.when(words > 0, words + 1).otherwise(0).cast("long").alias("n"))
-    return tuple(x.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for x in (sized, sized.join(target, "id", "left_semi")))
+
+    def count(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in tables:
+            data, offs = T.buffers(table.column("text"))
+            size = [np.diff(T.words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[2]) for i, j in T.pieces(offs)]
+            size = np.concatenate([np.zeros(0, np.int64), *size])
+            yield pa.RecordBatch.from_arrays([table.column("id"), pa.array(size + (size > 0), pa.int64())], ["id", "n"])
+
+    sized = rows.mapInArrow(count, f"id {rows.schema['id'].dataType.simpleString()}, n long")
+    own = F.when(F.col("own"), F.col("n"))
+    return tuple(sized.join(target.withColumn("own", F.lit(True)), "id", "left").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", own))).first())
 
 
 def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: float = 0.05, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -121,34 +130,39 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
     Returns key, n_words, target_loss, background_loss and score (their difference) in nats a word.
     Words are runs of bytes other than white space. Null and empty texts have no words, count
     nowhere and get null losses and a null score; a null key is in no target; rows that repeat count
-    each; keys that target lists twice count once; other columns are not read.
+    each; keys that target lists twice count once; an empty table gives no rows; other columns are not read.
     """
     n = P.buckets(docs.sparkSession)
-    rows = P.with_batch(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), 1024)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     target = target.select(F.col(key).alias("id")).distinct()
     totals = _totals(rows, target)
-    marks = rows.select("id", "uid", "bid").join(target, "id", "left_semi")
-    marks = marks.groupBy("bid").agg(F.collect_list("uid").alias("uids"))  # a batch has no more than 1024
+    batches = P.batches(rows, 1024)
 
-    def owned(uid: pa.ChunkedArray, uids: list[int]) -> np.ndarray:
-        return np.isin(uid.to_numpy(), np.array(uids, np.int64))
+    # The ids of a batch's rows in the target, 1024 at most.
+    def ids(left: pa.Table) -> pa.Table:
+        found = P.unpacked(left).column("id").unique()
+        return pa.table({"bid": pa.array([P.bid_of(left)] * len(found), pa.int64()), "id": found.cast(kind)})
+
+    kind = to_arrow_type(rows.schema["id"].dataType)
+    id_type = rows.schema["id"].dataType.simpleString()
+    marks = batches.applyInArrow(ids, f"bid long, id {id_type}").join(target, "id", "left_semi").groupBy("bid").agg(F.collect_list("id").alias("ids"))
+
+    def owned(rows: pa.Table, right: pa.Table) -> np.ndarray:
+        marked = [x for x in right.column("ids").to_pylist() if x]
+        own = pa.array([y for x in marked for y in x], rows.schema.field("id").type)
+        return pc.is_in(rows.column("id"), value_set=own, skip_nulls=True).to_numpy()
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = P.unpacked(left)
-        if left is None:
-            return P.nothing()
-        mine = owned(left.column("uid"), right.column("uids")[0].as_py() if right.num_rows else [])
-        h, seen, own = _batch_grams(*T.buffers(left.column("text")), mine)
-        return pa.Table.from_batches([P.send(left.column("bid")[0].as_py(), 0, h, n, lambda p: P.low5(h[p]), lambda p: _pack_counts(seen[p], own[p]))])
+        rows = P.unpacked(left)
+        h, seen, own = _batch_grams(*T.buffers(rows.column("text")), owned(rows, right))
+        return P.send(P.bid_of(left), 0, h, n, lambda p: P.low5(h[p]), lambda p: _pack_counts(seen[p], own[p]))
 
-    counts = P.ask(P.batches(rows.select("uid", "bid", "text")).cogroup(marks.groupBy("bid")).applyInArrow(count, P.SENT), _add_up)
-    kind = to_arrow_type(rows.schema["id"].dataType)
+    counts = P.ask(batches.cogroup(marks.groupBy("bid")).applyInArrow(count, P.SENT), _add_up)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         left = P.unpacked(left)
-        uids = [u for x in right.column("uids").to_pylist() if x for u in x]
         data, offs = T.buffers(left.column("text"))
-        own_row = owned(left.column("uid"), uids)
+        own_row = owned(left, right)
         names, _, _ = _batch_grams(data, offs, own_row)
         back, front = np.empty(len(names)), np.empty(len(names))
         order = P.by_bucket(names, n)
@@ -190,6 +204,6 @@ def lm_scores(docs: DataFrame, target: DataFrame, weight: float = 0.7, floor: fl
         none = size == 0
         return pa.table({"id": left.column("id").cast(kind), "n_words": pa.array(size, pa.int64())} | {name: pa.array(x, pa.float64(), mask=none) for name, x in (("target_loss", front_loss), ("background_loss", back_loss), ("score", back_loss - front_loss))})
 
-    known = counts.select("bid", "body", F.lit(None).cast("array<long>").alias("uids")).unionByName(marks.select("bid", F.lit(None).cast("binary").alias("body"), "uids"))
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words long, target_loss double, background_loss double, score double"
-    return P.batches(rows).cogroup(known.groupBy("bid")).applyInArrow(score, schema).withColumnRenamed("id", key)
+    known = counts.select("bid", "body", F.lit(None).cast(f"array<{id_type}>").alias("ids")).unionByName(marks.select("bid", F.lit(None).cast("binary").alias("body"), "ids"))
+    schema = f"id {id_type}, n_words long, target_loss double, background_loss double, score double"
+    return batches.cogroup(known.groupBy("bid")).applyInArrow(score, schema).withColumnRenamed("id", key)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._shared import checkpointed, in_place
+from ._shared import checkpointed, free_name, with_place
 from .graph import components, joined
 
 BANDS, IN_BAND = 20, 5
@@ -213,16 +213,18 @@ def _every_link(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id", place: str | None = None) -> DataFrame:
     """Classes of near-duplicates: texts linked by a Jaccard similarity of at least `similarity` on five-word shingles.
 
-    Returns key, uid (the row's place in the scan), class_id (the smallest key of the class),
-    class_size and kept for each row. One row of a class is kept, that with the smallest key, null
-    last; of rows that tie, the first in the scan. Words are lower-cased runs of letters and digits;
+    Returns key, uid (the row's place: the column place, no two rows of which are equal, or else its
+    place in the files), class_id (the smallest key of the class), class_size and kept for each row.
+    One row of a class is kept, that with the smallest key, null last; of rows that tie, the first by place. Words are lower-cased runs of letters and digits;
     a text of fewer than five words is one shingle; texts without words, null ones included, are one
     class; rows that repeat are one class; other columns are not read.
     """
-    rows = in_place(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))).withColumn("uid", F.monotonically_increasing_id())
+    if place is None:
+        docs = with_place(docs, place := free_name(docs, "place"))
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(place).alias("uid"))
     signed = checkpointed(rows.mapInArrow(_signed, f"uid long, id {rows.schema['id'].dataType.simpleString()}, words_a long, words_b long, sign binary, bands array<long>"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid"))
     same = signed.groupBy("words_a", "words_b").agg(F.min("uid").alias("node"), first.alias("first"), F.count("*").alias("n"))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import checkpointed
+from ._shared import checkpointed, free_name
 
 MARGINS = ("source", "lang", "topic")
 #: What a cell table may hold and still be broadcast; a larger one is joined by shuffle.
 BROADCAST_CELLS = 100_000
 
+#: How far a margin may be off its target share in silence.
+WIDE_GAP = 1e-3
+
 #: Marks of a text's form, the first that is found counts; a text with none is prose.
 TOPIC_MARKS = (("licence", "icensed under"), ("table", " | "), ("link", "http"), ("contact", "@"))
 
@@ -26,7 +30,7 @@ def form_topic(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words parted by spaces and line ends; 0 for an empty or null text."""
+    """Spaces and line ends, and one: the words of a text that parts them by one of these; 0 for an empty or null text."""
     gaps = 2 * F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     return F.when(F.length(text) > 0, gaps + 1).otherwise(0).cast("long")
 
@@ -48,10 +52,12 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 40, t
 
     cells: a row for each combination of margin values, with its tokens. targets: for each margin, a
     row for each value with its share. A step scales the cells of each value so that they sum to its
-    share. Ends when the last margin's step moves no margin by more than tolerance, or after rounds.
+    share. Ends when the last margin's step moves no margin by more than tolerance, or after rounds; if
+    a margin is then still off by more than WIDE_GAP, as with targets that no weights of these cells
+    can meet, it warns of the gap.
     Cells without tokens keep weight 0; a value that targets doesn't list has share 0.
     """
-    names = list(targets)
+    names, gap = list(targets), 0.0
     out = cells
     for m in names:
         out = out.join(targets[m].select(m, F.col("target").alias(f"target_{m}")), m, "left").fillna(0.0, [f"target_{m}"])
@@ -63,8 +69,11 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = 40, t
                 out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{m}") / total).otherwise(0.0))
         out = checkpointed(out)
         gaps = [out.groupBy(F.lit(m).alias("margin"), m).agg(F.abs(F.sum("weight") - F.max(f"target_{m}")).alias("gap")).agg(F.max("gap")).first()[0] for m in names[:-1]]
-        if max(g or 0.0 for g in gaps or [0.0]) <= tolerance:
+        gap = max(g or 0.0 for g in gaps or [0.0])
+        if gap <= tolerance:
             break
+    if gap > WIDE_GAP:
+        warnings.warn(f"raking ended with a margin off its target by {gap:.4f}", stacklevel=2)
     return out.select(*names, "tokens", "weight")
 
 
@@ -90,6 +99,7 @@ def mix_sources(
     text: str = "text",
     key: str = "doc_id",
     keep: float = 0.9,
+    prefix: str = "mix_",
 ) -> DataFrame:
     """Adds topic (unless there), mix_tokens, mix_weight, mix_rate and mix_copies to the rows.
 
@@ -101,16 +111,19 @@ def mix_sources(
     up by the row's draw, which depends on key and nothing else.
 
     Nulls of a margin are a value of their own, "". Empty and null texts have no tokens; they take
-    the rate of their cell, 0 if the cell has no tokens at all. Rows that repeat draw alike. All
-    columns of docs stay, whatever their names, but earlier mix_ columns are replaced.
+    the rate of their cell, 0 if the cell has no tokens at all. Rows that repeat draw alike. An empty
+    table gives no rows. All columns of docs stay, but earlier ones with the names of the four that are
+    added (prefix and tokens, weight, rate, copies) are replaced.
     """
     powers = {m: 0.7 for m in MARGINS} | dict(powers or {})
     body = F.col(text)
     topic = F.col("topic") if "topic" in docs.columns else form_topic(body)
-    cell = [F.coalesce(c.cast("string"), F.lit("")).alias(f"mix_{m}") for m, c in (("source", F.col("source")), ("lang", F.col("lang")), ("topic", topic))]
-    docs = docs.drop(*(c for c in docs.columns if c.startswith("mix_")))
-    rows = docs.select("*", *cell, token_count(body).alias("mix_tokens"))
-    cells = rows.groupBy(*(F.col(f"mix_{m}").alias(m) for m in MARGINS)).agg(F.sum("mix_tokens").alias("tokens"))
+    tokens, weight, rate, copies = (f"{prefix}{x}" for x in ("tokens", "weight", "rate", "copies"))
+    docs = docs.drop(tokens, weight, rate, copies)
+    cell = {m: free_name(docs, f"cell_{m}") for m in MARGINS}
+    values = (("source", F.col("source")), ("lang", F.col("lang")), ("topic", topic))
+    rows = docs.select("*", *(F.coalesce(c.cast("string"), F.lit("")).alias(cell[m]) for m, c in values), token_count(body).alias(tokens))
+    cells = rows.groupBy(*(F.col(cell[m]).alias(m) for m in MARGINS)).agg(F.sum(tokens).alias("tokens"))
     cells = checkpointed(cells)
     goals = {m: (targets or {}).get(m) for m in MARGINS}
     raked = rake(cells, {m: tempered(cells, m, powers[m]) if goals[m] is None else goals[m] for m in MARGINS}, rounds)
@@ -123,12 +136,11 @@ def mix_sources(
             "ahead": F.coalesce(F.sum("tokens").over(by_gain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
             "behind": F.sum(F.col("tokens") * F.col("gain")).over(by_gain.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
         })
-    rate = once_rate(keep) if budget is None else budget * F.col("gain")
-    raked = raked.withColumn("rate", rate)
-    raked = checkpointed(raked.select(*(F.col(m).alias(f"mix_{m}") for m in MARGINS), F.col("weight").alias("mix_weight"), F.col("rate").alias("mix_rate")))
+    raked = raked.withColumn("rate", once_rate(keep) if budget is None else budget * F.col("gain"))
+    raked = checkpointed(raked.select(*(F.col(m).alias(cell[m]) for m in MARGINS), F.col("weight").alias(weight), F.col("rate").alias(rate)))
     small = raked.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    out = rows.join(F.broadcast(raked) if small else raked, [f"mix_{m}" for m in MARGINS])
-    whole = F.floor("mix_rate")
-    out = out.withColumn("mix_copies", (whole + F.when(draw(F.col(key)) < F.col("mix_rate") - whole, 1).otherwise(0)).cast("int"))
-    own = docs.columns if "topic" in docs.columns else [*docs.columns, F.col("mix_topic").alias("topic")]
-    return out.select(*own, "mix_tokens", "mix_weight", "mix_rate", "mix_copies")
+    out = rows.join(F.broadcast(raked) if small else raked, list(cell.values()))
+    whole = F.floor(rate)
+    out = out.withColumn(copies, (whole + F.when(draw(F.col(key)) < F.col(rate) - whole, 1).otherwise(0)).cast("int"))
+    own = docs.columns if "topic" in docs.columns else [*docs.columns, F.col(cell["topic"]).alias("topic")]
+    return out.select(*own, tokens, weight, rate, copies)

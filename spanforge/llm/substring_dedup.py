@@ -14,12 +14,12 @@ a run of `block` words that is a reference block of one of them. Three passes:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _packed as P
 from . import _text as T
@@ -58,34 +58,34 @@ def substring_dedup(docs: DataFrame, width: int = 35, text: str = "text", key: s
     Returns key, kept_text, n_words, n_removed, n_spans (maximal removed runs) and kept_sha256 for
     each row. Words are runs of bytes other than space, tab, LF, VT, FF and CR; kept words are
     joined by one space. Null and empty texts have no words; rows that repeat, with any key or a
-    null one, each count as a document of their own; other columns are not read.
+    null one, each count as a document of their own; texts of fewer than width words stay whole; an
+    empty table gives no rows; other columns are not read.
     """
     block = (width + 1) // 2
     n = P.buckets(docs.sparkSession)
-    rows = P.with_batch(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
-
-    def probe(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bid, table in P.by_batch(tables):
-            data, offs = T.buffers(table.column("text"))
-            found, flags = [], []
-            for i, j in T.pieces(offs):
-                d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                s, e, begin = T.words(d, o)
-                at = T.windows(begin, block)
-                found.append(T.span_hash(T.prefix(T.word_hashes(d, s, e)), at, at + block))
-                flags.append(_blocks(begin, block, at))
-            h, inverse, seen = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-            flag = (seen > 1).astype(np.uint8)
-            flag[inverse[np.concatenate(flags)]] |= 2
-            if len(h):
-                yield P.send(bid, 0, h, n, lambda p, h=h: P.low5(h[p]), lambda p, flag=flag: flag[p].tobytes())
-
-    hits = P.ask(rows.select("bid", "text").mapInArrow(probe, P.SENT), _hits)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    batches = P.batches(rows)
+
+    def probe(left: pa.Table) -> pa.Table:
+        data, offs = T.buffers(P.unpacked(left).column("text"))
+        found, flags = [], []
+        for i, j in T.pieces(offs):
+            d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            s, e, begin = T.words(d, o)
+            at = T.windows(begin, block)
+            found.append(T.span_hash(T.prefix(T.word_hashes(d, s, e)), at, at + block))
+            flags.append(_blocks(begin, block, at))
+        h, inverse, seen = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        flag = (seen > 1).astype(np.uint8)
+        flag[inverse[np.concatenate(flags)]] |= 2
+        return P.send(P.bid_of(left), 0, h, n, lambda p: P.low5(h[p]), lambda p: flag[p].tobytes())
+
+    hits = P.ask(batches.applyInArrow(probe, P.SENT), _hits)
 
     def extend(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = P.unpacked(left)
-        if left is None or not right.num_rows:
+        if not right.num_rows:
             return P.nothing()
+        bid, left = P.bid_of(left), P.unpacked(left)
         back = np.unique(P.from_low5(b"".join(P.bodies(right))))
         data, offs = T.buffers(left.column("text"))
         a, b = [], []
@@ -103,13 +103,14 @@ def substring_dedup(docs: DataFrame, width: int = 35, text: str = "text", key: s
             a.append(T.span_hash(one, at, at + width))
             b.append(T.span_hash(T.prefix(T.word_hashes(d, s, e, 2)), at, at + width))
         x, twice = P.unique_wide(np.concatenate(a), np.concatenate(b))
-        return pa.Table.from_batches([P.send(left.column("bid")[0].as_py(), 1, x["a"], n, lambda p: x[p].tobytes(), lambda p: twice[p].tobytes())])
+        return P.send(bid, 1, x["a"], n, lambda p: x[p].tobytes(), lambda p: twice[p].tobytes())
 
-    repeated = P.ask(P.batches(rows.select("bid", "text")).cogroup(hits.groupBy("bid")).applyInArrow(extend, P.SENT), P.repeated_wide)
+    repeated = P.ask(batches.cogroup(hits.groupBy("bid")).applyInArrow(extend, P.SENT), P.repeated_wide)
+    kind = to_arrow_type(rows.schema["id"].dataType)
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         left = P.unpacked(left)
-        back = np.unique(np.frombuffer(b"".join(P.bodies(right)), "<u8"))
+        back = P.hashes_of(P.bodies(right))
         data, offs = T.buffers(left.column("text"))
         texts, total, gone, spans, sha = [], [], [], [], []
         for i, j in T.pieces(offs):
@@ -132,9 +133,5 @@ def substring_dedup(docs: DataFrame, width: int = 35, text: str = "text", key: s
                 sha.append(hashlib.sha256(kept).hexdigest())
         return pa.table({"id": left.column("id").cast(kind), "kept_text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = to_arrow_type(rows.schema["id"].dataType)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, kept_text string, n_words long, n_removed long, n_spans long, kept_sha256 string"
-    out = P.batches(rows.select("bid", "id", "text")).cogroup(repeated.groupBy("bid")).applyInArrow(remove, schema)
-    return out.withColumnRenamed("id", key)
+    return batches.cogroup(repeated.groupBy("bid")).applyInArrow(remove, schema).withColumnRenamed("id", key)

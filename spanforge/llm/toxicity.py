@@ -214,26 +214,26 @@ def score_words(words: set[str], lexicon: dict[str, float], prior: float, rememb
     return 1.0 - clean
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 100_000, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Adds toxic_score (0 to 1) to all columns of docs.
+def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 100_000, text: str = "text", key: str = "doc_id", score: str = "toxic_score") -> DataFrame:
+    """Adds a score (0 to 1) of the given name to all columns of docs.
 
     labels has key and toxic and should hold training rows only. The score of a text without any
     word of the lexicon, empty and null ones included, is the prior 0.01; with no toxic labelled row
-    all have it. Rows that repeat score alike; an earlier toxic_score is replaced. Counts of the
+    all have it. Rows that repeat score alike; an earlier column of the score's name is replaced. Counts of the
     character model cover all texts; the model and the lexicon have a fixed size.
     """
     learnt = trigram_counts(docs.select(text)).toPandas()
     grams = (learnt["gram"].to_numpy(np.int64), learnt["n"].to_numpy(np.float64))
     lexicon = train_lexicon(docs, labels, grams, rows, text=text, key=key)
-    docs = docs.drop("toxic_score")
+    docs = docs.drop(score)
     kept = docs.columns
 
-    def score(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, remembered = Channel(*grams), {}
         for batch in T.small(tables):
             body = batch.column(kept.index(text)).to_pylist()
             out = pa.array([score_words(channel.words(x or ""), lexicon, 0.01, remembered) for x in body], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*kept, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*kept, score])
 
-    schema = StructType([*docs.schema.fields, StructField("toxic_score", DoubleType())])
-    return docs.mapInArrow(score, schema)
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+    return docs.mapInArrow(scored, schema)

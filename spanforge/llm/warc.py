@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import in_place
+from ._shared import free_name, with_place
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
@@ -67,11 +67,12 @@ def _record(row: dict, date: str) -> bytes:
 def with_originals(pages: DataFrame, least: int = 0) -> DataFrame:
     """Adds refers_to and refers_uid to the pages whose payload, of at least `least` bytes, an earlier page has.
 
-    Earlier is by page_id, null last, then by place in the scan. Payloads are equal if length, SHA-1
+    Earlier is by page_id, null last, then by place in the files. Payloads are equal if length, SHA-1
     and xxHash64 agree.
     """
     body = F.coalesce("html", F.lit(""))
-    rows = in_place(pages.select("page_id", "url", "html")).select("page_id", "url", "html", F.monotonically_increasing_id().alias("uid"), F.octet_length(body).alias("size"), F.sha1(body).alias("sha"), F.xxhash64(body).alias("hash"))
+    place = free_name(pages, "place")
+    rows = with_place(pages, place).select("page_id", "url", "html", F.col(place).alias("uid"), F.octet_length(body).alias("size"), F.sha1(body).alias("sha"), F.xxhash64(body).alias("hash"))
     first = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uid"))
     groups = rows.filter(F.col("size") >= least).groupBy("sha", "hash").agg(F.max("size").alias("size"), first.alias("first"), F.count("*").alias("n"))
     # Joined by size too, which deals both sides anew, so that Spark can split a hot group.
@@ -235,6 +236,8 @@ def records_in(file: pa.NativeFile, start: int, end: int, with_payload: bool) ->
 def read_warc(spark: SparkSession, folder: str, split_bytes: int = 32 << 20, with_payload: bool = True) -> DataFrame:
     """One row for each record of the *.warc.gz files in folder.
 
+    page_id and refers_to are numbers, as pages have them; ids of other kinds, and archives of others that have none, give nulls
+    there (record_id and refers_to_id tell records apart all the same).
     payload_bytes is the length of the full payload, of a revisit that of the payload it repeats;
     found_digest is the digest of the bytes read. payload is null for revisits and if not asked for.
     """
