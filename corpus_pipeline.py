@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm._shared import new_folder
+from spanforge.llm._shared import free_name, new_folder, with_place
 from spanforge.llm.decontaminate import decontaminate
 from spanforge.llm.minhash import near_duplicates
 from spanforge.llm.mixing import mix_sources
@@ -20,36 +20,69 @@ from spanforge.llm.toxicity import toxicity
 
 TOXIC = 0.7
 SHARDS = 8
-#: A row's place in the scan of a stage's input, by which results are joined back.
-PLACE = "__place"
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column that tells its rows apart, by which results are joined back; and its name.
+
+    The place belongs to the row in its file: however the files are packed into tasks, each pass sees the same.
+    """
+    name = free_name(docs, "place")
+    return with_place(docs, name), name
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that score TOXIC or more go."""
+    """Texts that score TOXIC or more go.
+
+    Null and empty texts score the prior and stay; rows that repeat share their fate; an empty table
+    stays empty; all columns stay, a toxic_score of the input among them.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out(F.col("doc_id")))
-    return toxicity(docs, labels).filter(F.col("toxic_score") < TOXIC).select(*docs.columns)
+    score = free_name(docs, "toxic_score")
+    return toxicity(docs, labels, score=score).filter(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the smallest doc_id."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("uid").alias(PLACE))
-    return docs.withColumn(PLACE, F.monotonically_increasing_id()).join(kept, PLACE, "left_semi").select(*docs.columns)
+    """One document of each class stays, that with the smallest doc_id.
+
+    Null doc_ids come last; of rows that tie, repeated rows too, the first by place stays. Texts without words, null
+    ones included, are one class. An empty table stays empty; all columns stay.
+    """
+    rows, place = _placed(docs)
+    kept = near_duplicates(rows, place=place).filter("kept").select(F.col("uid").alias(place))
+    return rows.join(kept, place, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    hits = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("place").alias(PLACE)).distinct()
-    return docs.withColumn(PLACE, F.monotonically_increasing_id()).join(hits, PLACE, "left_anti").select(*docs.columns)
+    """Documents that hold a passage of the benchmark go.
+
+    Null and empty texts hold none and stay; rows that repeat share their fate; an empty table, or
+    benchmark, leaves docs as it is; all columns stay.
+    """
+    rows, place = _placed(docs)
+    hits = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), place=place).select(F.col("place").alias(place)).distinct()
+    return rows.join(hits, place, "left_anti").select(*docs.columns)
 
 
 def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn, none twice, so that sources, languages and topics come near equal weights by a little."""
-    mixed = mix_sources(docs, {"source": 0.95, "lang": 0.95, "topic": 0.98}, budget=None)
-    return mixed.filter("mix_copies > 0").select(*docs.columns)
+    """Documents are drawn, none twice, so that sources, languages and topics come near equal weights by a little.
+
+    Null sources and languages are values of their own. A row's draw depends on its doc_id alone, so rows that repeat are
+    drawn together. Null and empty texts go with their cell; an empty table stays empty; all columns stay.
+    """
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    mixed = mix_sources(docs, {"source": 0.95, "lang": 0.95, "topic": 0.98}, budget=None, prefix=prefix)
+    return mixed.filter(F.col(f"{prefix}copies") > 0).select(*docs.columns)
 
 
 def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contiguous shards of near-equal bytes."""
+    """Contiguous shards of near-equal bytes, in the order of doc_id.
+
+    Null doc_ids come first; a null text has size 1; rows that tie are ordered by place; an empty
+    table gives no rows; other columns are not read.
+    """
     return shard_by_bytes(docs, SHARDS)
 
 
