@@ -24,9 +24,9 @@ SENT = "bid long, kind int, bucket int, body binary, tail binary"
 BACK = "bid long, kind int, body binary"
 
 
-def buckets(spark: SparkSession) -> int:
-    """Four buckets to a shuffle partition."""
-    return 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(spark: SparkSession, each: int = 4) -> int:
+    """As many buckets to a shuffle partition."""
+    return each * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def batches(rows: DataFrame, most_rows: int = 512, most_bytes: int = 8 << 20, more: Callable[[pa.Array], pa.Array] | None = None) -> GroupedData:

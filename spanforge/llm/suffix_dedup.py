@@ -237,9 +237,9 @@ def suffix_dedup(docs: DataFrame, width: int = 400, spread: int = 256, text: str
     """
     if spread + GRAM > width or spread <= CLASS or spread >= 1 << 16:
         raise ValueError("spread must be more than 16 and at most width - 16")
-    n = P.buckets(docs.sparkSession)
+    n = P.buckets(docs.sparkSession, 2)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    batches = P.batches(rows, more=_steps(width, spread))
+    batches = P.batches(rows, 1024, more=_steps(width, spread))
 
     def initial(left: pa.Table) -> pa.Table:
         batch = Batch(left, width, spread)
