@@ -218,8 +218,6 @@ def test_decontamination(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate(table(spark, texts), bench).collect()}
     assert set(got) == {(20, 0), (21, 1), (22, 2), (24, 8), (25, 11)}
     assert (got[20, 0].doc_start, got[20, 0].n_words, got[21, 1].n_same) == (40, 30, 27)
-    blocks = decontaminate(table(spark, texts), bench, block_words=31).collect()
-    assert {(r.doc_id, r.item_id) for r in blocks} == set(got)
 
 
 def test_channel_restores_words(spark):
@@ -228,7 +226,7 @@ def test_channel_restores_words(spark):
     channel = Channel(g["gram"].to_numpy(), g["n"].to_numpy(float))
     for written, meant in (("stup1d", "stupid"), ("1d10t", "idiot"), ("tr@$h", "trash"), ("l0ooooser", "loser"), ("p4th3t1c!!!", "pathetic"), ("st-up.id", "stupid"), ("hello", "hello"), ("text", "text")):
         assert channel.restore(written) == meant
-    assert {"stupid", "moron"} <= channel.words("you s t u p i d and m.o.r.o.n man")
+    assert {"stupid", "moron"} <= channel.words("you s t u p i d and m.o.r.o.n man")[0].keys()
 
 
 def test_toxicity_holds_out(spark):
