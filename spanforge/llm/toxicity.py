@@ -30,6 +30,8 @@ SIZE = len(LETTERS) + 1
 _CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 #: Log probabilities of the channel.
 SIGN_COST, DROP_COST, KEEP_COST = -1.0, -0.5, -4.0
+#: Shares of a text's words that tell how dense a beginning stands in it.
+RATES = (1 / 400, 1 / 200, 1 / 100, 1 / 50)
 #: Words whose restored forms a task remembers.
 REMEMBERED = 150_000
 
@@ -121,20 +123,43 @@ class Channel:
             beam, last = after or beam, c
         return max((score + float(self.logp[a, b, 0]), text) for (a, b), (score, text) in beam.items())[1]
 
-    def words(self, text: str) -> set[str]:
-        """The distinct restored words of a text, and the words that gaps between letters were closed in."""
+    def words(self, text: str) -> tuple[Counter, int]:
+        """How often each restored word stands in a text, words that gaps between letters part among them; and the number of written words."""
         low = text.lower()
-        out = set(map(self.restore, set(low.split())))
-        out.update(self.decode(_GAP.sub("", m)) for m in _SPACED.findall(low))
-        return out
+        written, out = Counter(low.split()), Counter()
+        for word, n in written.items():
+            out[self.restore(word)] += n
+        for spaced in _SPACED.findall(low):
+            out[self.decode(_GAP.sub("", spaced))] += 1
+        return out, written.total()
+
+    def places(self, text: str) -> Iterator[tuple[str, str]]:
+        """The restored words in order, with what is written around each."""
+        low = text.lower()
+        written = ["", *low.split(), ""]
+        for before, word, after in zip(written, written[1:], written[2:], strict=False):
+            yield self.restore(word), f"{before} {after}"
+        for m in _SPACED.finditer(low):
+            yield self.decode(_GAP.sub("", m[0])), f"{low[max(m.start() - 12, 0) : m.start()]}{low[m.end() : m.end() + 12]}"
+
+
+def _beginnings(word: str) -> list[str]:
+    """Beginnings of four to seven letters, marked with a hyphen."""
+    return [f"{word[:k]}-" for k in range(4, min(len(word), 8))]
+
+
+def _levels(n: int, words: int) -> range:
+    """The levels of RATES that n of some words reach; a single one reaches none."""
+    return range(sum(n >= rate * words for rate in RATES) if n > 1 else 0)
 
 
-def _features(words: set[str]) -> set[str]:
-    """Words, and beginnings of four to seven letters (marked with a hyphen)."""
-    out = set(words)
-    for w in tuple(out):
-        out.update(f"{w[:k]}-" for k in range(4, min(len(w), 8)))
-    return out
+def _features(found: Counter, words: int) -> set[str]:
+    """Words, beginnings, and beginnings with each level of the share of words that have them."""
+    begun = Counter()
+    for word, n in found.items():
+        for x in _beginnings(word):
+            begun[x] += n
+    return {*found, *begun, *(f"{x}{k}" for x, n in begun.items() for k in _levels(n, words))}
 
 
 def _surely(toxic: int, clean: int, z: float = 2.0) -> float:
@@ -144,11 +169,12 @@ def _surely(toxic: int, clean: int, z: float = 2.0) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def train_lexicon(docs: DataFrame, labels: DataFrame, grams: tuple[np.ndarray, np.ndarray], rows: int = 100_000, entries: int = 20_000, text: str = "text", key: str = "doc_id") -> dict[str, float]:
+def train_lexicon(docs: DataFrame, labels: DataFrame, grams: tuple[np.ndarray, np.ndarray], rows: int = 100_000, text: str = "text", key: str = "doc_id") -> dict[str, float]:
     """Features that at least half of the rows with them are toxic, with a bound of that share.
 
     Learnt from some `rows` labelled rows at most, chosen by a hash of their key: that bounds what is
-    broadcast (16 bytes a row). At most `entries` features stay, those with the highest bound.
+    broadcast (16 bytes a row), and with it the features that reach the driver: only those that four
+    toxic rows or more have, and more toxic ones than clean or any beginning.
     """
     picked = labels.select(F.col(key).alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna().distinct()
     total = picked.count()
@@ -160,7 +186,7 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, grams: tuple[np.ndarray, n
         channel, seen = Channel(*grams), (Counter(), Counter())
         for batch in T.small(tables):
             for body, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen[toxic > 0].update(_features(channel.words(body or "")))
+                seen[toxic > 0].update(_features(*channel.words(body or "")))
             if len(seen[0]) > 200_000:
                 yield from flush(seen)
         yield from flush(seen)
@@ -173,18 +199,28 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, grams: tuple[np.ndarray, n
 
     found = train.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     share = F.col("toxic") / (F.col("toxic") + F.col("clean"))
-    best = found.filter((F.col("toxic") >= 4) & (share > 0.5)).orderBy(F.desc("toxic"), "feature").limit(entries).collect()
-    names = {r.feature for r in best}
+    found = found.filter((F.col("toxic") >= 4) & ((share > 0.5) | F.endswith("feature", F.lit("-")))).collect()
+    counts = {r.feature: np.array([r.toxic, r.clean]) for r in found}
+    names = {x for x, (toxic, clean) in counts.items() if toxic > clean}
+    dense = {x[:-1] for x in names if x[-1].isdigit() and x[-2:-1] == "-"}
 
     def places(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each row and feature the first word that has it, and what is written around it."""
         channel = Channel(*grams)
         for batch in T.small(tables):
             seen = set()
             for body in batch.column("text").to_pylist():
-                words = ["", *map(channel.restore, (body or "").lower().split()), ""]
-                for k in range(1, len(words) - 1):
-                    w = words[k]
-                    seen.update((x, w, f"{words[k - 1]} {words[k + 1]}") for x in (w, *(f"{w[:n]}-" for n in range(4, min(len(w), 8)))) if x in names)
+                first: dict[str, tuple[str, str]] = {}
+                n, total = Counter(), len((body or "").split())
+                for word, place in channel.places(body or ""):
+                    begun = _beginnings(word)
+                    n.update(x for x in begun if x in dense)
+                    for x in (word, *begun):
+                        if x in names or x in dense:
+                            first.setdefault(x, (word, place))
+                for x in n:
+                    first |= {f"{x}{k}": first[x] for k in _levels(n[x], total)}
+                seen.update((x, *first[x]) for x in first.keys() & names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*seen, strict=True) if seen else ([], [], []))], ["feature", "word", "place"])
 
     # Copies of one toxic text make all its words look toxic: a feature counts once for each surrounding.
@@ -192,26 +228,46 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, grams: tuple[np.ndarray, n
     around = train.filter("toxic > 0").select("text").mapInArrow(places, "feature string, word string, place string").distinct().groupBy("feature")
     varied = {r.feature: (r.n, r.words) for r in around.agg(F.count("*").alias("n"), F.countDistinct("word").alias("words")).collect()}
     bounds = {}
-    for r in best:
-        n, words = varied.get(r.feature, (0, 0))
-        if n >= 4 and (words >= 3 or not r.feature.endswith("-")):
-            bounds[r.feature] = _surely(min(r.toxic, n), r.clean)
-    return {x: p for x, p in bounds.items() if p >= 0.55}
-
-
-def score_words(words: set[str], lexicon: dict[str, float], prior: float, remembered: dict[str, float]) -> float:
-    """1 less the chance that none of the distinct toxic words is meant so."""
-    clean = 1.0 - prior
-    for w in words:
-        p = remembered.get(w)
-        if p is None:
-            p = max((lexicon.get(x, 0.0) for x in (w, *(f"{w[:k]}-" for k in range(4, min(len(w), 8))))), default=0.0)
+    for x in names:
+        n, words = varied.get(x, (0, 0))
+        if n >= 4 and (words >= 3 or "-" not in x[-2:]):
+            toxic, clean = counts[x].tolist()
+            bounds[x] = _surely(min(toxic, n), clean)
+    return _without_sparse({x: p for x, p in bounds.items() if p >= 0.55}, counts)
+
+
+def _without_sparse(lexicon: dict[str, float], counts: dict[str, np.ndarray], sure: float = 0.9) -> dict[str, float]:
+    """The lexicon without words that tell something only where their beginning is dense.
+
+    Such a beginning is in the lexicon with a level, and most rows that have it more thinly are clean.
+    """
+    lowest: dict[str, int] = {}
+    for x in lexicon:
+        if x[-1:].isdigit() and x[-2:-1] == "-":
+            lowest[x[:-1]] = min(int(x[-1]), lowest.get(x[:-1], len(RATES)))
+    thin = {}
+    for x, level in lowest.items():
+        toxic, clean = counts.get(x, np.zeros(2)) - counts[f"{x}{level}"]
+        thin[x] = toxic <= clean
+    return {x: p for x, p in lexicon.items() if p >= sure or x[:-1] in lowest or not any(thin.get(b) for b in (x, *_beginnings(x.rstrip("-"))))}
+
+
+def score_words(found: Counter, total: int, lexicon: dict[str, float], prior: float, remembered: dict[str, tuple[float, list[str]]]) -> float:
+    """1 less the chance that none of the distinct toxic words, nor the densest toxic beginning, is meant so."""
+    clean, begun = 1.0 - prior, Counter()
+    for word, n in found.items():
+        known = remembered.get(word)
+        if known is None:
+            begin = _beginnings(word)
+            known = max((lexicon.get(x, 0.0) for x in (word, *begin)), default=0.0), [x for x in begin if any(f"{x}{k}" in lexicon for k in range(len(RATES)))]
             if len(remembered) >= REMEMBERED:
                 remembered.clear()
-            remembered[w] = p
-        if p:
-            clean *= 1.0 - p
-    return 1.0 - clean
+            remembered[word] = known
+        if known[0]:
+            clean *= 1.0 - known[0]
+        for x in known[1]:
+            begun[x] += n
+    return 1.0 - clean * (1.0 - max((lexicon.get(f"{x}{k}", 0.0) for x, n in begun.items() for k in _levels(n, total)), default=0.0))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 100_000, text: str = "text", key: str = "doc_id", score: str = "toxic_score") -> DataFrame:
@@ -232,7 +288,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 100_000, text: str
         channel, remembered = Channel(*grams), {}
         for batch in T.small(tables):
             body = batch.column(kept.index(text)).to_pylist()
-            out = pa.array([score_words(channel.words(x or ""), lexicon, 0.01, remembered) for x in body], pa.float64())
+            out = pa.array([score_words(*channel.words(x or ""), lexicon, 0.01, remembered) for x in body], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*kept, score])
 
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
