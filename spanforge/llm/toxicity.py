@@ -12,6 +12,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ _CODE = {c: k + 1 for k, c in enumerate(LETTERS)}
 SIGN_COST, DROP_COST, KEEP_COST = -1.0, -0.5, -4.0
 #: Shares of a text's words that tell how dense a beginning stands in it.
 RATES = (1 / 400, 1 / 200, 1 / 100, 1 / 50)
-#: Words whose restored forms a task remembers.
-REMEMBERED = 150_000
+#: Words that a task remembers, restored or known to tell nothing.
+REMEMBERED = 300_000
 
 _GAP = re.compile(r"[ .\-_*/]")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*/]\S){3,}(?!\S)")
@@ -143,9 +144,10 @@ class Channel:
             yield self.decode(_GAP.sub("", m[0])), f"{low[max(m.start() - 12, 0) : m.start()]}{low[m.end() : m.end() + 12]}"
 
 
-def _beginnings(word: str) -> list[str]:
+@lru_cache(maxsize=REMEMBERED)
+def _beginnings(word: str) -> tuple[str, ...]:
     """Beginnings of four to seven letters, marked with a hyphen."""
-    return [f"{word[:k]}-" for k in range(4, min(len(word), 8))]
+    return tuple(f"{word[:k]}-" for k in range(4, min(len(word), 8)))
 
 
 def _levels(n: int, words: int) -> range:
@@ -252,22 +254,51 @@ def _without_sparse(lexicon: dict[str, float], counts: dict[str, np.ndarray], su
     return {x: p for x, p in lexicon.items() if p >= sure or x[:-1] in lowest or not any(thin.get(b) for b in (x, *_beginnings(x.rstrip("-"))))}
 
 
-def score_words(found: Counter, total: int, lexicon: dict[str, float], prior: float, remembered: dict[str, tuple[float, list[str]]]) -> float:
-    """1 less the chance that none of the distinct toxic words, nor the densest toxic beginning, is meant so."""
-    clean, begun = 1.0 - prior, Counter()
-    for word, n in found.items():
-        known = remembered.get(word)
-        if known is None:
-            begin = _beginnings(word)
-            known = max((lexicon.get(x, 0.0) for x in (word, *begin)), default=0.0), [x for x in begin if any(f"{x}{k}" in lexicon for k in range(len(RATES)))]
-            if len(remembered) >= REMEMBERED:
-                remembered.clear()
-            remembered[word] = known
-        if known[0]:
-            clean *= 1.0 - known[0]
-        for x in known[1]:
-            begun[x] += n
-    return 1.0 - clean * (1.0 - max((lexicon.get(f"{x}{k}", 0.0) for x, n in begun.items() for k in _levels(n, total)), default=0.0))
+class Scorer:
+    """Scores texts, and remembers which written words tell nothing."""
+
+    def __init__(self, channel: Channel, lexicon: dict[str, float], prior: float = 0.01):
+        self.channel, self.lexicon, self.prior = channel, lexicon, prior
+        self.dense = {x[:-1] for x in lexicon if x[-1:].isdigit() and x[-2:-1] == "-"}
+        self.dull: set[str] = set()
+
+    def tells(self, word: str) -> tuple[float, list[str]]:
+        """What a restored word tells, and which of its beginnings may stand densely."""
+        begin = _beginnings(word)
+        return max((self.lexicon.get(x, 0.0) for x in (word, *begin)), default=0.0), [x for x in begin if x in self.dense]
+
+    def score(self, text: str) -> float:
+        """1 less the chance that none of the distinct toxic words, nor the densest toxic beginning, is meant so."""
+        low = text.lower()
+        written, told, thick = low.split(), {}, []
+        new = set(written) - self.dull
+        for w in new:
+            word = self.channel.restore(w)
+            p, begun = self.tells(word)
+            if p:
+                told[word] = p
+            if begun:
+                thick.append((w, begun))
+            elif not p:
+                self.dull.add(w)
+        if len(self.dull) > REMEMBERED:
+            self.dull.clear()
+        n = Counter()
+        for spaced in _SPACED.findall(low):
+            word = self.channel.decode(_GAP.sub("", spaced))
+            p, begun = self.tells(word)
+            if p:
+                told[word] = p
+            n.update(begun)
+        if thick:
+            times = Counter(written)
+            for w, begun in thick:
+                for x in begun:
+                    n[x] += times[w]
+        clean = 1.0 - self.prior
+        for p in told.values():
+            clean *= 1.0 - p
+        return 1.0 - clean * (1.0 - max((self.lexicon.get(f"{x}{k}", 0.0) for x in n for k in _levels(n[x], len(written))), default=0.0))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 100_000, text: str = "text", key: str = "doc_id", score: str = "toxic_score") -> DataFrame:
@@ -285,10 +316,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 100_000, text: str
     kept = docs.columns
 
     def scored(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel, remembered = Channel(*grams), {}
+        scorer = Scorer(Channel(*grams), lexicon)
         for batch in T.small(tables):
             body = batch.column(kept.index(text)).to_pylist()
-            out = pa.array([score_words(*channel.words(x or ""), lexicon, 0.01, remembered) for x in body], pa.float64())
+            out = pa.array([scorer.score(x or "") for x in body], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*kept, score])
 
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
