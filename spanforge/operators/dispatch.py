@@ -35,9 +35,7 @@ def protect(docs: DataFrame, spans: DataFrame, mode: str, secret: str = "") -> D
 
 def cross_evaluate(predicted: DataFrame, truth: DataFrame, counts: Callable[..., DataFrame]) -> DataFrame:
     """Counts of each document, one row for a document and type; predicted may hold several models, told apart by extractor."""
-    names = [r.extractor for r in predicted.select("extractor").distinct().collect()]  # a row for each model
-    parts = [counts(predicted.filter(F.col("extractor") == n), truth, ["doc_id"]).withColumn("model", F.lit(n)) for n in sorted(names)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    keys = ["doc_id", "extractor"]
+    models = predicted.select("extractor").distinct()  # each is held against all truth
+    every = truth.drop("extractor").crossJoin(models)
+    return counts(predicted, every, keys, keys).withColumnRenamed("extractor", "model")

@@ -29,20 +29,26 @@ def canonical(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(known, kind), kind)
 
 
-def pair_scores(predicted: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFrame:
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def pair_scores(predicted: DataFrame, truth: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """Pairs of the same document and type with a score above 0.5: 0.3, 0.4 of the ranges' overlap, 0.3 of the words'."""
-    p = predicted.select(key, canonical(F.col("pii_type")).alias("kind"), F.struct("start_pos", "end_pos", "text", "pii_type").alias("p"))
-    t = truth.select(key, canonical(F.col("pii_type")).alias("kind"), F.struct("start_pos", "end_pos", "text", "pii_type").alias("t"))
+    keys = _keys(key)
+    p = predicted.select(*keys, canonical(F.col("pii_type")).alias("kind"), F.struct("start_pos", "end_pos", "text", "pii_type").alias("p"))
+    t = truth.select(*keys, canonical(F.col("pii_type")).alias("kind"), F.struct("start_pos", "end_pos", "text", "pii_type").alias("t"))
     score = 0.3 + 0.4 * range_iou(F.col("p.start_pos"), F.col("p.end_pos"), F.col("t.start_pos"), F.col("t.end_pos")) + 0.3 * word_jaccard(F.col("p.text"), F.col("t.text"))
-    return p.join(t, [key, "kind"]).withColumn("score", score).filter(F.col("score") > LEAST)
+    return p.join(t, [*keys, "kind"]).withColumn("score", score).filter(F.col("score") > LEAST)
 
 
-def match(predicted: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFrame:
+def match(predicted: DataFrame, truth: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
     """One-to-one matches: predictions by position take the best free truth; ties go to the first.
 
     The join leaves only pairs that may match, so that a group function walks these few in order.
     """
-    pairs = pair_scores(predicted, truth, key).select(key, "kind", F.col("p.start_pos").alias("p_start"), F.col("p.end_pos").alias("p_end"), F.col("p.text").alias("p_text"), F.col("t.start_pos").alias("t_start"), F.col("t.end_pos").alias("t_end"), F.col("t.text").alias("t_text"), "score")
+    keys = _keys(key)
+    pairs = pair_scores(predicted, truth, keys).select(*keys, "kind", F.col("p.start_pos").alias("p_start"), F.col("p.end_pos").alias("p_end"), F.col("p.text").alias("p_text"), F.col("t.start_pos").alias("t_start"), F.col("t.end_pos").alias("t_end"), F.col("t.text").alias("t_text"), "score")
 
     def walk(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values(["p_start", "p_end", "p_text", "score", "t_start", "t_end", "t_text"], ascending=[True, True, True, False, True, True, True])
@@ -54,14 +60,15 @@ def match(predicted: DataFrame, truth: DataFrame, key: str = "doc_id") -> DataFr
                 keep.append(i)
         return table.iloc[keep]
 
-    return pairs.groupBy(key, "kind").applyInPandas(walk, pairs.schema)
+    return pairs.groupBy(*keys, "kind").applyInPandas(walk, pairs.schema)
 
 
-def counts(predicted: DataFrame, truth: DataFrame, by: Sequence[str] = (), key: str = "doc_id") -> DataFrame:
+def counts(predicted: DataFrame, truth: DataFrame, by: Sequence[str] = (), key: str | Sequence[str] = "doc_id") -> DataFrame:
     """True and false positives and false negatives of each type (aliases as one)."""
-    found = match(predicted, truth, key).groupBy(key, "kind").agg(F.count("*").alias("tp"))
-    n = lambda df, name: df.groupBy(key, canonical(F.col("pii_type")).alias("kind")).agg(F.count("*").alias(name))
-    both = n(predicted, "predicted").join(n(truth, "truth"), [key, "kind"], "full").join(found, [key, "kind"], "left").fillna(0, ["predicted", "truth", "tp"])
+    keys = _keys(key)
+    found = match(predicted, truth, keys).groupBy(*keys, "kind").agg(F.count("*").alias("tp"))
+    n = lambda df, name: df.groupBy(*keys, canonical(F.col("pii_type")).alias("kind")).agg(F.count("*").alias(name))
+    both = n(predicted, "predicted").join(n(truth, "truth"), [*keys, "kind"], "full").join(found, [*keys, "kind"], "left").fillna(0, ["predicted", "truth", "tp"])
     return both.groupBy(*by, "kind").agg(F.sum("tp").alias("tp"), F.sum(F.col("predicted") - F.col("tp")).alias("fp"), F.sum(F.col("truth") - F.col("tp")).alias("fn"))
 
 

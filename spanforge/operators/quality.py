@@ -216,8 +216,15 @@ def dataset_quality(scores: DataFrame, completeness: Column, score: str = "confi
 
 def error_patterns(errors: DataFrame, n: int = 10, examples: int = 5) -> DataFrame:
     """The n most frequent pairs of type and error, with mean non-zero confidence and examples: the first texts in order."""
-    top = errors.groupBy("pii_type", "error").agg(F.count("*").alias("n"), F.avg(F.nullif("confidence", F.lit(0.0))).alias("avg_confidence"), F.slice(F.array_sort(F.collect_set("text")), 1, examples).alias("examples"))
-    return top.withColumn("pattern", F.concat_ws("_", "pii_type", "error")).orderBy(F.desc("n"), "pattern").limit(n).drop("pii_type", "error")
+    sure = F.nullif("confidence", F.lit(0.0))
+    # One row for each pattern and text, so that a frequent pattern's texts are never gathered in one task.
+    texts = errors.groupBy(F.struct("pii_type", "error").alias("of"), "text").agg(F.count("*").alias("n"), F.sum(sure).alias("sure"), F.count(sure).alias("n_sure"))
+    top = texts.groupBy("of").agg(F.sum("n").alias("n"), (F.sum("sure") / F.nullif(F.sum("n_sure"), F.lit(0))).alias("avg_confidence"))
+    top = top.withColumn("pattern", F.concat_ws("_", "of.pii_type", "of.error")).orderBy(F.desc("n"), "pattern").limit(n)
+    first = texts.filter("text is not null").select("of", "text", F.row_number().over(Window.partitionBy("of").orderBy("text")).alias("nth")).filter(F.col("nth") <= examples)
+    first = first.groupBy("of").agg(F.array_sort(F.collect_list("text")).alias("examples"))  # a few for each pattern
+    none = F.array().cast("array<string>")
+    return top.join(first, "of", "left").select("n", "avg_confidence", F.coalesce("examples", none).alias("examples"), "pattern")
 
 
 def confidence_bins(spans: DataFrame) -> DataFrame:

@@ -129,30 +129,23 @@ def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
 def split(rows: DataFrame, key: str, shares: Mapping[str, float], salt: str = "split") -> DataFrame:
     """Adds part: rows dealt by the order of a salted hash of key, in the given shares of their number, as whole rows; the last part takes the rest.
 
-    The order is global; only key and hash are sorted, by range, and joined back.
+    The order is global: rows are dealt by range of their hash and numbered, see numbered().
     """
     total = rows.count()
-    names, bounds, at = list(shares), [], 0
+    names, at, part = list(shares), 0, None
     for n in names[:-1]:
         at += int(total * shares[n])
-        bounds.append((n, at))
-    nth = F.row_number().over(Window.orderBy("h", key)) if total <= 1_000_000 else None
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(salt), F.col(key)))
-    if nth is None:  # too many for one window: cut at the hash's quantiles
-        cut = hashed.select(F.percentile_approx("h", [b / total for _, b in bounds], 1_000_000)).first()[0]
-        pairs = [(F.col("h") <= c, n) for c, (n, _) in zip(cut, bounds, strict=True)]
-        ranked = hashed
-    else:
-        ranked = hashed.withColumn("_n", nth)
-        pairs = [(F.col("_n") <= b, n) for n, b in bounds]
-    part = None
-    for test, n in pairs:
-        part = F.when(test, n) if part is None else part.when(test, n)
-    return ranked.withColumn("part", part.otherwise(names[-1]) if part is not None else F.lit(names[0])).drop("h", "_n")
-
-
-def bootstrap(rows: DataFrame, value: str, times: int = 100, seed: int = 7) -> DataFrame:
-    """Variance of the mean over Poisson bootstrap replicates, which need no second pass: each row counts a Poisson number of times in each."""
+        part = F.when(F.col("_n") <= at, n) if part is None else part.when(F.col("_n") <= at, n)
+    ranked = numbered(rows.withColumn("_hash", F.xxhash64(F.lit(salt), F.col(key))), [F.col("_hash"), F.col(key)], "_n")
+    return ranked.withColumn("part", part.otherwise(names[-1]) if part is not None else F.lit(names[0])).drop("_hash", "_n")
+
+
+def bootstrap(rows: DataFrame, value: str, times: int = 100, seed: int = 7, key: Sequence[str] | None = None) -> DataFrame:
+    """Variance of the mean over Poisson bootstrap replicates, which need no second pass: each row counts a Poisson number of times in each.
+
+    A row's draws depend on its key (all its columns if none is named) and not on how rows are dealt. What is
+    shuffled is one sum for each task and replicate.
+    """
     from math import exp
 
     def poisson(r: Column) -> Column:
@@ -164,6 +157,6 @@ def bootstrap(rows: DataFrame, value: str, times: int = 100, seed: int = 7) -> D
             p /= k + 1
         return out.otherwise(8)
 
-    drawn = rows.select(F.col(value).alias("v"), F.monotonically_increasing_id().alias("_row")).select("v", "_row", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("r"))
+    drawn = rows.select(F.col(value).alias("v"), F.xxhash64(*(key or rows.columns)).alias("_row")).select("v", "_row", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("r"))
     means = drawn.withColumn("n", poisson(F.col("r"))).groupBy("r").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.var_samp("m").alias("variance"))

@@ -74,6 +74,29 @@ def quality_gate(kind: Column, text: Column) -> Column:
     return (F.length(F.trim(text)) >= 2) & rule.otherwise(True)
 
 
+#: Confidence of a type that a model names without one, and of types that are not listed.
+MODEL_CONFIDENCE = {"EMAIL": 0.95, "PHONE": 0.90, "PERSON": 0.85, "ADDRESS": 0.80, "ID_NUMBER": 0.90, "ORGANIZATION": 0.75, "DATE": 0.70}
+OTHER_CONFIDENCE = 0.70
+#: What is added, and at most reached, if the content looks like its type; what is taken away, and at least left, if not.
+CONTENT_STEPS = {"EMAIL": (0.1, 0.98, 0.3, 0.3), "PHONE": (0.05, 0.95, 0.2, 0.4), "PERSON": (0.05, 0.90, 0.15, 0.5)}
+
+
+def content_confidence(kind: Column, text: Column, base: Column | None = None) -> Column:
+    """Confidence by what the text holds: an e-mail an @ and a dot, a phone ten digits, a person two words of letters alone.
+
+    base is the type's own confidence unless given; other types keep it. A null text looks like nothing.
+    """
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    fits = {"EMAIL": F.contains(text, F.lit("@")) & F.contains(text, F.lit(".")), "PHONE": F.length(digits(text)) >= 10, "PERSON": (F.size(words) >= 2) & F.rlike(F.replace(text, F.lit(" "), F.lit("")), F.lit(r"^\p{L}+$"))}
+    own = F.create_map(*(F.lit(x) for kv in MODEL_CONFIDENCE.items() for x in kv))
+    base = F.coalesce(F.try_element_at(own, kind), F.lit(OTHER_CONFIDENCE)) if base is None else base
+    out = base
+    for k, (more, most, less, least) in CONTENT_STEPS.items():
+        good = F.coalesce(fits[k], F.lit(False))
+        out = F.when(kind == k, F.when(good, F.least(F.lit(most), base + more)).otherwise(F.greatest(F.lit(least), base - less))).otherwise(out)
+    return out
+
+
 def for_role(spans: DataFrame, role: str, roles: Sequence[tuple] = ROLES) -> DataFrame:
     """Spans that a role may see, with redaction saying how; a role without rules sees all."""
     rule = next((r for r in roles if r[0] == role), None)

@@ -38,8 +38,11 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule spans, and a second extractor that has missed every third and is less sure of the others."""
     one = _spans(spark, sf_dir)
-    two = one.filter((F.col("doc_id") + F.col("start_pos")) % 3 != 0).withColumns({"confidence": F.col("confidence") - 0.25, "extractor": F.lit("second")})
-    return S.union_all([one, two])
+    own = F.struct("confidence", "extractor", F.lit(0).alias("extractor_rank"))
+    less = F.struct((F.col("confidence") - 0.25).alias("confidence"), F.lit("second").alias("extractor"), F.lit(1).alias("extractor_rank"))
+    found = F.array_compact(F.array(own, F.when((F.col("doc_id") + F.col("start_pos")) % 3 != 0, less)))
+    both = one.withColumn("found", F.explode(found))
+    return both.withColumns({c: F.col(f"found.{c}") for c in ("confidence", "extractor", "extractor_rank")}).select(*one.columns, "extractor_rank")
 
 
 def o026_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +81,13 @@ def o134_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("kind").agg(F.count("*").alias("spans"), F.count_if(S.quality_gate(F.col("kind"), F.col("text"))).alias("good"))
 
 
+def o135_content_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as a model that gives no confidence would name them, with the one that their content allows."""
+    kind = S.upper_type(F.col("pii_type"))
+    spans = _spans(spark, sf_dir).select("doc_id", "start_pos", kind.alias("kind"), "text")
+    return rounded(spans.withColumn("confidence", S.content_confidence(F.col("kind"), F.col("text"))))
+
+
 def o136_similar_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(N.group_similar(_two(spark, sf_dir)))
 
@@ -230,7 +240,7 @@ SELECT doc_id, pii_type, b.t AS text, round(@score, 6) AS confidence, b.s AS sta
 QUERIES = {
     f.__name__: f
     for f in (
-        o118_rule_spans, o119_dictionary_spans, o026_threshold_sweep, o027_role_filter, o061_extraction_statistics, o118_type_histogram, o131_first_of_each, o131_dedup_counts, o132_best_of_each, o134_quality_gate,
+        o118_rule_spans, o119_dictionary_spans, o026_threshold_sweep, o027_role_filter, o061_extraction_statistics, o118_type_histogram, o131_first_of_each, o131_dedup_counts, o132_best_of_each, o134_quality_gate, o135_content_confidence,
         o136_similar_groups, *map(_vote, ("majority", "weighted", "union", "consensus")), *map(_exact_vote, ("weighted", "union", "majority")), o142_matches, o143_rates_by_type, o145_overall_rates,
         o148_redacted_text, o148_replacements, o149_role_text, o150_token_vault, o150_tokenized_text, o151_mixed_text, o152_noisy_counts, o214_highlighted_text, o215_corrected_spans, o216_accepted,
     )
@@ -246,6 +256,12 @@ ORACLE_SQL = {
 SELECT doc_id, pii_type, b.t AS text, round(b.c, 6) AS confidence, f[2] AS start_pos, votes FROM g""",
     "o134_quality_gate": R + f"""SELECT {_UPPER} AS kind, count(*) AS spans, count(*) FILTER (WHERE length(trim(text)) >= 2 AND CASE {_UPPER} WHEN 'EMAIL' THEN contains(text, '@') AND contains(text, '.') WHEN 'PHONE' THEN length({_DIGITS}) >= 10
   WHEN 'PERSON' THEN len({_PARTS}) >= 2 AND len(list_filter({_PARTS}, lambda p: regexp_matches(p, '^\\p{{L}}+$'))) >= len({_PARTS}) * 0.8 ELSE true END) AS good FROM spans GROUP BY ALL""",
+    "o135_content_confidence": R + f"""SELECT doc_id, start_pos, kind, text, round(CASE kind
+  WHEN 'EMAIL' THEN CASE WHEN contains(text, '@') AND contains(text, '.') THEN 0.98 ELSE 0.65 END
+  WHEN 'PHONE' THEN CASE WHEN length({_DIGITS}) >= 10 THEN 0.95 ELSE 0.7 END
+  WHEN 'PERSON' THEN CASE WHEN len({_PARTS}) >= 2 AND regexp_matches(replace(text, ' ', ''), '^\\p{{L}}+$') THEN 0.9 ELSE 0.7 END
+  WHEN 'ADDRESS' THEN 0.8 WHEN 'ID_NUMBER' THEN 0.9 WHEN 'ORGANIZATION' THEN 0.75 ELSE 0.7 END::DOUBLE, 6) AS confidence
+FROM (SELECT *, {_UPPER} AS kind FROM spans)""",
     "o138_exact_weighted": _EXACT.replace("@score", "mean").replace("@wins", "votes = 1 OR mean >= 0.7::DOUBLE"),
     "o138_exact_union": _EXACT.replace("@score", "b.c").replace("@wins", "true"),
     "o138_exact_majority": _EXACT.replace("@score", "b.c").replace("@wins", "votes > 1"),

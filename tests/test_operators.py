@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanforge import plans
 from spanforge.functions import fixed
 from spanforge.functions import text as X
+from spanforge.operators import dispatch as D
 from spanforge.operators import ensemble as N
 from spanforge.operators import evaluate as V
 from spanforge.operators import extract as E
@@ -271,3 +272,30 @@ def test_bio_and_meta(spark):
     assert {len(r.f) for r in f.collect()} == {25}
     good = MO.meta(N.exact_groups(f), MO.train_meta(MO.labelled(f, s.filter("confidence > 0.5"))))
     assert {int(r.text[1:]) % 2 for r in good.collect()} == {1} and good.count() == 20
+
+
+def test_content_confidence(spark):
+    rows = [("EMAIL", "a@b.c"), ("EMAIL", "ab"), ("PHONE", "514-555-0123 x"), ("PHONE", "555"), ("PERSON", "Ann  Lee"), ("PERSON", "Ann 2"), ("DATE", "x"), ("EMAIL", None), ("NEW", "")]
+    got = spark.createDataFrame(rows, "k string, t string").select(F.round(S.content_confidence(F.col("k"), F.col("t")), 3).alias("c")).collect()
+    assert [r.c for r in got] == [0.98, 0.65, 0.95, 0.7, 0.9, 0.7, 0.7, 0.65, 0.7]
+
+
+def test_error_patterns_keep_the_first_texts(spark):
+    rows = [("A", "x", f"t{k % 7}", 0.0 if k % 2 else 0.5) for k in range(40)] + [("A", None, None, 0.2), ("B", "x", "u", 0.0)]
+    got = {r.pattern: (r.n, r.avg_confidence, r.examples) for r in Q.error_patterns(spark.createDataFrame(rows, "pii_type string, error string, text string, confidence double")).collect()}
+    assert got == {"A_x": (40, 0.5, ["t0", "t1", "t2", "t3", "t4"]), "A": (1, 0.2, []), "B_x": (1, None, ["u"])}
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    rows = spark.range(3000).selectExpr("id", "cast(id % 17 as double) AS v")
+    one, two = (R.bootstrap(rows.repartition(n), "v", 20, key=["id"]).first() for n in (1, 7))
+    assert abs(one.mean - two.mean) < 1e-9 and abs(one.variance - two.variance) < 1e-9
+
+
+def test_models_against_truth(spark):
+    schema = "doc_id long, pii_type string, text string, start_pos int, end_pos int"
+    truth = spark.createDataFrame([(1, "email_address", "a@b.c", 0, 5), (2, "email", "d@e.f", 3, 8)], schema)
+    found = spark.createDataFrame([(1, "email", "a@b.c", 0, 5, "m1"), (2, "email", "d@e.f", 3, 8, "m1"), (1, "email", "zz", 40, 42, "m2")], schema + ", extractor string")
+    got = {(r.model, r.doc_id): (r.tp, r.fp, r.fn) for r in D.cross_evaluate(found, truth, V.counts).collect()}
+    assert got == {("m1", 1): (1, 0, 0), ("m1", 2): (1, 0, 0), ("m2", 1): (0, 1, 1), ("m2", 2): (0, 0, 1)}
+    assert D.cross_evaluate(found.limit(0), truth, V.counts).count() == 0
