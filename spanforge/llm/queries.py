@@ -87,6 +87,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_toxicity, op5_decontamination, op6_suffix_dedup, op7_minhash, op8_sharding, op9_substring_dedup, op10_lm_score)
 }
 ORACLE_SQL: dict[str, str] = {
+    # CRC-32 byte by byte, over a table made from its polynomial.
+    "op8_sharding": """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS step),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, step[xor(a & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM documents, crc),
+s AS (SELECT *, ((2 * sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size) * 8 // (2 * sum(size) OVER ()))::INT AS shard FROM d)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM s""",
     "op3_warc": """
 WITH d AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 m AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM d),
