@@ -61,6 +61,8 @@ RULE_NEEDS = {
     "driver_license": r"\d{6}", "ip_address": r"\d\.\d|[0-9a-fA-F]:[0-9a-fA-F]", "url": r"(?i)https?:|www\.", "iban": r"\d{7}", "medical_record_number": r"\d{6}",
     "employee_id": r"\d{4}", "person_name": r"[A-Z][a-z]+\s+[A-Z][a-z]", "address": r"(?i)\d\s+[a-z]", "postal_code": r"\d", "zip_code": r"\d{5}",
 }
+#: SQL tried before that, for types whose rules may match a text without a digit.
+RULE_NEEDS_FIRST = {"ip_address": "_digit OR contains(_text, ':')", "url": "contains(_text, '.') OR contains(_text, ':')", "person_name": "true"}
 
 #: Types that a span may have.
 SPAN_TYPES = (

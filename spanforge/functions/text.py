@@ -21,20 +21,26 @@ def sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find_all(text: str, pattern: str, kind: str, guard: str) -> str:
+NOTHING_FOUND = f"cast(array() as {FOUND})"
+
+
+def guarded(guard: str, found: str) -> str:
+    """SQL for matches that are looked for in rows that pass the guard only."""
+    return f"CASE WHEN {guard} THEN {found} ELSE {NOTHING_FOUND} END"
+
+
+def find_all(text: str, pattern: str, kind: str) -> str:
     """SQL for the matches of a regular expression in a column, from left to right, with offsets in characters.
 
-    One replacement marks the matches and one pass over the parts between marks adds up the offsets;
-    rows that fail the guard are not searched. (SQL text, since a thousand nested column calls take
-    seconds to build.)
+    One replacement marks the matches and one pass over the parts between marks adds up the offsets.
+    (SQL text, since a thousand nested column calls take seconds to build.)
     """
     match = f"substring_index(part, '{CLOSE}', 1)"
     here = f"named_struct('pii_type', {sql_text(kind)}, 'text', {match}, 'start_pos', acc.at, 'end_pos', acc.at + length({match}))"
     first = "named_struct('at', length(part), 'found', acc.found)"
     later = f"named_struct('at', acc.at + length(part) - 1, 'found', concat(acc.found, array({here})))"
     parts = f"split(regexp_replace({text}, {sql_text(pattern)}, '{OPEN}$0{CLOSE}'), '{OPEN}')"
-    empty = f"cast(array() as {FOUND})"
-    return f"CASE WHEN {guard} THEN aggregate({parts}, named_struct('at', -1, 'found', {empty}), (acc, part) -> CASE WHEN acc.at < 0 THEN {first} ELSE {later} END, acc -> acc.found) ELSE {empty} END"
+    return f"aggregate({parts}, named_struct('at', -1, 'found', {NOTHING_FOUND}), (acc, part) -> CASE WHEN acc.at < 0 THEN {first} ELSE {later} END, acc -> acc.found)"
 
 
 def pattern_of(pattern: str, ignore_case: bool) -> str:
@@ -80,14 +86,18 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""))
 
 
-def word_jaccard(a: Column, b: Column) -> Column:
-    """1 for texts equal but for case and outer space, else the Jaccard similarity of their words; 1 if neither has any."""
-    x, y = words_of(a), words_of(b)
+def words_jaccard(a: Column, x: Column, b: Column, y: Column) -> Column:
+    """1 for texts a and b equal but for case and outer space, else the Jaccard similarity of their words x and y; 1 if neither has any."""
     union = F.size(F.array_union(x, y))
     share = F.when(union > 0, F.size(F.array_intersect(x, y)) / union).otherwise(1.0)
     return F.when(F.trim(F.lower(a)) == F.trim(F.lower(b)), 1.0).otherwise(share)
 
 
+def word_jaccard(a: Column, b: Column) -> Column:
+    """words_jaccard of the texts' own words."""
+    return words_jaccard(a, words_of(a), b, words_of(b))
+
+
 def range_iou(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     """Intersection over union of two half-open ranges; 0 if both are empty."""
     both = F.greatest(F.least(a2, b2) - F.greatest(a1, b1), F.lit(0))

@@ -4,51 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import words_jaccard, words_of
 
-def _words(text: str) -> set[str]:
-    return set(text.lower().split())
 
-
-def _alike(a: tuple, b: tuple, similarity: float) -> bool:
-    """Same type, similar words, and, where both have places, half of their mean length in common."""
-    if a[1] != b[1]:
-        return False
-    x, y = a[0].lower().strip(), b[0].lower().strip()
-    if x != y:
-        p, q = _words(x), _words(y)
-        if (p or q) and (not p or not q or len(p & q) / len(p | q) < similarity):
-            return False
-    if min(a[2], a[3], b[2], b[3]) > 0:
-        both, mean = min(a[3], b[3]) - max(a[2], b[2]), (a[3] - a[2] + b[3] - b[2]) / 2
-        return both > 0 and both / mean > 0.5
-    return True
+def _alike(seed: Column, span: Column, similarity: float) -> Column:
+    """Similar words, and, where both have places, half of their mean length in common."""
+    words = words_jaccard(seed["text"], seed["words"], span["text"], span["words"]) >= similarity
+    both = F.least(seed["end_pos"], span["end_pos"]) - F.greatest(seed["start_pos"], span["start_pos"])
+    mean = (seed["end_pos"] - seed["start_pos"] + span["end_pos"] - span["start_pos"]) / 2
+    placed = F.least(seed["start_pos"], seed["end_pos"], span["start_pos"], span["end_pos"]) > 0
+    near = F.when(placed, (both > 0) & (both > mean * 0.5)).otherwise(True)
+    return F.coalesce(words & near, F.lit(False))
 
 
 def group_similar(spans: DataFrame, similarity: float = 0.8, key: str = "doc_id") -> DataFrame:
     """Adds grp: each span joins the first group whose first member it is like, in the order of extractors and places.
 
-    The order decides, so a document's spans of one type are walked together; no similarity
-    crosses a type.
+    The order decides, so a document's spans of one type are one sorted array that is folded once; no
+    similarity crosses a type.
     """
     order = ["extractor_rank", "start_pos", "end_pos", "text"]
-    schema = spans.select(key, "pii_type", "text", "confidence", "start_pos", "end_pos", "extractor", "extractor_rank")
-
-    def walk(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(order)
-        seeds, group = [], []
-        for row in table[["text", "pii_type", "start_pos", "end_pos"]].itertuples(index=False, name=None):
-            at = next((k for k, s in enumerate(seeds) if _alike(s, row, similarity)), len(seeds))
-            if at == len(seeds):
-                seeds.append(row)
-            group.append(at)
-        return table.assign(grp=group)
-
-    out = ", ".join(f"{n} {t}" for n, t in schema.dtypes)
-    return schema.groupBy(key, "pii_type").applyInPandas(walk, f"{out}, grp int")
+    rest = ["confidence", "extractor"]
+    packed = spans.groupBy(key, "pii_type").agg(F.array_sort(F.collect_list(F.struct(*order, *rest, words_of(F.col("text")).alias("words")))).alias("s"))
+    start = F.struct(F.filter("s", lambda x: F.lit(False)).alias("seeds"), F.array().cast("array<int>").alias("grp"))
+
+    def step(acc: Column, span: Column) -> Column:
+        like = F.transform(acc["seeds"], lambda seed: _alike(seed, span, similarity))
+        at = (F.coalesce(F.array_position(like, F.lit(True)), F.lit(0)) - 1).cast("int")
+        # the group's number, as an array, so that it is computed once
+        join = lambda k: F.when(k >= 0, F.struct(acc["seeds"].alias("seeds"), F.concat(acc["grp"], F.array(k)).alias("grp"))).otherwise(F.struct(F.concat(acc["seeds"], F.array(span)).alias("seeds"), F.concat(acc["grp"], F.array(F.size(acc["seeds"]))).alias("grp")))
+        return F.get(F.transform(F.array(at), join), F.lit(0))
+
+    numbers = F.aggregate("s", start, step, lambda acc: acc["grp"])
+    out = packed.select(key, "pii_type", F.explode(F.zip_with("s", numbers, lambda s, g: F.struct(s.alias("s"), g.alias("grp")))).alias("m"))
+    return out.select(key, "pii_type", "m.s.text", "m.s.confidence", "m.s.start_pos", "m.s.end_pos", "m.s.extractor", "m.s.extractor_rank", "m.grp")
 
 
 def vote(grouped: DataFrame, method: str, weights: Mapping[str, float] | None = None, by_confidence: bool = True, least: float = 0.7, consensus: float = 0.8, key: str = "doc_id") -> DataFrame:

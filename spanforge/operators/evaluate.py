@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import range_iou, ratio, word_jaccard
+from ..functions.text import range_iou, ratio, words_jaccard, words_of
 
 #: Other names of a type.
 ALIASES = {
@@ -33,43 +32,59 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def pair_scores(predicted: DataFrame, truth: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
-    """Pairs of the same document and type with a score above 0.5: 0.3, 0.4 of the ranges' overlap, 0.3 of the words'."""
-    keys = _keys(key)
-    p = predicted.select(*keys, canonical(F.col("pii_type")).alias("kind"), F.struct("start_pos", "end_pos", "text", "pii_type").alias("p"))
-    t = truth.select(*keys, canonical(F.col("pii_type")).alias("kind"), F.struct("start_pos", "end_pos", "text", "pii_type").alias("t"))
-    score = 0.3 + 0.4 * range_iou(F.col("p.start_pos"), F.col("p.end_pos"), F.col("t.start_pos"), F.col("t.end_pos")) + 0.3 * word_jaccard(F.col("p.text"), F.col("t.text"))
-    return p.join(t, [*keys, "kind"]).withColumn("score", score).filter(F.col("score") > LEAST)
+def _side(spans: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """The spans of a document and type as one sorted array, each with its words."""
+    span = F.struct("start_pos", "end_pos", "text", words_of(F.col("text")).alias("words"))
+    return spans.groupBy(*keys, canonical(F.col("pii_type")).alias("kind")).agg(F.array_sort(F.collect_list(span)).alias(name))
 
 
-def match(predicted: DataFrame, truth: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
-    """One-to-one matches: predictions by position take the best free truth; ties go to the first.
+def pair_score(p: Column, t: Column) -> Column:
+    """0.3 for the type, 0.4 of the ranges' overlap and 0.3 of the words' similarity."""
+    return 0.3 + 0.4 * range_iou(p["start_pos"], p["end_pos"], t["start_pos"], t["end_pos"]) + 0.3 * words_jaccard(p["text"], p["words"], t["text"], t["words"])
+
+
+def _matched(p_side: Column, t_side: Column) -> Column:
+    """Predictions by position take the best free truth that scores above LEAST; ties go to the first."""
+    some = F.struct(F.lit(0).alias("p"), F.lit(0).alias("t"), F.lit(0.0).alias("score"))
+    start = F.filter(F.array(some), lambda x: F.lit(False))
+
+    def step(acc: Column, p: Column, i: Column) -> Column:
+        scores = F.transform(t_side, lambda t, k: F.struct((-pair_score(p, t)).alias("least"), k.alias("t")))
+        free = F.filter(scores, lambda s: (s["least"] < -LEAST) & ~F.exists(acc, lambda m: m["t"] == s["t"]))
+        pair = lambda s: F.struct(i.alias("p"), s["t"].alias("t"), (-s["least"]).alias("score"))
+        # one best truth or none, as an array, so that it is computed once
+        return F.concat(acc, F.transform(F.array_compact(F.array(F.array_min(free))), pair))
+
+    indexed = F.transform(p_side, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    return F.aggregate(indexed, start, lambda acc, x: step(acc, x["p"], x["i"]))
+
 
-    The join leaves only pairs that may match, so that a group function walks these few in order.
+def _sides(predicted: DataFrame, truth: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    return _side(predicted, keys, "p_side").join(_side(truth, keys, "t_side"), [*keys, "kind"], how)
+
+
+def matched_groups(predicted: DataFrame, truth: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
+    """A row for each document and type of either side: the arrays p_side and t_side, and matched, pairs of places in them.
+
+    Each side is grouped once on the columns that the join needs, so that no pair becomes a row. Equal spans of a side stay apart.
     """
     keys = _keys(key)
-    pairs = pair_scores(predicted, truth, keys).select(*keys, "kind", F.col("p.start_pos").alias("p_start"), F.col("p.end_pos").alias("p_end"), F.col("p.text").alias("p_text"), F.col("t.start_pos").alias("t_start"), F.col("t.end_pos").alias("t_end"), F.col("t.text").alias("t_text"), "score")
+    return _sides(predicted, truth, keys, "full").withColumn("matched", F.when(F.col("p_side").isNotNull() & F.col("t_side").isNotNull(), _matched(F.col("p_side"), F.col("t_side"))))
 
-    def walk(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(["p_start", "p_end", "p_text", "score", "t_start", "t_end", "t_text"], ascending=[True, True, True, False, True, True, True])
-        used, taken, keep = set(), set(), []
-        for i, (ps, pe, pt, ts, te, tt) in enumerate(table[["p_start", "p_end", "p_text", "t_start", "t_end", "t_text"]].itertuples(index=False, name=None)):
-            if (ps, pe, pt) not in used and (ts, te, tt) not in taken:
-                used.add((ps, pe, pt))
-                taken.add((ts, te, tt))
-                keep.append(i)
-        return table.iloc[keep]
 
-    return pairs.groupBy(*keys, "kind").applyInPandas(walk, pairs.schema)
+def match(predicted: DataFrame, truth: DataFrame, key: str | Sequence[str] = "doc_id") -> DataFrame:
+    """One-to-one matches: predictions by position take the best free truth; ties go to the first."""
+    keys = _keys(key)
+    p, t = F.get(F.col("p_side"), F.col("m.p")), F.get(F.col("t_side"), F.col("m.t"))
+    pairs = _sides(predicted, truth, keys, "inner").select(*keys, "kind", "p_side", "t_side", F.explode(_matched(F.col("p_side"), F.col("t_side"))).alias("m"))
+    return pairs.select(*keys, "kind", p["start_pos"].alias("p_start"), p["end_pos"].alias("p_end"), p["text"].alias("p_text"), t["start_pos"].alias("t_start"), t["end_pos"].alias("t_end"), t["text"].alias("t_text"), "m.score")
 
 
 def counts(predicted: DataFrame, truth: DataFrame, by: Sequence[str] = (), key: str | Sequence[str] = "doc_id") -> DataFrame:
     """True and false positives and false negatives of each type (aliases as one)."""
-    keys = _keys(key)
-    found = match(predicted, truth, keys).groupBy(*keys, "kind").agg(F.count("*").alias("tp"))
-    n = lambda df, name: df.groupBy(*keys, canonical(F.col("pii_type")).alias("kind")).agg(F.count("*").alias(name))
-    both = n(predicted, "predicted").join(n(truth, "truth"), [*keys, "kind"], "full").join(found, [*keys, "kind"], "left").fillna(0, ["predicted", "truth", "tp"])
-    return both.groupBy(*by, "kind").agg(F.sum("tp").alias("tp"), F.sum(F.col("predicted") - F.col("tp")).alias("fp"), F.sum(F.col("truth") - F.col("tp")).alias("fn"))
+    n = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long")
+    groups = matched_groups(predicted, truth, _keys(key)).select(*by, "kind", n("matched").alias("tp"), n("p_side").alias("predicted"), n("t_side").alias("truth"))
+    return groups.groupBy(*by, "kind").agg(F.sum("tp").alias("tp"), F.sum(F.col("predicted") - F.col("tp")).alias("fp"), F.sum(F.col("truth") - F.col("tp")).alias("fn"))
 
 
 def rates(counted: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from itertools import groupby
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +34,21 @@ def effective_text(raw: Column, ocr: Column | None = None) -> Column:
 
 
 def _need(kind: str) -> str:
+    """SQL for what a text must hold before the rules of a type search it; cheap tests come first."""
     need = fixed.RULE_NEEDS.get(kind, r"\d")
-    return f"contains(_text, '{need}')" if need == "@" else f"_text rlike {X.sql_text(need)}"
+    if need == "@":
+        return "contains(_text, '@')"
+    first = fixed.RULE_NEEDS_FIRST.get(kind, "_digit")
+    return f"({first}) AND _text rlike {X.sql_text(need)}"
+
+
+def _by_rules(rules: Sequence[tuple[str, bool, str]]) -> str:
+    """SQL for the matches of all rules; rules of a type that follow one another are tried behind one test."""
+    runs = []
+    for kind, own in groupby(rules, key=lambda r: r[0]):
+        every = ", ".join(X.find_all("_text", X.pattern_of(p, i), k) for k, i, p in own)
+        runs.append(X.guarded(_need(kind), f"concat({every})"))
+    return f"array_distinct(concat({', '.join(runs) or X.NOTHING_FOUND}))"
 
 
 def _leading(pattern: str) -> str:
@@ -77,16 +91,29 @@ def sane(text: Column, confidence: Column, kind: Column) -> Column:
     return (F.trim(text) != "") & confidence.between(0, 1) & kind.isin(*fixed.SPAN_TYPES)
 
 
-def rule_spans(docs: DataFrame, text: str = "text", key: Sequence[str] = ("doc_id",), rules: Sequence[tuple[str, bool, str]] = fixed.RULES, emit_postal: bool = False) -> DataFrame:
-    """Spans of all rules. Postal and zip codes are known to the rules but are no span type unless emit_postal."""
-    rows = docs.select(*key, X.searchable(F.col(text)).alias("_text"))
+def _readied(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the text as it is searched, and whether it holds a digit."""
+    return docs.withColumn("_text", X.searchable(F.col(text))).withColumn("_digit", F.expr("_text rlike '[0-9]'"))
+
+
+def _rule_spans(rules: Sequence[tuple[str, bool, str]], emit_postal: bool) -> Column:
+    """The spans of all rules in a readied row."""
+    chosen = [r for r in rules if emit_postal or r[0] in fixed.SPAN_TYPES]
     body = F.col("_text")
-    every = [X.find_all("_text", X.pattern_of(p, i), k, _need(k)) for k, i, p in rules if emit_postal or k in fixed.SPAN_TYPES]
-    found = F.expr(f"array_distinct(concat({', '.join(every)}))")
-    out = rows.select(*key, F.inline(F.transform(found, lambda m: F.struct(*_surrounded(body, m))))).filter(F.length("text") >= 2)
-    out = out.withColumn("confidence", rule_confidence(F.col("pii_type"), F.col("text"), F.col("near")))
-    out = out.filter(rule_valid(F.col("pii_type"), F.col("text")))
-    return out.select(*key, "text", "pii_type", "confidence", "start_pos", "end_pos", "context", F.lit("rule_based").alias("extractor"))
+    found = F.transform(F.expr(_by_rules(chosen)), lambda m: F.struct(*_surrounded(body, m)))
+    good = F.filter(found, lambda m: (F.length(m["text"]) >= 2) & rule_valid(m["pii_type"], m["text"]))
+    return F.transform(good, lambda m: F.struct(m["text"].alias("text"), m["pii_type"].alias("pii_type"), rule_confidence(m["pii_type"], m["text"], m["near"]).alias("confidence"), m["start_pos"].alias("start_pos"), m["end_pos"].alias("end_pos"), m["context"].alias("context"), F.lit("rule_based").alias("extractor")))
+
+
+def with_rule_spans(docs: DataFrame, text: str = "text", spans: str = "spans", rules: Sequence[tuple[str, bool, str]] = fixed.RULES, emit_postal: bool = False) -> DataFrame:
+    """Adds an array of the spans of all rules to each row, for what works on a text and its spans together."""
+    return _readied(docs, text).withColumn(spans, _rule_spans(rules, emit_postal)).drop("_text", "_digit")
+
+
+def rule_spans(docs: DataFrame, text: str = "text", key: Sequence[str] = ("doc_id",), rules: Sequence[tuple[str, bool, str]] = fixed.RULES, emit_postal: bool = False) -> DataFrame:
+    """Spans of all rules, a row for each. Postal and zip codes are known to the rules but are no span type unless emit_postal."""
+    # inline() of the expression: of a column, Spark would add a filter on its size and search twice
+    return _readied(docs.select(*key, F.col(text).alias("_body")), "_body").select(*key, F.inline(_rule_spans(rules, emit_postal)))
 
 
 def dictionary_confidence(base: Column, text: Column, near: Column, keywords: tuple[str, ...]) -> Column:
@@ -110,7 +137,7 @@ def dictionary_spans(docs: DataFrame, text: str = "text", key: Sequence[str] = (
     every = []
     for _, kind, _, terms, patterns, _ in chosen:
         for start, p in [*((t.lower(), X.term_pattern(t)) for t in terms), *((_leading(p), f"(?iUu){p}") for p in patterns)]:
-            every.append(X.find_all("_text", p, kind, f"contains(_low, {X.sql_text(start)})"))
+            every.append(X.guarded(f"contains(_low, {X.sql_text(start)})", X.find_all("_text", p, kind)))
     found = F.expr(f"array_distinct(concat({', '.join(every)}))")
     out = rows.select(*key, F.inline(F.transform(found, lambda m: F.struct(*_surrounded(body, m))))).filter(F.length("text") >= 2)
     kind, score, name = F.col("pii_type"), None, None

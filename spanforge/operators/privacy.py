@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import by_value, digits
@@ -44,36 +44,59 @@ def replacement(kind: Column, text: Column, preserve_format: bool = True) -> Col
     )
 
 
-def without_overlaps(spans: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Spans none of which overlaps a better one: the likelier, then the longer, then the earlier stays.
+def clear_of_overlaps(spans: Column) -> Column:
+    """An array of spans without those that overlap a better one: the likelier, then the longer, then the earlier stays; in order of place.
 
     Offsets refer to the original text, so overlapping spans could not both be replaced.
     """
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("confidence"), F.desc(F.col("end_pos") - F.col("start_pos")), "start_pos", "pii_type"))
-    ranked = spans.filter("start_pos >= 0 and end_pos > start_pos").withColumn("_rank", rank)
-    packed = ranked.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_rank", *(c for c in spans.columns if c not in key)))).alias("s"))
-    free = lambda kept, x: ~F.exists(kept, lambda k: (k["start_pos"] < x["end_pos"]) & (x["start_pos"] < k["end_pos"]))
-    start = F.filter("s", lambda x: F.lit(False))
-    kept = F.aggregate("s", start, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    return packed.select(*key, F.inline(kept)).drop("_rank").select(*spans.columns)
+    real = F.filter(spans, lambda x: (x["start_pos"] >= 0) & (x["end_pos"] > x["start_pos"]))
+    rank = lambda x: F.struct((-x["confidence"]).alias("c"), (x["start_pos"] - x["end_pos"]).alias("n"), x["start_pos"].alias("at"), x["pii_type"].alias("kind"), x.alias("x"))
+    best = F.array_sort(F.transform(real, rank))
+    free = lambda kept, r: ~F.exists(kept, lambda k: (k["at"] < r["x"]["end_pos"]) & (r["at"] < k["at"] - k["n"]))
+    kept = F.aggregate(best, F.filter(best, lambda x: F.lit(False)), lambda acc, r: F.when(free(acc, r), F.concat(acc, F.array(r))).otherwise(acc))
+    by_place = F.array_sort(F.transform(kept, lambda r: F.struct(r["at"].alias("at"), r["x"].alias("x"))))
+    return F.transform(by_place, lambda r: r["x"])
+
+
+def without_overlaps(spans: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Spans none of which overlaps a better one: the likelier, then the longer, then the earlier stays."""
+    own = [c for c in spans.columns if c not in key]
+    packed = spans.groupBy(*key).agg(F.collect_list(F.struct(*own)).alias("_s"))
+    return packed.select(*key, F.inline(clear_of_overlaps(F.col("_s")))).select(*spans.columns)
+
 
+Put = Callable[[Column, Column], Column]
 
-def rewrite(docs: DataFrame, spans: DataFrame, put: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Texts with each span replaced by put (an expression over the span's columns); spans must not overlap."""
-    cuts = spans.select(key, F.struct("start_pos", "end_pos", put.alias("put")).alias("c")).groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("cuts"))
-    body = F.coalesce(F.col(text), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        return F.struct(c["end_pos"].alias("at"), F.concat(acc["out"], F.substring(body, acc["at"] + 1, c["start_pos"] - acc["at"]), c["put"]).alias("out"))
+def rewritten(body: Column, spans: Column, put: Put) -> Column:
+    """body with each span of an array replaced by put(type, text); spans are in order and do not overlap."""
 
-    done = F.aggregate("cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return docs.join(cuts, key, "left").withColumn(text, F.when(F.col("cuts").isNull(), F.col(text)).otherwise(done)).drop("cuts")
+    def piece(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(spans, i - 1)["end_pos"], F.lit(0))
+        return F.concat(F.substring(body, before + 1, x["start_pos"] - before), put(x["pii_type"], x["text"]))
+
+    last = F.coalesce(F.get(spans, F.size(spans) - 1)["end_pos"], F.lit(0))
+    return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(body, last + 1, F.length(body)))
+
+
+def rewrite(docs: DataFrame, spans: DataFrame | str, put: Put, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Texts with each span replaced by put(type, text); where spans overlap, the better one.
+
+    spans is the name of an array column of docs, which needs no shuffle and is dropped, or a table that is
+    grouped by key and joined.
+    """
+    if isinstance(spans, str):
+        rows = docs.withColumnRenamed(spans, "_spans")
+    else:
+        span = F.struct("start_pos", "end_pos", "pii_type", "text", "confidence")
+        rows = docs.join(spans.groupBy(key).agg(F.collect_list(span).alias("_spans")), key, "left")
+    rows = rows.withColumn("_spans", clear_of_overlaps(F.col("_spans")))
+    body, found = F.coalesce(F.col(text), F.lit("")), F.size("_spans") > 0
+    return rows.withColumn(text, F.when(found, rewritten(body, F.col("_spans"), put)).otherwise(F.col(text))).drop("_spans")
 
 
-def redact(docs: DataFrame, spans: DataFrame, preserve_format: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
-    clear = without_overlaps(spans, [key])
-    return rewrite(docs, clear, replacement(F.col("pii_type"), F.col("text"), preserve_format), text, key)
+def redact(docs: DataFrame, spans: DataFrame | str, preserve_format: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
+    return rewrite(docs, spans, lambda kind, value: replacement(kind, value, preserve_format), text, key)
 
 
 def token(kind: Column, text: Column, secret: str, prefix: str = "TOK_") -> Column:
@@ -98,8 +121,8 @@ def token_vault(spans: DataFrame, secret: str, key_hex: str | None = None) -> Da
     return out if key_hex is None else out.select("token", "pii_type", F.base64(F.aes_encrypt("text", F.unhex(F.lit(key_hex)))).alias("sealed"))
 
 
-def tokenize(docs: DataFrame, spans: DataFrame, secret: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    return rewrite(docs, without_overlaps(spans, [key]), token(F.col("pii_type"), F.col("text"), secret), text, key)
+def tokenize(docs: DataFrame, spans: DataFrame | str, secret: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    return rewrite(docs, spans, lambda kind, value: token(kind, value, secret), text, key)
 
 
 def detokenize(docs: DataFrame, vault: DataFrame, text: str = "text", key: str = "doc_id", prefix: str = "TOK_") -> DataFrame:
@@ -111,11 +134,9 @@ def detokenize(docs: DataFrame, vault: DataFrame, text: str = "text", key: str =
     return docs.join(known, key, "left").withColumn(text, F.when(F.col("known").isNull(), F.col(text)).otherwise(back)).drop("known")
 
 
-def mixed(docs: DataFrame, spans: DataFrame, secret: str, redacted: Sequence[str] = ("social_security_number", "credit_card_number"), text: str = "text", key: str = "doc_id") -> DataFrame:
+def mixed(docs: DataFrame, spans: DataFrame | str, secret: str, redacted: Sequence[str] = ("social_security_number", "credit_card_number"), text: str = "text", key: str = "doc_id") -> DataFrame:
     """Some types are redacted, the rest gets tokens, in one pass over one list of spans."""
-    kind, body = F.col("pii_type"), F.col("text")
-    put = F.when(kind.isin(*redacted), replacement(kind, body)).otherwise(token(kind, body, secret))
-    return rewrite(docs, without_overlaps(spans, [key]), put, text, key)
+    return rewrite(docs, spans, lambda kind, value: F.when(kind.isin(*redacted), replacement(kind, value)).otherwise(token(kind, value, secret)), text, key)
 
 
 def laplace_counts(counts: DataFrame, key: Sequence[str], n: str, epsilon: float, salt: str) -> DataFrame:
@@ -149,7 +170,6 @@ def checklist(records: DataFrame, needs: Sequence[tuple[str, str]]) -> DataFrame
     return records.withColumns(met | {"compliant": every})
 
 
-def highlight(docs: DataFrame, spans: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def highlight(docs: DataFrame, spans: DataFrame | str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Texts with each span in a marked element."""
-    put = F.concat(F.lit('<mark data-type="'), F.col("pii_type"), F.lit('">'), F.col("text"), F.lit("</mark>"))
-    return rewrite(docs, without_overlaps(spans, [key]), put, text, key)
+    return rewrite(docs, spans, lambda kind, value: F.concat(F.lit('<mark data-type="'), kind, F.lit('">'), value, F.lit("</mark>")), text, key)

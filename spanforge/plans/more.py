@@ -17,7 +17,7 @@ from ..operators import quality as Q
 from ..operators import routing as R
 from ..sources import files
 from .ledger import batch_documents, rounded
-from .spans import RULE_SPANS_SQL, _spans, _truth, _two
+from .spans import _BLOCKS, _MATCHED, RULE_SPANS_SQL, _rewritten, _spans, _truth, _two
 from .tables import LEDGER_SQL, PERFORMANCE_SQL, documents, ledger, performance, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -105,7 +105,9 @@ def o141_dispatched_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.extract(documents(spark, sf_dir), "first").select("doc_id", "text", "pii_type", "confidence", "start_pos", "extractor"))
 
 
-@query()
+@query(_MATCHED + """ SELECT doc_id, text, pii_type, round(confidence, 6) AS confidence, start_pos, end_pos, extractor FROM spans
+WHERE NOT EXISTS (FROM m JOIN said USING (doc_id, kind, i) WHERE said.doc_id = spans.doc_id AND said.start_pos = spans.start_pos AND said.end_pos = spans.end_pos AND said.text = spans.text)
+ORDER BY spans.confidence DESC, doc_id, start_pos, pii_type LIMIT 10""")
 def o144_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten likeliest predictions that no truth matches."""
     p = _spans(spark, sf_dir)
@@ -164,7 +166,7 @@ def o208_new_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.new_batch(d, "b1", datetime(2024, 1, 1))[0].select("batch_id", "documents", "status")
 
 
-@query()
+@query(_rewritten(_BLOCKS))
 def o151_protected_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = documents(spark, sf_dir)
     return X.protect(found.select("doc_id", "text"), P.without_overlaps(X.extract(found, "rule_based")), "redaction")

@@ -35,6 +35,11 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rule_spans(docs(spark, sf_dir))
 
 
+def _with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, each with the array of its rule spans."""
+    return E.with_rule_spans(docs(spark, sf_dir).select("doc_id", "text"))
+
+
 def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule spans, and a second extractor that has missed every third and is less sure of the others."""
     one = _spans(spark, sf_dir)
@@ -129,8 +134,7 @@ def o145_overall_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o148_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = docs(spark, sf_dir)
-    return P.redact(found.select("doc_id", "text"), E.rule_spans(found))
+    return P.redact(_with_spans(spark, sf_dir), "spans")
 
 
 def o148_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,13 +153,11 @@ def o150_token_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o150_tokenized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = docs(spark, sf_dir)
-    return P.tokenize(found.select("doc_id", "text"), E.rule_spans(found), "pepper")
+    return P.tokenize(_with_spans(spark, sf_dir), "spans", "pepper")
 
 
 def o151_mixed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = docs(spark, sf_dir)
-    return P.mixed(found.select("doc_id", "text"), E.rule_spans(found), "pepper")
+    return P.mixed(_with_spans(spark, sf_dir), "spans", "pepper")
 
 
 def o152_noisy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +166,7 @@ def o152_noisy_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o214_highlighted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = docs(spark, sf_dir)
-    return P.highlight(found.select("doc_id", "text"), E.rule_spans(found))
+    return P.highlight(_with_spans(spark, sf_dir), "spans")
 
 
 def o215_corrected_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,6 +238,70 @@ _PARTS = "regexp_extract_all(text, '\\S+')"
 _FIRST_OF = f"{R}{_BOTH}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, pii_type ORDER BY rank, start_pos, end_pos) AS n FROM two)"
 _EXACT = f"""{R}{_BOTH}, g AS (SELECT doc_id, pii_type, arg_max({{'t': text, 'c': confidence, 's': start_pos}}, row(confidence, -rank, -start_pos, -end_pos)) AS b, count(*) AS votes, avg(confidence) AS mean FROM two GROUP BY doc_id, lower(text), pii_type)
 SELECT doc_id, pii_type, b.t AS text, round(@score, 6) AS confidence, b.s AS start_pos, votes FROM g WHERE @wins"""
+# Steps that depend on those before are recursions in SQL: a row for each step of a group, with lists of what was taken so far.
+_R = "WITH RECURSIVE " + RULE_SPANS_SQL.replace("round(confidence, 6) AS confidence", "confidence")
+
+
+def _words(text: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda w: w <> ''))"
+
+
+def _jaccard(a: str, b: str) -> str:
+    """Of two structs or rows with text and words."""
+    union = f"len(list_distinct(list_concat({a}.words, {b}.words)))"
+    return f"CASE WHEN trim(lower({a}.text)) = trim(lower({b}.text)) OR {union} = 0 THEN 1::DOUBLE ELSE len(list_intersect({a}.words, {b}.words))::DOUBLE / {union} END"
+
+
+_LIKE = f"""({_jaccard("x", "q")}) >= 0.8::DOUBLE AND (least(x.start_pos, x.end_pos, q.start_pos, q.end_pos) <= 0 OR
+  (least(x.end_pos, q.end_pos) > greatest(x.start_pos, q.start_pos) AND least(x.end_pos, q.end_pos) - greatest(x.start_pos, q.start_pos) > (x.end_pos - x.start_pos + q.end_pos - q.start_pos) / 2::DOUBLE * 0.5::DOUBLE))"""
+_GROUPED = f"""{_R}{_BOTH},
+q AS (SELECT *, {_words("text")} AS words, row_number() OVER (PARTITION BY doc_id, pii_type ORDER BY rank, start_pos, end_pos, text) AS n FROM two),
+walk AS (SELECT DISTINCT doc_id, pii_type, 0::BIGINT AS n, []::STRUCT(text VARCHAR, words VARCHAR[], start_pos INT, end_pos INT)[] AS seeds, -1::BIGINT AS grp FROM q
+  UNION ALL SELECT doc_id, pii_type, n, CASE WHEN spot = 0 THEN list_append(seeds, {{'text': text, 'words': words, 'start_pos': start_pos, 'end_pos': end_pos}}) ELSE seeds END, CASE WHEN spot = 0 THEN len(seeds) ELSE spot - 1 END
+  FROM (SELECT q.*, walk.seeds, coalesce(list_position(list_transform(walk.seeds, lambda x: {_LIKE}), true), 0) AS spot FROM walk JOIN q ON q.doc_id = walk.doc_id AND q.pii_type = walk.pii_type AND q.n = walk.n + 1)),
+g AS (SELECT q.*, walk.grp::INT AS grp FROM q JOIN walk USING (doc_id, pii_type, n))"""
+_VOTED = f"""{_GROUPED}, seen AS (SELECT doc_id, count(DISTINCT extractor) AS extractors FROM g GROUP BY doc_id),
+v AS (SELECT doc_id, pii_type, grp, arg_max({{'t': text, 'c': confidence, 's': start_pos}}, row(confidence, -rank, -start_pos, -end_pos)) AS b, count(*) AS votes,
+  sum(weight * confidence) / sum(weight) AS mean FROM (SELECT *, CASE WHEN extractor = 'second' THEN 0.5::DOUBLE ELSE 1::DOUBLE END * confidence AS weight FROM g) GROUP BY ALL)
+SELECT doc_id, pii_type, b.t AS text, round(@score, 6) AS confidence, b.s AS start_pos, votes FROM v JOIN seen USING (doc_id) WHERE @wins"""
+
+_KIND = "CASE pii_type WHEN 'address' THEN 'location' ELSE pii_type END"
+_PLACE = "row_number() OVER (PARTITION BY doc_id, kind ORDER BY start_pos, end_pos, text)"
+_IOU = "coalesce(greatest(least(p.end_pos, t.end_pos) - greatest(p.start_pos, t.start_pos), 0)::DOUBLE / nullif(p.end_pos - p.start_pos + t.end_pos - t.start_pos - greatest(least(p.end_pos, t.end_pos) - greatest(p.start_pos, t.start_pos), 0), 0), 0)"
+_MATCHED = f"""{_R},
+said AS (SELECT *, {_PLACE} AS i FROM (SELECT doc_id, {_KIND} AS kind, start_pos, end_pos, text, {_words("text")} AS words FROM spans)),
+true_ AS (SELECT *, {_PLACE} AS j FROM (SELECT doc_id, {_KIND} AS kind, start_pos + CASE WHEN (doc_id * 7 + start_pos) % 10 = 1 THEN 1 ELSE 0 END AS start_pos, end_pos, text, {_words("text")} AS words FROM spans WHERE (doc_id * 7 + start_pos) % 10 <> 0)),
+pair AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY i, score DESC, j) AS n FROM (
+  SELECT p.doc_id, p.kind, i, j, 0.3::DOUBLE + 0.4::DOUBLE * {_IOU} + 0.3::DOUBLE * ({_jaccard("p", "t")}) AS score FROM said p JOIN true_ t ON p.doc_id = t.doc_id AND p.kind = t.kind) WHERE score > 0.5::DOUBLE),
+walk AS (SELECT DISTINCT doc_id, kind, 0::BIGINT AS n, []::BIGINT[] AS ps, []::BIGINT[] AS ts FROM pair
+  UNION ALL SELECT pair.doc_id, pair.kind, pair.n, CASE WHEN list_contains(ps, i) OR list_contains(ts, j) THEN ps ELSE list_append(ps, i) END, CASE WHEN list_contains(ps, i) OR list_contains(ts, j) THEN ts ELSE list_append(ts, j) END
+  FROM walk JOIN pair ON pair.doc_id = walk.doc_id AND pair.kind = walk.kind AND pair.n = walk.n + 1),
+m AS (SELECT doc_id, kind, unnest(ps) AS i, unnest(ts) AS j FROM (SELECT doc_id, kind, arg_max(ps, n) AS ps, arg_max(ts, n) AS ts FROM walk GROUP BY ALL))"""
+_COUNTED = f"""{_MATCHED},
+c AS (SELECT kind, sum(tp)::BIGINT AS tp, sum(p - tp)::BIGINT AS fp, sum(t - tp)::BIGINT AS fn FROM (SELECT kind, 0 AS tp, 1 AS p, 0 AS t FROM said UNION ALL SELECT kind, 0, 0, 1 FROM true_ UNION ALL SELECT kind, 1, 0, 0 FROM m) GROUP BY kind)"""
+_RATES = "round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(tp::DOUBLE / nullif(tp + fp + fn, 0), 0), 6) AS accuracy, round(coalesce(2::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"
+
+_BLOCKS = f"""CASE
+  WHEN pii_type = 'email_address' AND len(string_split(text, '@')) = 2 THEN repeat('█', length(split_part(text, '@', 1))) || '@' || repeat('█', length(split_part(text, '@', 2)))
+  WHEN pii_type = 'phone_number' THEN regexp_replace(text, '[0-9]', '█', 'g')
+  WHEN pii_type = 'credit_card_number' THEN list_aggregate(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN regexp_matches(substr(text, i, 1), '[0-9]') AND length(regexp_replace(substr(text, i + 1), '[^0-9]', '', 'g')) >= 4 THEN '█' ELSE substr(text, i, 1) END), 'string_agg', '')
+  WHEN length({_LABEL}) = length(text) THEN {_LABEL} ELSE repeat('█', length(text)) END"""
+_TOKEN = "'TOK_' || upper(pii_type) || '_' || substr(sha256('pepper' || pii_type || '|' || text), 1, 16)"
+
+
+def _rewritten(put: str) -> str:
+    """Texts with the spans that stay where they overlap replaced."""
+    return f"""{_R},
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, end_pos - start_pos DESC, start_pos, pii_type) AS n FROM spans WHERE end_pos > start_pos),
+walk AS (SELECT DISTINCT doc_id, 0::BIGINT AS n, []::STRUCT(s INT, e INT, n BIGINT)[] AS kept FROM q
+  UNION ALL SELECT q.doc_id, q.n, CASE WHEN len(list_filter(kept, lambda k: k.s < q.end_pos AND q.start_pos < k.e)) > 0 THEN kept ELSE list_append(kept, {{'s': q.start_pos, 'e': q.end_pos, 'n': q.n}}) END
+  FROM walk JOIN q ON q.doc_id = walk.doc_id AND q.n = walk.n + 1),
+k AS (SELECT doc_id, unnest(arg_max(kept, n)).n AS n FROM walk GROUP BY doc_id),
+cut AS (SELECT doc_id, start_pos, end_pos, {put} AS put, coalesce(lag(end_pos) OVER (PARTITION BY doc_id ORDER BY start_pos), 0) AS before FROM q JOIN k USING (doc_id, n)),
+whole AS (SELECT doc_id, string_agg(substr(d.text, before + 1, start_pos - before) || put, '' ORDER BY start_pos) || substr(any_value(d.text), max(end_pos) + 1) AS text FROM cut JOIN documents d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, coalesce(whole.text, d.text) AS text FROM documents d LEFT JOIN whole USING (doc_id)"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -265,11 +330,20 @@ FROM (SELECT *, {_UPPER} AS kind FROM spans)""",
     "o138_exact_weighted": _EXACT.replace("@score", "mean").replace("@wins", "votes = 1 OR mean >= 0.7::DOUBLE"),
     "o138_exact_union": _EXACT.replace("@score", "b.c").replace("@wins", "true"),
     "o138_exact_majority": _EXACT.replace("@score", "b.c").replace("@wins", "votes > 1"),
-    "o148_replacements": R + f"""SELECT doc_id, start_pos, pii_type, {_LABEL} AS label, CASE
-  WHEN pii_type = 'email_address' AND len(string_split(text, '@')) = 2 THEN repeat('█', length(split_part(text, '@', 1))) || '@' || repeat('█', length(split_part(text, '@', 2)))
-  WHEN pii_type = 'phone_number' THEN regexp_replace(text, '[0-9]', '█', 'g')
-  WHEN pii_type = 'credit_card_number' THEN list_aggregate(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN regexp_matches(substr(text, i, 1), '[0-9]') AND length(regexp_replace(substr(text, i + 1), '[^0-9]', '', 'g')) >= 4 THEN '█' ELSE substr(text, i, 1) END), 'string_agg', '')
-  WHEN length({_LABEL}) = length(text) THEN {_LABEL} ELSE repeat('█', length(text)) END AS blocks FROM spans""",
+    "o136_similar_groups": _GROUPED + " SELECT doc_id, pii_type, text, round(confidence, 6) AS confidence, start_pos, end_pos, extractor, rank AS extractor_rank, grp FROM g",
+    "o137_vote_majority": _VOTED.replace("@score", "b.c").replace("@wins", "votes >= 2"),
+    "o137_vote_weighted": _VOTED.replace("@score", "mean").replace("@wins", "mean >= 0.7::DOUBLE"),
+    "o137_vote_union": _VOTED.replace("@score", "b.c").replace("@wins", "true"),
+    "o137_vote_consensus": _VOTED.replace("@score", "b.c").replace("@wins", "votes::DOUBLE / extractors >= 0.8::DOUBLE"),
+    "o142_matches": _MATCHED + """ SELECT m.doc_id, m.kind, p.start_pos AS p_start, p.end_pos AS p_end, p.text AS p_text, t.start_pos AS t_start, t.end_pos AS t_end, t.text AS t_text, round(score, 6) AS score
+FROM m JOIN said p USING (doc_id, kind, i) JOIN true_ t USING (doc_id, kind, j) JOIN pair USING (doc_id, kind, i, j)""",
+    "o143_rates_by_type": _COUNTED + f" SELECT kind, tp, fp, fn, {_RATES} FROM c",
+    "o145_overall_rates": _COUNTED + f" SELECT tp, fp, fn, {_RATES} FROM (SELECT coalesce(sum(tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp, coalesce(sum(fn), 0)::BIGINT AS fn FROM c)",
+    "o148_redacted_text": _rewritten(_BLOCKS),
+    "o150_tokenized_text": _rewritten(_TOKEN),
+    "o151_mixed_text": _rewritten(f"CASE WHEN pii_type IN ('social_security_number', 'credit_card_number') THEN {_BLOCKS} ELSE {_TOKEN} END"),
+    "o214_highlighted_text": _rewritten("""'<mark data-type="' || pii_type || '">' || text || '</mark>'"""),
+    "o148_replacements": R + f"SELECT doc_id, start_pos, pii_type, {_LABEL} AS label, {_BLOCKS} AS blocks FROM spans",
     "o149_role_text": R + f"""SELECT doc_id, start_pos, {_UPPER} AS kind, text, '[REDACTED_' || {_UPPER} || ']' AS "full", CASE {_UPPER}
   WHEN 'EMAIL' THEN CASE WHEN len(string_split(text, '@')) = 2 AND length(split_part(text, '@', 1)) > 2 THEN substr(text, 1, 1) || repeat('*', length(split_part(text, '@', 1)) - 2) || right(split_part(text, '@', 1), 1) || '@' || split_part(text, '@', 2) ELSE text END
   WHEN 'PHONE' THEN CASE WHEN length({_DIGITS}) >= 10 THEN replace(text, substr({_DIGITS}, 4, 4), '****') ELSE text END

@@ -299,3 +299,51 @@ def test_models_against_truth(spark):
     got = {(r.model, r.doc_id): (r.tp, r.fp, r.fn) for r in D.cross_evaluate(found, truth, V.counts).collect()}
     assert got == {("m1", 1): (1, 0, 0), ("m1", 2): (1, 0, 0), ("m2", 1): (0, 1, 1), ("m2", 2): (0, 0, 1)}
     assert D.cross_evaluate(found.limit(0), truth, V.counts).count() == 0
+
+
+def test_equal_predictions_match_equal_truths(spark):
+    span = "doc_id int, text string, pii_type string, start_pos int, end_pos int"
+    p = spark.createDataFrame([(1, "Ann Lee", "person_name", 0, 7)] * 3 + [(2, "x", "location", 0, 1)], span)
+    t = spark.createDataFrame([(1, "Ann Lee", "name", 0, 7)] * 2 + [(3, "y", "location", 0, 1)], span)
+    assert V.match(p, t).count() == 2
+    got = {r.kind: (r.tp, r.fp, r.fn) for r in V.counts(p, t).collect()}
+    assert got == {"person_name": (2, 1, 0), "location": (0, 1, 1)}
+    assert V.match(p.limit(0), t).count() == 0
+    assert {(r.tp, r.fp, r.fn) for r in V.counts(p.limit(0), t).collect()} == {(0, 0, 2), (0, 0, 1)}
+
+
+def test_greedy_choices_against_a_plain_loop(spark):
+    """Matching and grouping in the order of places, held against loops over the same spans."""
+    import random
+
+    draw = random.Random(5)
+    words = ["ann", "lee", "bo", "may"]
+    make = lambda d: (d, " ".join(draw.choices(words, k=draw.randint(1, 3))), draw.choice(["person_name", "name"]), (a := draw.randint(0, 12)), a + draw.randint(1, 9))
+    schema = "doc_id int, text string, pii_type string, start_pos int, end_pos int"
+    p, t = ([make(d) for d in range(12) for _ in range(draw.randint(0, 9))] for _ in range(2))
+
+    def score(a, b):
+        both = max(min(a[4], b[4]) - max(a[3], b[3]), 0)
+        iou = both / (a[4] - a[3] + b[4] - b[3] - both)
+        x, y = set(a[1].split()), set(b[1].split())
+        return 0.3 + 0.4 * iou + 0.3 * (len(x & y) / len(x | y))
+
+    want = []
+    for d in range(12):
+        order = lambda r: (r[3], r[4], r[1])
+        mine, free = sorted((r for r in p if r[0] == d), key=order), sorted((r for r in t if r[0] == d), key=order)
+        for a in mine:
+            best = max(free, key=lambda b: score(a, b), default=None)
+            if best is not None and score(a, best) > 0.5:
+                free.remove(best)
+                want.append((d, *order(a), *order(best)))
+    got = [(r.doc_id, r.p_start, r.p_end, r.p_text, r.t_start, r.t_end, r.t_text) for r in V.match(spark.createDataFrame(p, schema), spark.createDataFrame(t, schema)).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_rewriting_inside_the_row_is_rewriting_by_join(spark):
+    d = spark.createDataFrame([(1, "Mail ann@example.com, call 514-555-1234 or Dr. Ann Lee"), (2, ""), (3, None), (4, "nothing here"), (5, "Dr. Ann Lee, ann@example.com")], "doc_id int, text string")
+    for f in (lambda docs, s: P.redact(docs, s), lambda docs, s: P.tokenize(docs, s, "k"), lambda docs, s: P.mixed(docs, s, "k"), lambda docs, s: P.highlight(docs, s)):
+        inside = {r.doc_id: r.text for r in f(E.with_rule_spans(d), "spans").collect()}
+        joined = {r.doc_id: r.text for r in f(d, E.rule_spans(d)).collect()}
+        assert inside == joined and inside[3] is None and inside[2] == "" and "ann@example.com" not in inside[1].replace(">ann@example.com<", "")
