@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
-from ..llm._shared import checkpointed
+from ..sources.sinks import checkpointed
 from .analytics import average_rank
 
 #: Weights of accuracy, speed, cost and reliability by strategy.

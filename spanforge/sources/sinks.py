@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to a shared folder and cut off from its lineage."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    return df.checkpoint()
+
+
 def save_results(spans: DataFrame, path: str, key: str = "doc_id") -> None:
     """A JSON object for each document with its spans."""
     own = [c for c in spans.columns if c != key]
