@@ -92,8 +92,12 @@ PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (runs of bytes outside gap), and for each row where its words begin."""
-    n = len(data)
-    inside = ~gap[data]
+    return runs(~gap[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that are inside, none across rows, and for each row where its runs begin."""
+    n = len(inside)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     first, last = inside.copy(), inside.copy()
@@ -145,3 +149,30 @@ def member(sorted_values: np.ndarray, queries: np.ndarray) -> np.ndarray:
     at = np.searchsorted(sorted_values, queries)
     at[at == len(sorted_values)] = 0
     return sorted_values[at] == queries
+
+
+def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of UTF-8 bytes as a string column."""
+    size = ends - starts
+    offs = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=offs[1:])
+    body = data[np.repeat(starts - offs[:-1], size) + np.arange(offs[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.string())
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 14) -> Iterator[tuple[tuple, pa.RecordBatch, bool]]:
+    """Rows that come ordered by keys, cut where a key changes and by rows: the key, rows, and whether a new key begins."""
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        edge = [0, *np.flatnonzero(new), batch.num_rows]
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            key = tuple(c[lo].item() for c in columns)
+            for i in range(lo, hi, most):
+                yield key, batch.slice(i, min(most, hi - i)), key != last
+                last = key

@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from ._shared import new_folder
 from .decontaminate import decontaminate
+from .embedding_dedup import embedding_duplicates
 from .exact_dedup import exact_dedup
 from .lm_score import lm_scores
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
-
 from .toxicity import toxicity
 from .warc import read_warc, write_warc
+from .whitening import whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,11 +84,47 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component."""
+    rows = whitened(table(spark, sf_dir, "embeddings"), 32)
+    rows = rows.select("*", F.posexplode("whitened").alias("at", "value"))
+    return rows.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("value").alias("whitened"), F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+    return found.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_toxicity, op5_decontamination, op6_suffix_dedup, op7_minhash, op8_sharding, op9_substring_dedup, op10_lm_score)
+    for f in (op1_mixing, op2_exact_dedup, op3_warc, op4_toxicity, op5_decontamination, op6_suffix_dedup, op7_minhash, op8_sharding, op9_substring_dedup, op10_lm_score, op11_spelling, op12_whitening, op13_embedding_dedup)
 }
 ORACLE_SQL: dict[str, str] = {
+    # Runs of a document are counted first, so that each is checksummed once. Near words share what is left without one code point
+    # (at one place, for replaced ones).
+    "op11_spelling": r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS step),
+runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)),
+mine AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+summed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, step[xor(a & 255, b) + 1])), 4294967295::BIGINT) AS h FROM mine, crc),
+words AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM summed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word)::BIGINT + 1))::INT AS i FROM words)),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT DISTINCT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY n DESC, near) AS near, max(n) AS near_n FROM pairs GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM words LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM forms UNION ALL SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NOT NULL),
+ends AS (SELECT w.word, w.at AS root FROM walk w JOIN forms f ON f.word = w.at WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)""",
     # CRC-32 byte by byte, over a table made from its polynomial.
     "op8_sharding": """
 WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS step),

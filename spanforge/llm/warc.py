@@ -93,11 +93,11 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, date: str = "2024-
     with the smallest page_id is a response and the others revisit it; null html is an empty
     payload; null page_ids and urls are left out of the record. Records are written as they come, so
     a task holds one at a time, and a file gets its name when it is whole: a task that runs twice
-    leaves one file. Evaluating the result twice writes the archives twice.
+    leaves one file. Evaluating the result twice writes the archives twice. An empty table writes no
+    archive and returns no rows; rows that repeat are records of their own; other columns are not read. A payload of any
+    length is one record.
     """
     ready = with_originals(pages, least)
-    kind = {f.name for f in ready.schema}
-    assert {"page_id", "url", "html"} <= kind
 
     def write(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -210,6 +210,8 @@ def _candidates(file: pa.NativeFile, start: int, end: int) -> Iterator[int]:
 
 FIELDS = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("found_digest", pa.string()), ("payload", pa.binary())])
 
+RECORDS = "record_id string, record_type string, url string, page_id long, refers_to long, refers_to_id string, payload_bytes long, payload_digest string, found_digest string, payload binary"
+
 
 def records_in(file: pa.NativeFile, start: int, end: int, with_payload: bool) -> Iterator[dict]:
     """The records whose member starts in [start, end). What lies between members and can't be read is passed over."""
@@ -233,14 +235,22 @@ def records_in(file: pa.NativeFile, start: int, end: int, with_payload: bool) ->
             return
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def read_warc(spark: SparkSession, folder: str, split_bytes: int = 32 << 20, with_payload: bool = True) -> DataFrame:
     """One row for each record of the *.warc.gz files in folder.
 
     page_id and refers_to are numbers, as pages have them; ids of other kinds, and archives of others that have none, give nulls
     there (record_id and refers_to_id tell records apart all the same).
     payload_bytes is the length of the full payload, of a revisit that of the payload it repeats;
-    found_digest is the digest of the bytes read. payload is null for revisits and if not asked for.
+    found_digest is the digest of the bytes read. payload is null for revisits and if not asked for. A folder without
+    archives, or none at all (a table without rows makes none), gives no rows.
     """
+    if not _exists(spark, folder):
+        return spark.createDataFrame([], RECORDS)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0).cast("long")), F.lit(split_bytes).cast("long"))).alias("start"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -261,5 +271,4 @@ def read_warc(spark: SparkSession, folder: str, split_bytes: int = 32 << 20, wit
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, FIELDS)
 
-    schema = "record_id string, record_type string, url string, page_id long, refers_to long, refers_to_id string, payload_bytes long, payload_digest string, found_digest string, payload binary"
-    return ranges.mapInArrow(read, schema)
+    return ranges.mapInArrow(read, RECORDS)
