@@ -286,3 +286,12 @@ def test_empty_tables(spark):
     assert toxicity(none, labels).count() == lm_scores(none, labels).count() == 0
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(none, bench).count() == decontaminate(table(spark, ["a"]), bench).count() == 0
+
+
+def test_empty_pages_make_no_archive(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    folder = str(tmp_path / "none")
+    assert W.write_warc(pages, folder).collect() == []
+    assert W.read_warc(spark, folder).collect() == []
+    (tmp_path / "bare").mkdir()
+    assert W.read_warc(spark, str(tmp_path / "bare")).count() == 0
