@@ -1,9 +1,10 @@
 """Near-duplicate classes with ProbMinHash, banding and verification.
 
-The distinct shingles of a text send arrivals of a Poisson process, all at one rate however often
-they repeat, to random registers of a signature; a register keeps the shingle that arrives first. A
-shingle stops once its next arrival comes after every register of the text was reached. Two
-signatures agree in a register with the probability Jaccard similarity of the texts.
+The distinct shingles of a text weigh as the square root of their bytes, so that runs of short words say less; how often one
+repeats doesn't count. Each sends arrivals of a Poisson process, at the rate of its weight, to random registers of a
+signature; a register keeps the shingle that arrives first. A shingle stops once its next arrival comes after every register of the
+text was reached. Two signatures agree in a register with the probability Jaccard similarity of the texts, which for weights that
+a shingle has in any text is the weight of the shingles they share over that of all they have. Links are verified by this measure.
 
 1. Texts with equal words make one node. 2. Bands of registers give buckets; each node is paired
 with the first and the last node of its buckets. 3. The likeliest pairs by signature are verified on
@@ -30,12 +31,14 @@ BANDS, IN_BAND = 20, 5
 REGISTERS = BANDS * IN_BAND
 #: Share of equal registers from which a pair is verified; about four standard deviations below 0.8.
 CLOSE = 0.64
+#: Bytes of a shingle in a set.
+WIDTH = 7
 #: Nodes of a hot bucket that are compared with each other in one place.
 BLOCK = 2000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles, their rows and counts, sorted by row; and two hashes of each row's words (0 if it has none)."""
+    """Distinct shingles, their rows and the bytes of their words (65,535 for more), sorted by row; and two hashes of each row's words (0 if it has none)."""
     s, e, begin = T.words(data, offsets, T.PUNCT)
     one = T.prefix(T.word_hashes(data, s, e))
     at = T.windows(begin, n)
@@ -44,12 +47,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndar
     short = np.flatnonzero((size > 0) & (size < n))  # fewer words than a shingle has: all of them are one
     h = np.concatenate([T.span_hash(one, at, at + n), T.span_hash(one, begin[:-1][short], begin[1:][short])])
     row = np.concatenate([row, short])
-    _, first, count = np.unique(T.mix(h + row.astype(T.U) * T.U(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-    order = np.lexsort((h[first], row[first]))
-    first, count = first[order], count[order]
+    long = np.concatenate([[0], np.cumsum(e - s)])
+    long = np.concatenate([long[at + n] - long[at], long[begin[1:][short]] - long[begin[:-1][short]]])
+    _, first = np.unique(T.mix(h + row.astype(T.U) * T.U(0x9E3779B97F4A7C15)), return_index=True)
+    first = first[np.lexsort((h[first], row[first]))]
     two = T.prefix(T.word_hashes(data, s, e, 2))
     whole = [np.where(size > 0, T.span_hash(x, begin[:-1], begin[1:]), T.U(0)) for x in (one, two)]
-    return h[first], row[first], count, *whole
+    return h[first], row[first], np.minimum(long[first], 0xFFFF), *whole
 
 
 def signatures(h: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
@@ -80,8 +84,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in T.small(batches):
         data, offs = _lowered(table.column("text"))
         for i, j in T.pieces(offs):
-            h, row, _, a, b = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            sign = signatures(h, row, np.ones(len(h)), j - i)
+            h, row, long, a, b = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            sign = signatures(h, row, np.sqrt(long), j - i)
             bands = np.zeros((j - i, BANDS), T.U)
             for k in range(IN_BAND):
                 bands = T.mix(bands + sign[:, k::IN_BAND])
@@ -95,26 +99,34 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """uid and the text's distinct shingles, 40 bits of each, in order."""
+    """uid and the text's distinct shingles, in order: 40 bits of each, and its bytes."""
     for table in T.small(batches):
         data, offs = _lowered(table.column("text"))
         for i, j in T.pieces(offs):
-            h, row, _, _, _ = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            h, row, long, _, _ = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             at = np.searchsorted(row, np.arange(j - i + 1))
-            low = np.ascontiguousarray((h >> T.U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            low = np.empty((len(h), WIDTH), np.uint8)
+            low[:, :5] = (h >> T.U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            low[:, 5:] = long.astype("<u2").view(np.uint8).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([table.column("uid").slice(i, j - i), pa.array([low[p:q].tobytes() for p, q in zip(at, at[1:], strict=False)], pa.binary())], ["uid", "shingles"])
 
 
-def _set(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.reshape(-1).view("<u8")
+def _set(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles and their weights."""
+    rows = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    out = np.zeros((len(rows), 8), np.uint8)
+    out[:, :5] = rows[:, :5]
+    return out.reshape(-1).view("<u8"), np.sqrt(np.ascontiguousarray(rows[:, 5:]).reshape(-1).view("<u2"))
 
 
 def _similar(x: bytes, y: bytes, similarity: float) -> bool:
-    least, most = sorted((len(x) // 5, len(y) // 5))
-    both = len(np.intersect1d(_set(x), _set(y), assume_unique=True)) if least >= similarity * most else 0
-    return both >= similarity * (least + most - both) - 1e-9
+    (a, of_a), (b, of_b) = _set(x), _set(y)
+    least, most = sorted((of_a.sum(), of_b.sum()))
+    if least < similarity * most - 1e-6:
+        return False
+    _, at, _ = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    both = of_a[at].sum()
+    return bool(both >= similarity * (least + most - both) - 1e-9)
 
 
 def _registers(raw: list[bytes]) -> np.ndarray:
@@ -214,10 +226,12 @@ def _every_link(similarity: float):
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id", place: str | None = None) -> DataFrame:
-    """Classes of near-duplicates: texts linked by a Jaccard similarity of at least `similarity` on five-word shingles.
+    """Classes of near-duplicates: texts linked by a probability Jaccard similarity of at least `similarity` on weighted five-word shingles.
 
     Returns key, uid (the row's place: the column place, no two rows of which are equal, or else its
-    place in the files), class_id (the smallest key of the class), class_size and kept for each row.
+    place in the files), class_id (the smallest key of the class), class_size, n_links (how many other texts this one was verified to
+    be linked with), linked_id (the key of one of them, of the smallest place; null if n_links is 0) and kept for each row. Verified links join a class;
+    those that would join what is joined already are not all looked for.
     One row of a class is kept, that with the smallest key, null last; of rows that tie, the first by place. Words are lower-cased runs of letters and digits;
     a text of fewer than five words is one shingle; texts without words, null ones included, are one
     class; rows that repeat are one class; other columns are not read.
@@ -249,7 +263,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
     likely = checkpointed(ranked.select(F.least("of", "with").alias("a"), F.greatest("of", "with").alias("b")).distinct())
     texts = member.select("uid").distinct()
     sets = checkpointed(rows.select("uid", "text").join(texts, "uid", "left_semi").mapInArrow(_shingle_sets, "uid long, shingles binary"))
-    label = components(_verify(likely, sets, similarity))
+    links = _verify(likely, sets, similarity)
+    label = components(links)
 
     # Buckets that hold several classes: each row asks its likeliest partners in other classes; what
     # then is still open is compared in full.
@@ -268,16 +283,21 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
         return rows.groupBy(F.pmod(F.xxhash64("key", "i", "j"), F.lit(parts)).alias("part"))
 
     asked = by_block(open_rows()).applyInArrow(_nearest(3), "a long, b long").distinct().join(likely, ["a", "b"], "left_anti")
-    label = joined(label, _verify(asked, sets, similarity))
+    more = _verify(asked, sets, similarity)
+    links, label = links.unionAll(more), joined(label, more)
     rest = checkpointed(open_rows())
     still = checkpointed(by_block(rest).applyInArrow(_still_open, "key long").distinct())
     if not still.isEmpty():
         rest = rest.join(still, "key").join(sets, "uid")
-        label = joined(label, checkpointed(by_block(rest).applyInArrow(_every_link(similarity), "a long, b long").distinct()))
+        more = checkpointed(by_block(rest).applyInArrow(_every_link(similarity), "a long, b long").distinct())
+        links, label = links.unionAll(more), joined(label, more)
 
-    groups = same.join(label, "node", "left").select("words_a", "words_b", "first", "n", F.coalesce("label", "node").alias("label"))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
+    ends = ends.groupBy("node").agg(F.countDistinct("other").alias("n_links"), F.min("other").alias("other"))
+    ends = ends.join(same.select(F.col("node").alias("other"), F.col("first.id").alias("linked_id")), "other").drop("other")
+    groups = same.join(label, "node", "left").join(ends, "node", "left").select("words_a", "words_b", "first", "n", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "linked_id")
     classes = groups.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"))
     odd = F.pmod("label", F.lit(2)).alias("parity")
     groups = groups.select("*", odd).join(classes.select("*", odd), ["label", "parity"])
-    out = signed.select("uid", "id", "words_a", "words_b").join(groups.select("words_a", "words_b", "keep", "class_size"), ["words_a", "words_b"])
-    return out.select(F.col("id").alias(key), "uid", F.col("keep.id").alias("class_id"), "class_size", (F.col("uid") == F.col("keep.uid")).alias("kept"))
+    out = signed.select("uid", "id", "words_a", "words_b").join(groups.select("words_a", "words_b", "keep", "class_size", "n_links", "linked_id"), ["words_a", "words_b"])
+    return out.select(F.col("id").alias(key), "uid", F.col("keep.id").alias("class_id"), "class_size", "n_links", "linked_id", (F.col("uid") == F.col("keep.uid")).alias("kept"))

@@ -44,6 +44,11 @@ _SIGN = re.compile(r"[@48(3€69#1!|05$7+2*]")
 _LETTER = re.compile(r"[^\W\d_]")
 _INNER = re.compile(r"[^\W\d_][.\-_~'`]+[^\W\d_]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
+_DOUBLE = re.compile(r"([^\W\d_])\1+")
+#: Signs as the first and as the last letter each can stand for.
+_READ = tuple(str.maketrans({c: x[k] for c, x in SIGNS.items()}) for k in (0, -1))
+#: What is stripped of a word whose first or last sign may stand for a letter.
+_BLANK = "".join(c for c in _PLAIN if c not in SIGNS)
 
 
 def _codes() -> np.ndarray:
@@ -254,6 +259,11 @@ def _without_sparse(lexicon: dict[str, float], counts: dict[str, np.ndarray], su
     return {x: p for x, p in lexicon.items() if p >= sure or x[:-1] in lowest or not any(thin.get(b) for b in (x, *_beginnings(x.rstrip("-"))))}
 
 
+def _single(word: str) -> str:
+    """The word with each run of a letter as one."""
+    return _DOUBLE.sub(r"\1", word)
+
+
 class Scorer:
     """Scores texts, and remembers which written words tell nothing."""
 
@@ -261,6 +271,58 @@ class Scorer:
         self.channel, self.lexicon, self.prior = channel, lexicon, prior
         self.dense = {x[:-1] for x in lexicon if x[-1:].isdigit() and x[-2:-1] == "-"}
         self.dull: set[str] = set()
+        bare = {x.rstrip("0123456789").rstrip("-") for x in lexicon}
+        self.single = {_single(x) for x in bare}
+        self.sizes = sorted({len(x) for x in self.single})
+
+    def may_tell(self, word: str) -> bool:
+        """Whether something of the lexicon begins a word of letters, but for doubled ones."""
+        word = _single(word)
+        return any(word[:k] in self.single for k in self.sizes)
+
+    def meant(self, written: str) -> tuple[str, float, list[str]]:
+        """The word behind a written one and what it tells.
+
+        A word that tells nothing as it stands, or without the signs at its ends, is decoded with its doubled letters, and with its
+        end signs as letters, if such a reading could tell something. An end sign counts as a letter only in a whole word of the lexicon.
+        """
+        word = self.channel.restore(written)
+        p, begun = self.tells(word)
+        full = written.strip(_BLANK)
+        first, last = full[:1], full[-1:]
+        signs = [SIGNS.get(c, "") if not c.isalnum() else "" for c in (first, last)]
+        if p or begun or len(full) < 4 or not (any(signs) or _DOUBLE.search(full)):
+            return word, p, begun
+        bare = full[bool(signs[0]) : len(full) - bool(signs[1])]
+        if not bare.isalpha():
+            return word, p, begun
+        if self.may_tell(bare):
+            other = self.channel.decode(bare)
+            q, begun_of_other = self.tells(other)
+            if q or begun_of_other:
+                return other, q, begun_of_other
+        for reading in (f"{x}{bare}{y}" for x in ["", *signs[0]] for y in ["", *signs[1]] if x or y):
+            if self.may_tell(reading) and (other := self.channel.decode(reading)) in self.lexicon:
+                return other, *self.tells(other)
+        return word, p, begun
+
+    def spaced(self, written: str) -> list[str]:
+        """Words with gaps between their letters: as one word or, if that tells nothing, those of the lexicon that some of the letters make."""
+        letters = _GAP.sub("", written)
+        one = self.channel.decode(letters)
+        if any(self.tells(one)):
+            return [one]
+        out, most = [one], 2 * max(self.sizes, default=0)
+        for plain in {letters.translate(x) for x in _READ}:
+            i = 0
+            while i < len(plain):
+                found = None
+                if self.may_tell(plain[i : i + most]):
+                    whole = ((self.channel.decode(letters[i:j]), j) for j in range(min(i + most, len(plain)), i + 3, -1))
+                    found = next((x for x in whole if x[0] in self.lexicon), None)
+                out += [found[0]] if found else []
+                i = found[1] if found else i + 1
+        return out
 
     def tells(self, word: str) -> tuple[float, list[str]]:
         """What a restored word tells, and which of its beginnings may stand densely."""
@@ -273,8 +335,7 @@ class Scorer:
         written, told, thick = low.split(), {}, []
         new = set(written) - self.dull
         for w in new:
-            word = self.channel.restore(w)
-            p, begun = self.tells(word)
+            word, p, begun = self.meant(w)
             if p:
                 told[word] = p
             if begun:
@@ -284,8 +345,7 @@ class Scorer:
         if len(self.dull) > REMEMBERED:
             self.dull.clear()
         n = Counter()
-        for spaced in _SPACED.findall(low):
-            word = self.channel.decode(_GAP.sub("", spaced))
+        for word in (w for spaced in _SPACED.findall(low) for w in self.spaced(spaced)):
             p, begun = self.tells(word)
             if p:
                 told[word] = p

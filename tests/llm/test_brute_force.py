@@ -17,7 +17,7 @@ from spanforge.llm.substring_dedup import substring_dedup
 from spanforge.llm.suffix_dedup import suffix_dedup
 from spanforge.llm.toxicity import Channel, toxicity, trigram_counts
 
-from .test_operators import prose, table
+from .test_operators import prose, table, weight
 
 
 def overlap(a, b, least=13, similarity=0.8):
@@ -164,6 +164,6 @@ def test_full_buckets_lose_no_link(spark, monkeypatch, block):
             words[at] = f"v{rng.randrange(10**6)}"
         texts.append(" ".join(words))
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
-    links = [(i, j) for i in range(60) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links = [(i, j) for i in range(60) for j in range(i) if weight(sets[i] & sets[j]) >= 0.8 * weight(sets[i] | sets[j])]
     got = {r.doc_id: r.class_id for r in near_duplicates(table(spark, texts)).collect()}
     assert sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links) > 0

@@ -97,6 +97,11 @@ def edit(rng, text, n):
     return " ".join(w)
 
 
+def weight(shingles):
+    """Of shingles as tuples of words: each weighs as the root of its bytes."""
+    return sum(math.sqrt(sum(len(w.encode()) for w in x)) for x in shingles)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(2)
     base = [prose(rng, 120, 5000) for _ in range(12)]
@@ -117,7 +122,7 @@ def test_near_duplicates(spark):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if len(a & b) >= 0.8 * len(a | b):
+            if weight(a & b) >= 0.8 * weight(a | b) - 1e-9:
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     rows = near_duplicates(table(spark, texts)).collect()
