@@ -7,7 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import f_tail, t_quantile, t_tails
 from ..functions.text import ratio
+from .scan import lasts, percentiles, scanned
 
 DIFFICULTIES = ("Easy", "Medium", "Hard", "Very Hard")
 #: Weights of variance scores, thresholds of ratings.
@@ -47,7 +49,9 @@ def efficiency(rows: DataFrame) -> DataFrame:
 
 def latency_profile(rows: DataFrame) -> DataFrame:
     """Exact 95th percentile with linear interpolation."""
-    return rows.groupBy("model").agg(F.avg("latency").alias("mean"), F.min("latency").alias("least"), F.max("latency").alias("most"), F.percentile("latency", F.lit(0.95)).alias("p95"))
+    out = rows.groupBy("model").agg(F.avg("latency").alias("mean"), F.min("latency").alias("least"), F.max("latency").alias("most"))
+    high = percentiles(rows, ["model"], "latency", [0.95]).select(F.col("model").alias("_model"), F.col("q")[0].alias("p95"))
+    return out.join(high, out["model"].eqNullSafe(high["_model"]), "left").drop("_model")
 
 
 def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -120,7 +124,8 @@ def overview(rows: DataFrame) -> DataFrame:
 def above_percentile(rows: DataFrame, key: str, value: str, at: float = 0.8) -> DataFrame:
     """Groups whose summed value is above the given percentile of all groups."""
     sums = rows.groupBy(key).agg(F.sum(value).alias(value))
-    return sums.crossJoin(F.broadcast(sums.agg(F.percentile(value, F.lit(at)).alias("bar")))).filter(F.col(value) > F.col("bar"))
+    bar = percentiles(sums, [], value, [at]).select(F.col("q")[0].alias("bar"))  # one row
+    return sums.crossJoin(F.broadcast(bar)).filter(F.col(value) > F.col("bar"))
 
 
 def recent_change(rows: DataFrame, day: Column, as_of: Column, value: str, days: int = 7) -> DataFrame:
@@ -146,8 +151,12 @@ def histogram(rows: DataFrame, value: str, least: float, most: float, bins: int)
 
 
 def rolling_mean(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, width: int = 5) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1 - width, 0)
-    return rows.withColumn("rolling_mean", F.avg(value).over(w))
+    """Mean of each row's value and those of the width - 1 rows before it, nulls left out."""
+    lift = {"last": F.array(F.col(value).cast("double"))}
+    out = scanned(rows, by, order, lift, lasts(width), {"last": F.array().cast("array<double>")})
+    known = F.filter(F.col("_upto")["last"], lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
+    return out.withColumn("rolling_mean", F.when(F.size(known) > 0, mean)).drop("_before", "_upto")
 
 
 def average_rank(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -204,13 +213,68 @@ def effect_size(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 def iqr_outliers(rows: DataFrame, by: Sequence[str], value: str, least: int = 4) -> DataFrame:
     """Rows beyond 1.5 interquartile ranges from their group's quartiles; beyond 2.5 they are severe."""
-    q = rows.groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= least)
+    q = percentiles(rows, by, value, [0.25, 0.75]).filter(F.col("n") >= least)
     q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     away = F.greatest(F.col("q1") - F.col(value), F.col(value) - F.col("q3"))
     iqr = F.col("q3") - F.col("q1")
     return rows.join(q, list(by)).filter(away > 1.5 * iqr).withColumn("severity", F.when(away > 2.5 * iqr, "high").otherwise("medium"))
 
 
+def anova_tail(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """anova() with p, the probability of an F as large if all groups had one mean."""
+    return anova(rows, group, value).withColumn("p", f_tail(F.col("f"), F.col("df_between"), F.col("df_within")))
+
+
+def two_groups(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """t of two groups with one variance, its degrees of freedom, p on both sides, and Cohen's d; no row unless there are two groups.
+
+    The first group is the one whose name comes first.
+    """
+    g = rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v"))
+    few = g.orderBy(group).limit(3)  # a third group, if there is any, tells that there are more than two
+    one = few.agg(F.array_sort(F.collect_list(F.struct(group, "n", "m", "v"))).alias("s")).filter(F.size("s") == 2)
+    a, b = F.col("s")[0], F.col("s")[1]
+    df = a["n"] + b["n"] - 2
+    pooled = F.sqrt(((a["n"] - 1) * a["v"] + (b["n"] - 1) * b["v"]) / df)
+    t = (a["m"] - b["m"]) / (pooled * F.sqrt(1 / a["n"] + 1 / b["n"]))
+    out = one.select(a[group].alias("first"), b[group].alias("second"), df.alias("df"), F.when(pooled > 0, t).alias("t"), F.when(pooled > 0, (a["m"] - b["m"]) / pooled).alias("d"))
+    return out.withColumn("p", t_tails(F.col("t"), F.col("df")))
+
+
+def variance_shares(rows: DataFrame, factors: Sequence[str], value: str) -> DataFrame:
+    """Shares of the variance of value: of each factor, of each pair of factors beyond its two, and what is left; they add up to 1.
+
+    All means come from one pass over grouping sets. Where factors are not dealt evenly, a pair's share may fall below 0. rank orders the drivers, 1 the
+    largest; what is left has none.
+    """
+    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
+    sets = [[], *([f] for f in factors), *([a, b] for a, b in pairs)]
+    known = rows.filter(F.col(value).isNotNull()).select(*(F.col(f).cast("string").alias(f) for f in factors), F.col(value).cast("double").alias("_v"))
+    means = known.groupingSets([[F.col(c) for c in x] for x in sets], *map(F.col, factors)).agg(F.grouping_id(*factors).alias("_set"), F.count("*").alias("_n"), F.avg("_v").alias("_m"), F.var_pop("_v").alias("_s"))
+    whole = means.filter(F.col("_set") == 2 ** len(factors) - 1).select(F.col("_m").alias("_mean"), (F.col("_s") * F.col("_n")).alias("_total"))
+    between = F.sum(F.col("_n") * F.pow(F.col("_m") - F.col("_mean"), F.lit(2.0)))
+    own = means.crossJoin(F.broadcast(whole)).groupBy("_set").agg(ratio(between, F.first("_total")).alias("_share"))
+    code = lambda x: sum(0 if f in x else 2 ** (len(factors) - 1 - i) for i, f in enumerate(factors))
+    wide = own.agg(*(F.coalesce(F.max(F.when(F.col("_set") == code(x), F.col("_share"))), F.lit(0.0)).alias("*".join(x)) for x in sets[1:]))
+    shares = [(f, F.col(f)) for f in factors] + [(f"{a}*{b}", F.col(f"`{a}*{b}`") - F.col(a) - F.col(b)) for a, b in pairs]
+    left = F.lit(1.0)
+    for _, c in shares:
+        left = left - c
+    long = wide.select(F.inline(F.array(*(F.struct(F.lit(n).alias("source"), c.alias("share")) for n, c in [*shares, ("rest", left)]))))
+    rank = F.row_number().over(Window.partitionBy(F.col("source") == "rest").orderBy(F.desc("share"), "source"))  # a row for each share
+    return long.withColumn("rank", F.when(F.col("source") != "rest", rank))
+
+
+def t_interval(rows: DataFrame, by: Sequence[str], value: str, share: float = 0.95, few: int = 30) -> DataFrame:
+    """Confidence interval of each group's mean: by t for fewer than `few` values, else by the normal 1.96; null bounds for one value."""
+    spark = rows.sparkSession
+    quantiles = spark.range(1, few - 1).select(F.col("id").alias("_df"), t_quantile(share, F.col("id")).alias("_t"))  # a row for each degree of freedom below few
+    g = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("_s"))
+    out = g.join(F.broadcast(quantiles), g["n"] - 1 == quantiles["_df"], "left")
+    half = F.when(F.col("n") > 1, F.coalesce("_t", F.lit(1.96)) * F.col("_s") / F.sqrt("n"))
+    return out.select(*by, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
+
+
 def interval(rows: DataFrame, by: Sequence[str], value: str, z: float = 1.96) -> DataFrame:
     """Normal confidence interval of the mean."""
     out = rows.groupBy(*by).agg(F.avg(value).alias("mean"), (z * F.stddev_samp(value) / F.sqrt(F.count(value))).alias("half"))

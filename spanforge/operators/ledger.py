@@ -8,10 +8,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
+from .scan import decays, scanned, sums
 
 #: Dollars for a thousand input and output tokens where a price is unknown, and the safety margin of estimates.
 FALLBACK_PRICE, MARGIN = (0.001, 0.003), 1.1
@@ -156,13 +157,13 @@ def budget_state(spent: DataFrame, limits: DataFrame, warn: float = 0.8, stop: f
 
 def within_budget(rows: DataFrame, by: Sequence[str], order: Sequence[str], cost: str, budget: Column) -> DataFrame:
     """Rows that are worked on before the running cost has crossed the budget; the row that crosses it is."""
-    before = F.coalesce(F.sum(cost).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.withColumn("spent_before", before).filter(F.col("spent_before") <= budget)
+    rule, _ = sums("spent")
+    out = scanned(rows, by, order, {"spent": F.coalesce(F.col(cost).cast("double"), F.lit(0.0))}, rule, {"spent": F.lit(0.0)})
+    return out.withColumn("spent_before", F.col("_before.spent")).filter(F.col("spent_before") <= budget).drop("_before", "_upto")
 
 
 def ema(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, alpha: float = 0.1) -> DataFrame:
-    """Exponential moving average from 0 over each group's rows in order, as one weighted sum."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    n = F.count("*").over(Window.partitionBy(*by))
-    age = n - F.row_number().over(w)
-    return rows.withColumn("_w", alpha * F.pow(F.lit(1 - alpha), age)).groupBy(*by).agg(F.sum(F.col("_w") * F.col(value)).alias("ema"), F.count("*").alias("n"))
+    """Exponential moving average from 0 over each group's rows in order; of a group the value after its last row."""
+    lift = {"keeps": F.lit(1 - alpha), "value": alpha * F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "n": F.lit(1).cast("long")}
+    out = scanned(rows, by, order, lift, decays, {"keeps": F.lit(1.0), "value": F.lit(0.0), "n": F.lit(0).cast("long")})
+    return out.groupBy(*by).agg(F.max_by("_upto.value", "_upto.n").alias("ema"), F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, by_value, digits, ratio
+from .scan import percentiles
 
 #: Weights of the confidence factors.
 FACTORS = {"model": 0.25, "format": 0.20, "context": 0.15, "cross": 0.15, "pattern": 0.10, "domain": 0.10, "extraction": 0.05}
@@ -141,8 +142,14 @@ def annotator_pairs(annotations: DataFrame, key: Sequence[str] = ("doc_id", "sta
 
 def validation_report(scores: DataFrame, score: str = "score") -> DataFrame:
     """Mean, median, population deviation and grade of validation scores."""
-    out = scores.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.percentile(score, F.lit(0.5)).alias("median"), F.stddev_pop(score).alias("std"))
-    return out.withColumn("grade", grade(F.col("mean")))
+    out = scores.agg(F.count("*").alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+    return _with_median(out, scores, score).withColumn("grade", grade(F.col("mean")))
+
+
+def _with_median(one: DataFrame, rows: DataFrame, value: str) -> DataFrame:
+    """Adds the exact median of rows to their one row of totals."""
+    median = percentiles(rows, [], value, [0.5]).select(F.col("q")[0].alias("median"))
+    return one.join(F.broadcast(median), F.lit(True), "left")
 
 
 def review_queue(rows: DataFrame) -> DataFrame:
@@ -210,8 +217,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, by: Sequence[str]) -
 
 def dataset_quality(scores: DataFrame, completeness: Column, score: str = "confidence", low: float = 0.7) -> DataFrame:
     """Moments of confidence, the share of low ones, issues above a tenth, and 0.4 completeness and 0.6 mean."""
-    out = scores.agg(F.avg(score).alias("mean"), F.percentile(score, F.lit(0.5)).alias("median"), F.stddev_pop(score).alias("std"), F.min(score).alias("least"), F.max(score).alias("most"), F.avg(F.when(F.col(score) < low, 1.0).otherwise(0.0)).alias("low_share"), F.avg(completeness).alias("completeness"))
-    return out.withColumns({"low_confidence_issue": F.col("low_share") > 0.1, "overall": 0.4 * F.col("completeness") + 0.6 * F.col("mean")})
+    out = scores.agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), F.min(score).alias("least"), F.max(score).alias("most"), F.avg(F.when(F.col(score) < low, 1.0).otherwise(0.0)).alias("low_share"), F.avg(completeness).alias("completeness"))
+    return _with_median(out, scores, score).withColumns({"low_confidence_issue": F.col("low_share") > 0.1, "overall": 0.4 * F.col("completeness") + 0.6 * F.col("mean")})
 
 
 def error_patterns(errors: DataFrame, n: int = 10, examples: int = 5) -> DataFrame:
@@ -245,11 +252,6 @@ def error_category(message: Column) -> Column:
     return out.otherwise("other")
 
 
-def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, jitter: Column | None = None) -> Column:
-    """Seconds before the next attempt."""
-    wait = F.least(base * F.pow(F.lit(2.0), attempt), F.lit(most))
-    return wait if jitter is None else wait * jitter
-
 
 def health(checks: DataFrame) -> DataFrame:
     """The worst status of all checks, their mean response and the failed ones."""

@@ -185,11 +185,58 @@ def o188_effect_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.effect_size(performance(spark, sf_dir), "difficulty", "latency"), 8)
 
 
-@query(W + """, b AS (SELECT model, difficulty, quantile_cont(cost, 0.25) AS q1, quantile_cont(cost, 0.75) AS q3 FROM performance GROUP BY ALL HAVING count(*) >= 4)
-SELECT document_id, model, difficulty, round(cost, 6) AS cost, CASE WHEN greatest(q1 - cost, cost - q3) > 2.5::DOUBLE * (q3 - q1) THEN 'high' ELSE 'medium' END AS severity FROM performance JOIN b USING (model, difficulty) WHERE greatest(q1 - cost, cost - q3) > 1.5::DOUBLE * (q3 - q1)""")
+@query(f"WITH {LEDGER_SQL}" + """, b AS (SELECT provider, model, quantile_cont(estimated_cost, 0.25) AS q1, quantile_cont(estimated_cost, 0.75) AS q3 FROM ledger GROUP BY ALL HAVING count(*) >= 4)
+SELECT event_id, provider, model, round(estimated_cost, 6) AS estimated_cost, CASE WHEN greatest(q1 - estimated_cost, estimated_cost - q3) > 2.5::DOUBLE * (q3 - q1) THEN 'high' ELSE 'medium' END AS severity FROM ledger JOIN b USING (provider, model) WHERE greatest(q1 - estimated_cost, estimated_cost - q3) > 1.5::DOUBLE * (q3 - q1)""")
 def o189_iqr_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = A.iqr_outliers(performance(spark, sf_dir), ["model", "difficulty"], "cost")
-    return rounded(out.select("document_id", "model", "difficulty", "cost", "severity"), 6)
+    out = A.iqr_outliers(ledger(spark, sf_dir), ["provider", "model"], "estimated_cost")
+    return rounded(out.select("event_id", "provider", "model", "estimated_cost", "severity"), 6)
+
+
+def _beta(x: str, a: str, b: str, steps: int) -> str:
+    """DuckDB SQL for the regularised incomplete beta function, by Simpson's rule over the root of its variable."""
+    s, w = f"(sqrt({x}) * k / {steps})", f"CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"""(list_sum(list_transform(range(0, {steps} + 1), lambda k: {w} * pow({s}, 2 * ({a}) - 1) * pow(1 - {s} * {s}, ({b}) - 1))) * sqrt({x}) / {steps} / 3 * 2 * exp(lgamma(({a}) + ({b})) - lgamma({a}) - lgamma({b})))"""
+
+
+@query(W + f""", g5 AS (SELECT model, count(*) AS n, avg(latency) AS m, var_samp(latency) AS v FROM performance WHERE domain = 'd1' GROUP BY ALL), o AS (SELECT count(*) AS k, sum(n) AS t, sum(n * m) AS s, sum(n * m * m) AS q, sum((n - 1) * v) AS i FROM g5),
+f AS (SELECT k - 1 AS df_between, (t - k)::BIGINT AS df_within, ((q - s * s / t) / (k - 1)) / (i / (t - k)) AS f FROM o)
+SELECT df_between, df_within, round(f, 4) AS f, round({_beta("(df_within / (df_within + df_between * f))", "df_within / 2.0::DOUBLE", "df_between / 2.0::DOUBLE", 200_000)}, 6) AS p FROM f""")
+def o187_anova_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the models of a domain differ in latency."""
+    out = A.anova_tail(performance(spark, sf_dir).filter("domain = 'd1'"), "model", "latency")
+    return out.select("df_between", "df_within", F.round("f", 4).alias("f"), F.round("p", 6).alias("p"))
+
+
+@query(W + """, g6 AS (SELECT min(difficulty) AS first, max(difficulty) AS second, count(*) FILTER (WHERE difficulty = 'Easy') AS a, count(*) FILTER (WHERE difficulty = 'Hard') AS b, avg(latency) FILTER (WHERE difficulty = 'Easy') AS ma, avg(latency) FILTER (WHERE difficulty = 'Hard') AS mb,
+  var_samp(latency) FILTER (WHERE difficulty = 'Easy') AS va, var_samp(latency) FILTER (WHERE difficulty = 'Hard') AS vb FROM performance WHERE difficulty <> 'Medium'),
+t6 AS (SELECT first, second, a + b - 2 AS df, (ma - mb) / sqrt(((a - 1) * va + (b - 1) * vb) / (a + b - 2)) AS d, a, b FROM g6), s6 AS (SELECT *, d / sqrt(1.0::DOUBLE / a + 1.0::DOUBLE / b) AS t FROM t6)
+SELECT first, second, df, round(t, 6) AS t, round(d, 6) AS d, round(1 - 2 * abs(t) / 1000 / 3 * exp(lgamma((df + 1) / 2.0::DOUBLE) - lgamma(df / 2.0::DOUBLE)) / sqrt(df * pi())
+  * list_sum(list_transform(range(0, 1001), lambda k: CASE WHEN k = 0 OR k = 1000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + t * t * k * k / 1e6::DOUBLE / df, -(df + 1) / 2.0::DOUBLE))), 6) AS p FROM s6""")
+def o188_two_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t test and Cohen's d of easy against hard documents."""
+    return rounded(A.two_groups(performance(spark, sf_dir).filter("difficulty <> 'Medium'"), "difficulty", "latency"), 6)
+
+
+@query(W.replace("WITH ", "WITH RECURSIVE ", 1) + f""", halves AS (SELECT df, 0.0::DOUBLE AS low, 20.0::DOUBLE AS high, 0 AS k FROM (SELECT unnest(range(1, 29)) AS df)
+  UNION ALL SELECT df, CASE WHEN wide THEN (low + high) / 2 ELSE low END, CASE WHEN wide THEN high ELSE (low + high) / 2 END, k + 1
+  FROM (SELECT *, {_beta("(df / (df + (low + high) * (low + high) / 4))", "df / 2.0::DOUBLE", "0.5::DOUBLE", 4000)} > 0.05::DOUBLE AS wide FROM halves WHERE k < 40)),
+quantiles AS (SELECT df, (low + high) / 2 AS t FROM halves WHERE k = 40),
+g7 AS (SELECT model, document_name, count(*) AS n, avg(latency) AS mean, stddev_samp(latency) AS s FROM performance WHERE success GROUP BY ALL)
+SELECT model, document_name, n, round(mean, 4) AS mean, round(mean - coalesce(t, 1.96::DOUBLE) * s / sqrt(n), 4) AS low, round(mean + coalesce(t, 1.96::DOUBLE) * s / sqrt(n), 4) AS high FROM g7 LEFT JOIN quantiles ON df = n - 1""")
+def o192_t_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(A.t_interval(performance(spark, sf_dir).filter("success"), ["model", "document_name"], "latency"))
+
+
+_FACTORS = ("model", "difficulty", "domain")
+_SHARE = "(SELECT sum(n * pow(m - (SELECT avg(latency) FROM performance), 2)) / (SELECT var_pop(latency) * count(latency) FROM performance) FROM (SELECT count(*) AS n, avg(latency) AS m FROM performance GROUP BY {}))"
+_PAIRS = [(a, b) for i, a in enumerate(_FACTORS) for b in _FACTORS[i + 1 :]]
+
+
+@query(W + ", one AS (" + " UNION ALL ".join([f"SELECT '{f}' AS source, {_SHARE.format(f)} AS share" for f in _FACTORS] + [f"SELECT '{a}*{b}', {_SHARE.format(f'{a}, {b}')} - {_SHARE.format(a)} - {_SHARE.format(b)}" for a, b in _PAIRS]) + """)
+SELECT source, round(share, 8) AS share, row_number() OVER (ORDER BY share DESC, source)::INT AS rank FROM one UNION ALL SELECT 'rest', round(1 - sum(share), 8), NULL FROM one""")
+def o190_variance_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What drives latency: main effects and two-way interactions."""
+    return rounded(A.variance_shares(performance(spark, sf_dir), _FACTORS, "latency"), 8)
 
 
 @query(W + f", {_G} SELECT model, round(avg(1 / (1 + s / m)), 6) AS stability FROM g GROUP BY model")

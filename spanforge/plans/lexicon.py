@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers as W
 from ..operators import extract as E
+from ..operators import shaped as H
 from ..operators import tagger as G
 from ..operators import terms as T
 from ..sources.files import FIELD_TYPES
@@ -122,3 +123,20 @@ SELECT doc_id, text, pii_type, field, path, start_pos, start_pos + length(text):
   CASE pii_type WHEN 'EMAIL' THEN 0.95 WHEN 'PHONE' THEN 0.9 WHEN 'PERSON' THEN 0.85 WHEN 'ADDRESS' THEN 0.8 WHEN 'ID_NUMBER' THEN 0.9 WHEN 'ORGANIZATION' THEN 0.75 ELSE 0.7 END::DOUBLE AS confidence FROM placed""")
 def o122_answer_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.answer_spans(answers(spark, sf_dir)).drop("extractor")
+
+
+_SECRET = "spring"
+_DRAWN = f"""('0x' || substr(sha256('{_SECRET}|' || kind || '|0|0|' || @i || '|' || b), 1, 15))::BIGINT % pow(10, length(a))::BIGINT"""
+_ROUNDS = ",\n".join(f"r{i + 1} AS (SELECT doc_id, start_pos, kind, text, b AS a, CASE WHEN a = '' THEN '' ELSE lpad(((a::BIGINT + {_DRAWN.replace('@i', str(i))}) % pow(10, length(a))::BIGINT)::VARCHAR, length(a)::INT, '0') END AS b FROM r{i})" for i in range(H.ROUNDS))
+
+
+@query(f"""WITH {RULE_SPANS_SQL},
+digits AS (SELECT doc_id, start_pos, pii_type AS kind, text, regexp_replace(text, '[^0-9]', '', 'g') AS d FROM spans WHERE NOT regexp_matches(text, '[a-zA-Z]') AND regexp_matches(text, '[0-9].*[0-9]')),
+r0 AS (SELECT doc_id, start_pos, kind, text, substr(d, 1, length(d) // 2) AS a, substr(d, length(d) // 2 + 1) AS b FROM digits),
+{_ROUNDS}
+SELECT doc_id, start_pos, kind AS pii_type, text, array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN regexp_matches(substr(text, i::INT, 1), '[0-9]') THEN substr(a || b, length(regexp_replace(substr(text, 1, i::INT), '[^0-9]', '', 'g'))::INT, 1) ELSE substr(text, i::INT, 1) END), '') AS token, text AS back FROM r{H.ROUNDS}""")
+def o150_shaped_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of spans as other numbers of their shape, and the numbers that these give back."""
+    spans = E.rule_spans(documents(spark, sf_dir)).filter("NOT text rlike '[a-zA-Z]' AND text rlike '[0-9].*[0-9]'").select("doc_id", "start_pos", "pii_type", "text")
+    tokens = H.shaped_spans(spans, _SECRET)
+    return tokens.withColumn("back", H.shaped(F.col("token"), F.col("pii_type"), _SECRET, undo=True))

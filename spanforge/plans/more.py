@@ -74,15 +74,9 @@ def o100_latest_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.latest(o, ["o_custkey"], ["reviewed", "o_orderdate", "o_orderkey"]).select(F.col("o_custkey").alias("document_id"), F.col("o_orderkey").alias("annotation"))
 
 
-@query("SELECT doc_id, round((1 - n_chars % 100 / 100.0::DOUBLE) * 10 + 5 * (n_chars % 2), 6) AS priority FROM documents ORDER BY priority DESC, doc_id LIMIT 50")
-def o110_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_chars")
-    return rounded(table(spark, sf_dir, "documents").select("doc_id", ((1 - n % 100 / 100.0) * 10 + 5 * (n % 2)).alias("priority")), 6).orderBy(F.desc("priority"), "doc_id").limit(50)
-
-
 @query("SELECT doc_id, priority, row_number() OVER (ORDER BY priority DESC, doc_id) AS place FROM (SELECT doc_id, round((1 - n_chars % 100 / 100.0::DOUBLE) * 10 + 5 * (n_chars % 2), 6) AS priority FROM documents)")
 def o110_review_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its place; o110_review_order is the first page of it."""
+    """Every document with its place."""
     n = F.col("n_chars")
     rows = rounded(table(spark, sf_dir, "documents").select("doc_id", ((1 - n % 100 / 100.0) * 10 + 5 * (n % 2)).alias("priority")), 6)
     return R.numbered(rows, [F.desc("priority"), F.col("doc_id")], "place")
@@ -154,12 +148,6 @@ def o194_executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(one.select(F.inline(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("accuracy", "cost", "success_rate"))))))
 
 
-@query("SELECT event_id, round(least(0.5::DOUBLE * pow(2, event_id % 12), 30) * (0.5::DOUBLE + (event_id % 7) / 7.0::DOUBLE), 6) AS wait FROM events")
-def o196_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return rounded(e.select("event_id", Q.backoff(F.col("event_id") % 12, 0.5, 30.0, 0.5 + F.col("event_id") % 7 / 7.0).alias("wait")), 6)
-
-
 @query("SELECT 'b1' AS batch_id, count(*) AS documents, 'created' AS status FROM documents")
 def o208_new_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"))

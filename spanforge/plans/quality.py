@@ -64,16 +64,9 @@ def o004_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).withColumn("line", F.col("line").cast("long"))
 
 
-@query("SELECT d.doc_id, CASE WHEN length(coalesce(d.text, '')) < 50 THEN d.text || chr(10) || c.text ELSE d.text END AS text FROM (SELECT doc_id, substr(text, 1, (doc_id % 100)::INT + 1) AS text FROM documents) d JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0")
-def o025_effective_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).select("doc_id", F.substring("text", F.lit(1), (F.col("doc_id") % 100 + 1).cast("int")).alias("raw"))
-    c = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("ocr"))
-    return d.join(c, "doc_id").select("doc_id", E.effective_text(F.col("raw"), F.col("ocr")).alias("text"))
-
-
 @query("SELECT d.doc_id, CASE WHEN length(coalesce(d.text, '')) < 50 THEN concat_ws(chr(10), nullif(d.text, ''), nullif(c.text, '')) ELSE d.text END AS text FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 0")
 def o025_effective_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its whole text; o025_effective_text is the same over beginnings of 1 to 100 characters, which reach the short branch."""
+    """Every document with its whole text, and the first turn of the conversation of its number where the text is short."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
     c = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("ocr"))
     return d.join(c, "doc_id", "left").select("doc_id", E.effective_text(F.col("raw"), F.col("ocr")).alias("text"))
@@ -271,15 +264,9 @@ def o108_pending_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_documents(spark, sf_dir).filter("status = 'pending'").orderBy("created_at", "document_id").limit(100).select("document_id")
 
 
-@query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS priority FROM orders ORDER BY priority DESC, o_orderkey LIMIT 200")
-def o109_priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(1)
-    return table(spark, sf_dir, "orders").select("o_orderkey", p.alias("priority")).orderBy(F.desc("priority"), "o_orderkey").limit(200)
-
-
 @query("SELECT o_orderkey, priority, row_number() OVER (ORDER BY priority DESC, o_orderkey) AS place FROM (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS priority FROM orders)")
 def o109_priority_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order with its place; o109_priority_order is the first page of it."""
+    """Every order with its place."""
     p = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(1)
     return R.numbered(table(spark, sf_dir, "orders").select("o_orderkey", p.alias("priority")), [F.desc("priority"), F.col("o_orderkey")], "place")
 
@@ -390,9 +377,9 @@ def o167_domain_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(documents(spark, sf_dir).select("doc_id", Q.domain_boost(F.col("text"), ("license", "the", "apache", "http", "version")).alias("boost")), 6)
 
 
-@query(f"WITH {LEDGER_SQL} SELECT event_id, CASE WHEN contains(error_message, 'timeout') THEN 'timeout' ELSE 'other' END AS category, round(least(pow(2, event_id % 8), 60), 4) AS wait FROM ledger WHERE NOT success")
+@query(f"WITH {LEDGER_SQL} SELECT event_id, CASE WHEN contains(error_message, 'timeout') THEN 'timeout' ELSE 'other' END AS category FROM ledger WHERE NOT success")
 def o195_error_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger(spark, sf_dir).filter("not success").select("event_id", Q.error_category(F.col("error_message")).alias("category"), F.round(Q.backoff(F.col("event_id") % 8), 4).alias("wait"))
+    return ledger(spark, sf_dir).filter("not success").select("event_id", Q.error_category(F.col("error_message")).alias("category"))
 
 
 @query(f"WITH {LEDGER_SQL}, h AS (SELECT provider AS name, CASE WHEN provider = 'error' THEN 2 WHEN avg(estimated_cost) > 40 THEN 1 ELSE 0 END AS r, avg(processing_time) AS response FROM ledger GROUP BY provider) SELECT ['healthy', 'degraded', 'unhealthy'][max(r) + 1] AS status, round(avg(response), 6) AS avg_response, coalesce(array_to_string(list(name ORDER BY name) FILTER (WHERE r = 2), ','), '') AS failed FROM h")

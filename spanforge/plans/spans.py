@@ -14,6 +14,7 @@ from ..operators import extract as E
 from ..operators import privacy as P
 from ..operators import spans as S
 from .tables import documents as docs
+from .tables import table
 
 SCORE = {"confidence": 6}
 
@@ -28,7 +29,10 @@ def o118_rule_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o119_dictionary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.dictionary_spans(docs(spark, sf_dir), types=None).drop("context"))
+    """Over a card for each customer, as no document holds any of the dictionaries' terms."""
+    card = F.concat(F.lit("Account number: "), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(" of "), "c_name", F.lit(". Contact by e-mail or phone; badge "), (F.col("c_nationkey") + 1000).cast("string"), F.lit(", MRN: "), (F.col("c_custkey") + 7000000).cast("string"), F.lit(", numéro d'employé "), "c_mktsegment", F.lit("."))
+    cards = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), card.alias("text"))
+    return rounded(E.dictionary_spans(cards, types=None).drop("context"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,5 +358,5 @@ SELECT pii_type, spans, greatest(trunc(spans - sign(u) * ln(1 - 2 * abs(u)))::BI
     "o215_corrected_spans": R + """SELECT doc_id, start_pos, end_pos, CASE WHEN (doc_id + start_pos) % 5 = 1 THEN 'organization' ELSE pii_type END AS pii_type, CASE WHEN (doc_id + start_pos) % 5 = 2 THEN upper(text) ELSE text END AS text, confidence FROM spans WHERE (doc_id + start_pos) % 5 <> 0""",
     "o216_accepted": R + "SELECT doc_id, count(*) AS spans, round(avg(confidence), 6) AS mean, avg(confidence) >= 0.7::DOUBLE AS accepted FROM spans GROUP BY doc_id",
     "o118_rule_spans": f"WITH {RULE_SPANS_SQL} SELECT * FROM spans",
-    "o119_dictionary_spans": f"WITH {DICTIONARY_SPANS_SQL} SELECT doc_id, text, pii_type, confidence, start_pos, end_pos, extractor, dictionary FROM spans",
+    "o119_dictionary_spans": f"""WITH documents AS (SELECT c_custkey AS doc_id, 'Account number: ' || lpad(c_custkey::VARCHAR, 9, '0') || ' of ' || c_name || '. Contact by e-mail or phone; badge ' || (c_nationkey + 1000)::VARCHAR || ', MRN: ' || (c_custkey + 7000000)::VARCHAR || ', numéro d''employé ' || c_mktsegment || '.' AS text, NULL AS lang, NULL AS source FROM customer), {DICTIONARY_SPANS_SQL} SELECT doc_id, text, pii_type, confidence, start_pos, end_pos, extractor, dictionary FROM spans""",
 }

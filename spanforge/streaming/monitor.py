@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.scan import scanned, sums
+
 #: Fixed values: (alert, metric, threshold, above, seconds).
 ALERTS = (
     ("high_cpu", "cpu_percent", 85.0, True, 300), ("high_memory", "memory_percent", 90.0, True, 180), ("low_disk", "disk_free_percent", 10.0, False, 60), ("slow_processing", "processing_time", 5000.0, True, 120),
@@ -75,9 +77,11 @@ def alerts_stream(points: DataFrame, threshold: float, above: bool, seconds: int
 
 def error_rate(events: DataFrame, by: str = "provider") -> DataFrame:
     """Errors for each operation so far, after each event."""
-    w = Window.partitionBy(by).orderBy("timestamp", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    errors = F.sum(F.when(F.col("success"), 0).otherwise(1)).over(w)
-    return events.withColumn("error_rate", errors / F.greatest(F.count("*").over(w), F.lit(1)))
+    rule, _ = sums("errors", "n")
+    zero = F.lit(0).cast("long")
+    lift = {"errors": F.when(F.col("success"), 0).otherwise(1).cast("long"), "n": F.lit(1).cast("long")}
+    out = scanned(events, [by], ["timestamp", "event_id"], lift, rule, {"errors": zero, "n": zero})
+    return out.withColumn("error_rate", F.col("_upto.errors") / F.greatest(F.col("_upto.n"), F.lit(1))).drop("_before", "_upto")
 
 
 def retained(points: DataFrame, most: int = 10000) -> DataFrame:
