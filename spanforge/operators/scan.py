@@ -112,7 +112,7 @@ def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: Sequence
     base = plain.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     at = [F.floor(F.lit(float(s)) * (F.col("n") - 1)) for s in shares]
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(k, F.least(k + 1, F.col("n") - 1)) for k in at))))
-    groups = checkpointed(base)
+    groups = checkpointed(base.filter("n > 0"))
     wanted = groups.select(*by, F.explode(ranks).alias("_rank"), F.lit(0).cast("long").alias("_done"), "_low", "_high")
     open_, found = checkpointed(wanted), None
     same = lambda a, b, names: [a[c].eqNullSafe(b[f"_g_{c}"]) for c in names]

@@ -188,11 +188,16 @@ def windows(docs: DataFrame, most: int = 512, overlap: int = 128, text: str = "t
     return rows.select(F.col("_key").alias(key), "window", "at", F.substring("_text", F.col("at") + 1, F.lit(most)).alias("text"), (F.col("at") == 0).alias("first"), (F.col("at") + most >= n).alias("last"))
 
 
-def tagged(cut: DataFrame, model: Callable[[list[str]], list[list[tuple[str, str, float, int, int]]]], key: str = "doc_id") -> DataFrame:
-    """Spans of a model in windows(): (key, pii_type, confidence, start_pos, end_pos, cut_off), places those of the document.
+def tagged(cut: DataFrame, model: Callable[[list[str]], list[list[tuple[str, str, float, int, int]]]], overlap: int = 128, key: str = "doc_id") -> DataFrame:
+    """Spans of a model in windows() of that overlap: (key, pii_type, confidence, start_pos, end_pos, cut_off), places those of the document.
 
-    cut_off: the span touches an end of its window that is none of the text's.
+    cut_off: the span touches an end of its window that is none of the text's. It counts only if it reaches beyond what the
+    neighbour shares, which has seen it whole otherwise.
     """
+
+    def counts(a: int, b: int, n: int, first: bool, last: bool) -> bool:
+        return not (a == 0 and not first and b < overlap or b == n and not last and a > n - overlap)
+
     kind = cut.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +206,7 @@ def tagged(cut: DataFrame, model: Callable[[list[str]], list[list[tuple[str, str
             texts = batch.column("text").to_pylist()
             rows = zip(*(batch.column(c).to_pylist() for c in (key, "at", "first", "last")), texts, model(texts), strict=True)
             for k, at, first, last, text, spans in rows:
-                out += [(k, t, p, at + a, at + b, (a == 0 and not first) or (b == len(text) and not last)) for _, t, p, a, b in spans]
+                out += [(k, t, p, at + a, at + b, (a == 0 and not first) or (b == len(text) and not last)) for _, t, p, a, b in spans if counts(a, b, len(text), first, last)]
             columns = list(zip(*out, strict=True)) or [[]] * 6
             types = (batch.column(key).type, pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "pii_type", "confidence", "start_pos", "end_pos", "cut_off"])
