@@ -48,12 +48,12 @@ def beta_share(x: Column, a: Column, b: Column) -> Column:
 def f_tail(f: Column, df1: Column, df2: Column) -> Column:
     """Probability of a value of F above f; null for nulls and without degrees of freedom."""
     a, b = df2.cast("double") / 2, df1.cast("double") / 2
-    return F.when((df1 > 0) & (df2 > 0), beta_share(df2 / (df2 + df1 * F.greatest(f, F.lit(0.0))), a, b))
+    return F.when(f.isNotNull() & (df1 > 0) & (df2 > 0), beta_share(df2 / (df2 + df1 * F.greatest(f, F.lit(0.0))), a, b))
 
 
 def t_tails(t: Column, df: Column) -> Column:
     """Probability of a value of t farther from 0 than t, on both sides."""
-    return F.when(df > 0, beta_share(df / (df + t * t), df.cast("double") / 2, F.lit(0.5)))
+    return F.when(t.isNotNull() & (df > 0), beta_share(df / (df + t * t), df.cast("double") / 2, F.lit(0.5)))
 
 
 def t_quantile(share: float, df: Column, rounds: int = 60) -> Column:
