@@ -26,20 +26,20 @@ OUT = "O"
 
 
 def shape(word: str, before: str) -> int:
-    """What a word looks like: its letters by case, digits by how many, signs as they are; and whether only space parts it from the word before.
+    """What a word looks like: its letters by case, ASCII or not, digits by how many, signs as they are; and whether only space parts it from the word before.
 
     Letters after the second of a run don't count.
     """
     parts, last, n = [], "", 0
     for c in word:
-        kind = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+        kind = "d" if c.isdigit() else c if not c.isalpha() else ("X" if c.isupper() else "x") if c.isascii() else ("Y" if c.isupper() else "y")
         n = n + 1 if kind == last else 1
         if kind == "d":
             if n == 1:
                 parts.append("d1")
             else:
                 parts[-1] = f"d{min(n, 20)}"
-        elif kind not in "Xx" or n <= 2:
+        elif kind not in "XxYy" or n <= 2:
             parts.append(kind)
         last = kind
     gap = "_" if before.isspace() else "^" if not before else "|"
