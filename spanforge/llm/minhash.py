@@ -35,6 +35,8 @@ CLOSE = 0.64
 WIDTH = 7
 #: Nodes of a hot bucket that are compared with each other in one place.
 BLOCK = 2000
+#: Sets that are compared with another at a time, and their bytes (more for one that is longer).
+AT_ONCE, AT_ONCE_BYTES = 64, 8 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,14 +121,14 @@ def _set(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out.reshape(-1).view("<u8"), np.sqrt(np.ascontiguousarray(rows[:, 5:]).reshape(-1).view("<u2"))
 
 
-def _similar(x: bytes, y: bytes, similarity: float) -> bool:
-    (a, of_a), (b, of_b) = _set(x), _set(y)
-    least, most = sorted((of_a.sum(), of_b.sum()))
-    if least < similarity * most - 1e-6:
-        return False
-    _, at, _ = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    both = of_a[at].sum()
-    return bool(both >= similarity * (least + most - both) - 1e-9)
+def _similar(one: bytes, others: list[bytes], similarity: float) -> np.ndarray:
+    """Which of the other sets have at least the given similarity to one."""
+    (a, of_a), (b, of_b) = _set(one), _set(b"".join(others))
+    of = np.repeat(np.arange(len(others)), [len(raw) // WIDTH for raw in others])
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    shared = a[at] == b
+    both, weight = (np.bincount(of[x], of_b[x], len(others)) for x in (shared, slice(None)))
+    return both >= similarity * (of_a.sum() + weight - both) - 1e-9
 
 
 def _registers(raw: list[bytes]) -> np.ndarray:
@@ -145,7 +147,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = pa.array([_similar(x, y, similarity) for x, y in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), strict=True)], pa.bool_())
+            keep = pa.array([bool(_similar(x, [y], similarity)[0]) for x, y in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], ["a", "b"])
 
     left, right = (sets.select(F.col("uid").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
@@ -195,19 +197,30 @@ def _nearest(most: int):
 
 
 def _still_open(table: pa.Table) -> pa.Table:
-    """The buckets with any close rows of different classes."""
-    keys = [part.column("key")[0].as_py() for part, left, right in _buckets_in(table) if next(_close_across(part, left, right), None) is not None]
-    return pa.table({"key": pa.array(keys, pa.int64())})
+    """The rows of buckets that are close to one of another class."""
+    keys, uids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part, left, right in _buckets_in(table):
+        near = np.zeros(part.num_rows, bool)
+        for x, y, _ in _close_across(part, left, right):
+            near[x] = near[y] = True
+        keys.append(part.column("key").to_numpy()[near])
+        uids.append(part.column("uid").to_numpy()[near])
+    return pa.table({"key": pa.array(np.concatenate(keys), pa.int64()), "uid": pa.array(np.concatenate(uids), pa.int64())})
 
 
 def _every_link(similarity: float):
-    """Verifies all close rows of different classes of a bucket, but for classes that a link found here has joined."""
+    """Verifies all close rows of different classes of a bucket, but for classes that a link found here has joined.
+
+    Two rows with several buckets in common are compared in that of their first common band.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         found = []
         for part, left, right in _buckets_in(table):
-            uid, label = part.column("uid").to_numpy(), part.column("label").to_pylist()
-            raw, parent = part.column("shingles").to_pylist(), {}
+            uid, label, key = part.column("uid").to_numpy(), part.column("label").to_pylist(), part.column("key")[0].as_py()
+            bands = part.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            raw, parent = part.column("shingles"), {}
+            size = pc.binary_length(raw).to_numpy()
 
             def root(c: int, parent: dict[int, int] = parent) -> int:
                 while c in parent:
@@ -215,11 +228,17 @@ def _every_link(similarity: float):
                 return c
 
             for x, ys, same in _close_across(part, left, right):
-                for y in ys[np.argsort(-same, kind="stable")].tolist():
-                    a, b = root(label[x]), root(label[y])
-                    if a != b and _similar(raw[x], raw[y], similarity):
-                        parent[max(a, b)] = min(a, b)
-                        found.append(sorted((int(uid[x]), int(uid[y]))))
+                common = (bands[ys] == bands[x]).argmax(1)
+                ys = ys[np.argsort(np.where(bands[x][common] == key, -same, 1), kind="stable")[: (bands[x][common] == key).sum()]]
+                one = raw[x].as_py()
+                while len(ys := ys[[root(label[y]) != root(label[x]) for y in ys.tolist()]] if len(ys) else ys):
+                    n = max(1, min(AT_ONCE, int(np.searchsorted(np.cumsum(size[ys]), AT_ONCE_BYTES, "right"))))
+                    for y in ys[:n][_similar(one, [raw[y].as_py() for y in ys[:n].tolist()], similarity)].tolist():
+                        a, b = root(label[x]), root(label[y])
+                        if a != b:
+                            parent[max(a, b)] = min(a, b)
+                            found.append(sorted((int(uid[x]), int(uid[y]))))
+                    ys = ys[n:]
         return pa.table({"a": pa.array([a for a, _ in found], PAIRS["a"]), "b": pa.array([b for _, b in found], PAIRS["b"])})
 
     return run
@@ -286,9 +305,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
     more = _verify(asked, sets, similarity)
     links, label = links.unionAll(more), joined(label, more)
     rest = checkpointed(open_rows())
-    still = checkpointed(by_block(rest).applyInArrow(_still_open, "key long").distinct())
+    still = checkpointed(by_block(rest).applyInArrow(_still_open, "key long, uid long").distinct())
     if not still.isEmpty():
-        rest = rest.join(still, "key").join(sets, "uid")
+        rest = rest.join(still, ["key", "uid"]).join(nodes.select("uid", "bands"), "uid").join(sets, "uid")
         more = checkpointed(by_block(rest).applyInArrow(_every_link(similarity), "a long, b long").distinct())
         links, label = links.unionAll(more), joined(label, more)
 
