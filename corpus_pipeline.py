@@ -49,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     ones included, are one class. An empty table stays empty; all columns stay.
     """
     rows, place = _placed(docs)
-    kept = near_duplicates(rows, place=place).filter("kept").select(F.col("uid").alias(place))
+    kept = near_duplicates(rows, place=place, with_links=False).filter("kept").select(F.col("uid").alias(place))
     return rows.join(kept, place, "left_semi").select(*docs.columns)
 
 

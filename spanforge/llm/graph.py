@@ -1,20 +1,56 @@
-"""Connected components of links, with DataFrames alone."""
+"""Connected components of links."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import checkpointed
 
+#: Links that a task joins at a time.
+LINKS = 100_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task, LINKS at a time, as links of each node to the smallest that these join it to."""
+
+    def joined_up(links: np.ndarray) -> pa.RecordBatch:
+        parent = {n: n for n in np.unique(links).tolist()}
+
+        def root(n: int) -> int:
+            while parent[n] != n:
+                parent[n] = n = parent[parent[n]]
+            return n
+
+        for a, b in links.tolist():
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(n) for n in parent], pa.int64())], ["a", "b"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(np.stack([batch.column(c).to_numpy() for c in ("a", "b")], 1))
+        n += batch.num_rows
+        if n >= LINKS:
+            yield joined_up(np.concatenate(held))
+            held, n = [], 0
+    if n:
+        yield joined_up(np.concatenate(held))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of the links (a, b): label is the smallest node of its component.
 
-    Each round takes the least label among a node's neighbours, then that of its label's label, so
-    that long chains shorten fast; it ends as labels only ever fall. Nodes that no link names are not in the result; a link from a
+    Tasks join LINKS of them at a time into stars, which leaves few rounds where links are few. Each round takes the least label
+    among a node's neighbours, then that of its label's label, so that long chains shorten fast; it ends as labels only ever fall. Nodes that no link names are not in the result; a link from a
     node to itself names it.
     """
+    links = checkpointed(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    links = links.coalesce(links.count() // LINKS + 1).mapInArrow(_stars, "a long, b long")
     edges = checkpointed(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a")).distinct())
     labels = checkpointed(edges.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     while True:

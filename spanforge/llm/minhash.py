@@ -244,12 +244,12 @@ def _every_link(similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id", place: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text", key: str = "doc_id", place: str | None = None, with_links: bool = True) -> DataFrame:
     """Classes of near-duplicates: texts linked by a probability Jaccard similarity of at least `similarity` on weighted five-word shingles.
 
     Returns key, uid (the row's place: the column place, no two rows of which are equal, or else its
     place in the files), class_id (the smallest key of the class), class_size, n_links (how many other texts this one was verified to
-    be linked with), linked_id (the key of one of them, of the smallest place; null if n_links is 0) and kept for each row. Verified links join a class;
+    be linked with), linked_id (the key of one of them, of the smallest place; null if n_links is 0) and kept for each row. Without with_links, n_links and linked_id are left out. Verified links join a class;
     those that would join what is joined already are not all looked for.
     One row of a class is kept, that with the smallest key, null last; of rows that tie, the first by place. Words are lower-cased runs of letters and digits;
     a text of fewer than five words is one shingle; texts without words, null ones included, are one
@@ -311,12 +311,16 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, text: str = "text"
         more = checkpointed(by_block(rest).applyInArrow(_every_link(similarity), "a long, b long").distinct())
         links, label = links.unionAll(more), joined(label, more)
 
-    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
-    ends = ends.groupBy("node").agg(F.countDistinct("other").alias("n_links"), F.min("other").alias("other"))
-    ends = ends.join(same.select(F.col("node").alias("other"), F.col("first.id").alias("linked_id")), "other").drop("other")
-    groups = same.join(label, "node", "left").join(ends, "node", "left").select("words_a", "words_b", "first", "n", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "linked_id")
-    classes = groups.groupBy("label").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"))
-    odd = F.pmod("label", F.lit(2)).alias("parity")
-    groups = groups.select("*", odd).join(classes.select("*", odd), ["label", "parity"])
-    out = signed.select("uid", "id", "words_a", "words_b").join(groups.select("words_a", "words_b", "keep", "class_size", "n_links", "linked_id"), ["words_a", "words_b"])
-    return out.select(F.col("id").alias(key), "uid", F.col("keep.id").alias("class_id"), "class_size", "n_links", "linked_id", (F.col("uid") == F.col("keep.uid")).alias("kept"))
+    told = ["n_links", "linked_id"] if with_links else []
+    groups = same.join(label, "node", "left").select("*", F.coalesce("label", "node").alias("class"))
+    if with_links:
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(links.select("b", "a"))
+        ends = ends.groupBy("node").agg(F.countDistinct("other").alias("n_links"), F.min("other").alias("other"))
+        ends = ends.join(same.select(F.col("node").alias("other"), F.col("first.id").alias("linked_id")), "other").drop("other")
+        groups = groups.join(ends, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    odd = F.pmod("class", F.lit(2)).alias("parity")
+    groups = groups.select("words_a", "words_b", "first", "n", "class", *told, odd)
+    classes = groups.groupBy("class").agg(F.min("first").alias("keep"), F.sum("n").alias("class_size"))
+    groups = groups.join(classes.select("*", odd), ["class", "parity"])
+    out = signed.select("uid", "id", "words_a", "words_b").join(groups.select("words_a", "words_b", "keep", "class_size", *told), ["words_a", "words_b"])
+    return out.select(F.col("id").alias(key), "uid", F.col("keep.id").alias("class_id"), "class_size", *told, (F.col("uid") == F.col("keep.uid")).alias("kept"))
