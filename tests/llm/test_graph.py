@@ -26,7 +26,7 @@ def test_components_and_joined(spark, monkeypatch, limit):
     monkeypatch.setattr(G, "LINKS", limit)
     rng = random.Random(8)
     ids = rng.sample(range(10**12), 400)
-    links = [(ids[k], ids[k + 1]) for k in range(120)] + [(rng.choice(ids[130:300]), rng.choice(ids[130:300])) for _ in range(90)] + [(ids[320], ids[320])]
+    links = [(ids[k], ids[k + 1]) for k in range(20)] + [(rng.choice(ids[130:300]), rng.choice(ids[130:300])) for _ in range(60)] + [(ids[320], ids[320])]
     more = [(ids[5], ids[140]), (ids[350], ids[351]), (ids[351], ids[140])]
     rng.shuffle(links)
     frame = lambda rows: spark.createDataFrame(rows, "a long, b long").repartition(6)
