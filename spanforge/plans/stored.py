@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as E
 from ..sources import files, sinks
+from ..sources.keyed import KeyedTable, delete_cascade
 from .spans import RULE_SPANS_SQL, rounded
 from .tables import LEDGER_SQL, documents, ledger, table
 
@@ -120,3 +121,39 @@ def o023_upserted_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = ledger(spark, sf_dir).groupBy("model", F.to_date("timestamp").alias("day")).agg(F.max("total_tokens").alias("most"), F.count("*").alias("n"))
     anew = days.filter(F.dayofmonth("day") % 2 == 0).withColumn("most", F.col("most") + 1)
     return sinks.upserted(days, anew, ["model", "day"])
+
+
+@query("SELECT date_trunc('month', o_orderdate)::DATE AS month, o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
+def o023_rollup_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by month and customer up to the middle of a month; what came since replaces that month and adds the next ones, in their buckets only."""
+    orders = table(spark, sf_dir, "orders").withColumn("month", F.trunc("o_orderdate", "month"))
+    totals = lambda rows: rows.groupBy("month", "o_custkey").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    stored = KeyedTable(sinks.shared_folder(spark, "rollup"), ("month", "o_custkey"), ("month",), 32)
+    stored.create(totals(orders.filter("o_orderdate < '2001-06-15'")))
+    stored.upsert(totals(orders.filter("month >= '2001-06-01'")))
+    return stored.rows(spark).withColumn("total", F.round("total", 2))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' AND o_orderstatus = 'O' THEN 'processing' ELSE o_orderstatus END AS status, round(o_totalprice, 2) AS price FROM orders")
+def o209_status_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partial update: open orders of the last months get a status, their price is not given and stays."""
+    orders = table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").alias("month"), "o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
+    stored = KeyedTable(sinks.shared_folder(spark, "statuses"), ("month", "o_orderkey"), ("month",), 32)
+    stored.create(orders)
+    stored.upsert(orders.filter("month >= '2001-01-01' AND status = 'O'").select("month", "o_orderkey", F.lit("processing").alias("status")), partial=True)
+    return stored.rows(spark).select("o_orderkey", "status", F.round("price", 2).alias("price"))
+
+
+@query("""WITH results AS (SELECT l_orderkey, l_linenumber, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL)
+SELECT l_linenumber, count(*) AS results, sum(n)::BIGINT AS n, round(sum(quantity), 2) AS quantity FROM results
+WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderstatus IN ('F', 'P')) GROUP BY l_linenumber""")
+def o211_cascaded_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that are left when ended batches of before 1996 went, and their results with them."""
+    batches = KeyedTable(sinks.shared_folder(spark, "batches"), ("o_orderkey",), buckets=32)
+    results = KeyedTable(sinks.shared_folder(spark, "results"), ("l_orderkey", "l_linenumber"), ("l_orderkey",), 32)
+    batches.create(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus"))
+    results.create(table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity")))
+    old = (F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")) & F.col("o_orderstatus").isin("F", "P")
+    delete_cascade(spark, batches, old, {results: {"l_orderkey": "o_orderkey"}})
+    left = results.rows(spark).groupBy("l_linenumber").agg(F.count("*").alias("results"), F.sum("n").alias("n"), F.sum("quantity").alias("quantity"))
+    return left.withColumn("quantity", F.round("quantity", 2))
