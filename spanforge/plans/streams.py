@@ -50,6 +50,14 @@ def o106_retained_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.retained(points(spark, sf_dir), 100).groupBy("metric").agg(F.count("*").alias("n"))
 
 
+@query("""WITH kept AS (SELECT event_type AS metric, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, value DESC) <= 500)
+SELECT metric, count(*) AS n, min(ts)::TIMESTAMP AS oldest, max(ts)::TIMESTAMP AS newest, round(avg(value), 4) AS mean, round(arg_max(value, row(ts, value)), 4) AS latest FROM kept GROUP BY metric""")
+def o198_last_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch twin of the stream that holds the last points of each metric in its state."""
+    out = rounded(M.retained_summary(points(spark, sf_dir), 500))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("oldest", "newest")})
+
+
 @query(f"""WITH {LEDGER_SQL}, g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY session_id ORDER BY timestamp, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM ledger),
 s AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY timestamp, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
 SELECT session_id, min(timestamp)::TIMESTAMP AS start, max(timestamp)::TIMESTAMP + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(estimated_cost), 4) AS cost FROM s GROUP BY session_id, k""")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.scan import scanned, sums
+from ..sources.files import CONTENT_TYPES
 
 #: Fixed values: (alert, metric, threshold, above, seconds).
 ALERTS = (
@@ -90,7 +91,127 @@ def retained(points: DataFrame, most: int = 10000) -> DataFrame:
     return points.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
 
 
-def process_folder(spark: SparkSession, folder: str, schema: str, work: Callable[[DataFrame, int], None], checkpoint: str, files: int = 50) -> StreamingQuery:
+def retained_summary(points: DataFrame, most: int = 10000) -> DataFrame:
+    """What the last `most` points of each metric say: their number, first and last time, mean, and the latest value."""
+    kept = retained(points, most).groupBy("metric")
+    latest = F.max(F.struct("timestamp", "value"))["value"]
+    return kept.agg(F.count("*").alias("n"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"), F.avg("value").alias("mean"), latest.alias("latest"))
+
+
+def retained_stream(points: DataFrame, most: int = 10000, late: str = "10 minutes", idle: str = "30 days") -> DataFrame:
+    """retained_summary() over a stream: a row for each metric that got points in a micro-batch, over the points it holds then.
+
+    The points are list state of the metric, `most` at most, in order of time and value. Rows later than `late` behind the
+    newest ones are dropped, rows with a null in any column are ignored; a metric that gets nothing for `idle` of event time
+    loses its state by a timer. The state store of the session must be RocksDB (rocksdb_state()). Runs in update mode.
+    """
+    hold = int(pd.Timedelta(idle).total_seconds() * 1000)
+    marked = points.select("metric", "timestamp", "value").dropna().withWatermark("timestamp", late)
+    schema = "metric string, n long, oldest timestamp, newest timestamp, mean double, latest double"
+    return marked.groupBy("metric").transformWithStateInPandas(_LastPoints(most, hold), schema, "Update", "EventTime")
+
+
+class _LastPoints(StatefulProcessor):
+    """Holds the last points of a metric."""
+
+    def __init__(self, most: int, hold: int) -> None:
+        self.most, self.hold = most, hold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.points = handle.getListState("points", "at long, value double")
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.points.get()), columns=["at", "value"])
+        for table in rows:  # cut after each, so that a large batch of one metric is never whole in memory
+            new = pd.DataFrame({"at": table["timestamp"].astype("datetime64[us]").astype("int64"), "value": table["value"]})
+            held = (pd.concat([held, new]) if len(held) else new).sort_values(["at", "value"]).tail(self.most)
+        self.points.put([(int(a), float(v)) for a, v in zip(held["at"], held["value"], strict=True)])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        newest = int(held["at"].iloc[-1])
+        self.handle.registerTimer(newest // 1000 + self.hold)
+        times = [pd.Timestamp(int(t), unit="us") for t in (held["at"].iloc[0], newest)]
+        yield pd.DataFrame({"metric": [key[0]], "n": [len(held)], "oldest": times[:1], "newest": times[1:], "mean": [held["value"].mean()], "latest": [held["value"].iloc[-1]]})
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.points.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def rocksdb_state(spark: SparkSession) -> None:
+    """State of streams that start from now on is kept in RocksDB, which list state and timers need."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Progress(StreamingQueryListener):
+    """How far a stream is that works off a known number of rows (files, for new_files()): add it by spark.streams.addListener().
+
+    name: of the query, as set by queryName(). total: rows that are there when it starts, for the estimate of what is left;
+    those that were done before a restart must not be in it. Reports come after each micro-batch and are kept as sums only.
+    """
+
+    def __init__(self, name: str, total: int | None = None) -> None:
+        self.name, self.total = name, total
+        self.rows = self.batches = 0
+        self.seconds = 0.0
+        self.state, self.error, self._run = "waiting", None, None
+
+    def onQueryStarted(self, event: Any) -> None:
+        if event.name == self.name:
+            self._run, self.state, self.error = str(event.runId), "running", None
+
+    def onQueryProgress(self, event: Any) -> None:
+        progress = event.progress
+        if progress.name == self.name and progress.numInputRows:
+            self.rows += progress.numInputRows
+            self.batches += 1
+            self.seconds += progress.durationMs.get("triggerExecution", 0) / 1000
+
+    def onQueryIdle(self, event: Any) -> None:
+        pass
+
+    def onQueryTerminated(self, event: Any) -> None:
+        if str(event.runId) == self._run:
+            self.error = event.exception
+            self.state = "failed" if event.exception else "ended"
+
+    def report(self) -> dict[str, Any]:
+        """Rows and batches done, rows a second, share done and seconds left; None where the total or the speed is unknown."""
+        speed = self.rows / self.seconds if self.seconds else None
+        left = None if self.total is None else max(self.total - self.rows, 0)
+        return {
+            "state": self.state, "error": self.error, "rows": self.rows, "batches": self.batches, "rows_per_second": speed,
+            "done": None if not self.total else min(self.rows / self.total, 1.0), "seconds_left": None if left is None or not speed else left / speed,
+        }
+
+
+def new_files(spark: SparkSession, folder: str, endings: Sequence[str] = tuple(CONTENT_TYPES), files: int = 50, most_bytes: int | None = None) -> DataFrame:
+    """A stream of the files below a folder, so many at a time: path, modificationTime, length and content.
+
+    Which files are done is in the checkpoint of the query that reads it, so no markers are written or listed. Endings are
+    matched in any case. Other files are not listed, and of files larger than most_bytes the content is not read.
+    """
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    any_case = ",".join("".join(f"[{c.lower()}{c.upper()}]" for c in e) for e in endings)
+    reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files)
+    stream = reader.option("pathGlobFilter", f"*.{{{any_case}}}").load(folder)
+    return stream if most_bytes is None else stream.filter(F.col("length") <= most_bytes)
+
+
+def process_new(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Hands each micro-batch of a stream to work until all that is there is done.
+
+    A batch that was cut off comes again with the same number and the same rows: work must write by that number, as to a
+    folder of its name, so that a repeat replaces the first try.
+    """
+    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (writer.queryName(name) if name else writer).start()
+
+
+def process_folder(spark: SparkSession, folder: str, schema: str, work: Callable[[DataFrame, int], None], checkpoint: str, files: int = 50, name: str | None = None) -> StreamingQuery:
     """Hands new JSON files of a folder to work, so many at a time; what is done is in the checkpoint."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
-    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return process_new(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder), work, checkpoint, name)
