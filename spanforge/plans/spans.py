@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -125,16 +125,29 @@ def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.withColumns({"start_pos": F.when(h == 1, F.col("start_pos") + 1).otherwise(F.col("start_pos")), "pii_type": F.when((h == 2) & (F.col("pii_type") == "person_name"), "individual").otherwise(F.col("pii_type"))})
 
 
+def _with_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their rule spans and, made of these, the ground truth of _truth(): one extraction, both in the row."""
+
+    def true(s: Column) -> Column:
+        h = F.pmod(F.col("doc_id") * 7 + s["start_pos"], F.lit(10))
+        start = F.when(h == 1, s["start_pos"] + 1).otherwise(s["start_pos"])
+        kind = F.when((h == 2) & (s["pii_type"] == "person_name"), "individual").otherwise(s["pii_type"])
+        return F.struct(start.alias("start_pos"), s["end_pos"].alias("end_pos"), s["text"].alias("text"), kind.alias("pii_type"))
+
+    known = F.filter("spans", lambda s: F.pmod(F.col("doc_id") * 7 + s["start_pos"], F.lit(10)) != 0)
+    return _with_spans(spark, sf_dir).select("doc_id", "spans", F.transform(known, true).alias("truth"))
+
+
 def o142_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(V.match(_spans(spark, sf_dir), _truth(spark, sf_dir)))
+    return rounded(V.match_in_row(_with_truth(spark, sf_dir)))
 
 
 def o143_rates_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(V.rates(V.counts(_spans(spark, sf_dir), _truth(spark, sf_dir))))
+    return rounded(V.rates(V.counts_in_row(_with_truth(spark, sf_dir))))
 
 
 def o145_overall_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(V.overall(V.counts(_spans(spark, sf_dir), _truth(spark, sf_dir))))
+    return rounded(V.overall(V.counts_in_row(_with_truth(spark, sf_dir))))
 
 
 def o148_redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
