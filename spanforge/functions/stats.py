@@ -1,4 +1,4 @@
-"""Distributions as column expressions: tails of F and t, and quantiles of t."""
+"""Distributions as column expressions: tails of F and t, and quantiles of t; means that do not depend on the order of addition."""
 
 from __future__ import annotations
 
@@ -10,6 +10,23 @@ from pyspark.sql import functions as F
 #: Coefficients of Stirling's series, B(2k) / (2k (2k - 1)).
 STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
 _SHIFT = 8
+MILLION = 1_000_000
+
+
+def millionths(x: Column) -> Column:
+    """x as a whole number of millionths: sums of these are exact, whatever the order of rows."""
+    return F.round(x * MILLION).cast("long")
+
+
+def mean_of_millionths(total: Column, n: Column) -> Column:
+    """total / n rounded to a millionth, halves away from 0; null if n is 0."""
+    whole = F.call_function("div", 2 * F.abs(total) + n, F.nullif(2 * n, F.lit(0)))
+    return F.when(total < 0, -whole).otherwise(whole) / MILLION
+
+
+def mean_reaches(total: Column, n: Column, least: float) -> Column:
+    """Whether total millionths over n are least or more, compared as whole numbers."""
+    return total >= round(least * MILLION) * n
 
 
 def ln_gamma(x: Column) -> Column:

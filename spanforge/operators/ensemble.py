@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import mean_of_millionths, mean_reaches, millionths
 from ..functions.text import words_jaccard, words_of
 
 
@@ -71,9 +72,12 @@ def exact_groups(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def exact_vote(spans: DataFrame, method: str, least: float = 0.7, extractors: int = 2, key: str = "doc_id") -> DataFrame:
-    """Votes over exact groups: weighted (a single span passes, more need their mean to), union, or majority of the extractors."""
+    """Votes over exact groups: weighted (a single span passes, more need their mean to), union, or majority of the extractors.
+
+    Confidences count in millionths, so that a mean of just `least` passes in whatever order its members come.
+    """
     best = F.max_by(F.struct("text", "confidence", "start_pos", "end_pos"), F.struct("confidence", -F.col("extractor_rank"), -F.col("start_pos"), -F.col("end_pos")))
-    out = exact_groups(spans, key).groupBy(key, "grp", "pii_type").agg(best.alias("b"), F.count("*").alias("votes"), F.avg("confidence").alias("mean"))
-    wins = {"weighted": (F.col("votes") == 1) | (F.col("mean") >= least), "union": F.lit(True), "majority": F.col("votes") > extractors / 2}[method]
-    confidence = F.col("mean") if method == "weighted" else F.col("b.confidence")
+    out = exact_groups(spans, key).groupBy(key, "grp", "pii_type").agg(best.alias("b"), F.count("*").alias("votes"), F.sum(millionths(F.col("confidence"))).alias("total"), F.count("confidence").alias("n"))
+    wins = {"weighted": (F.col("votes") == 1) | mean_reaches(F.col("total"), F.col("n"), least), "union": F.lit(True), "majority": F.col("votes") > extractors / 2}[method]
+    confidence = mean_of_millionths(F.col("total"), F.col("n")) if method == "weighted" else F.col("b.confidence")
     return out.filter(wins).select(key, "pii_type", "b.text", confidence.alias("confidence"), "b.start_pos", "b.end_pos", "votes")

@@ -255,6 +255,9 @@ _PARTS = "regexp_extract_all(text, '\\S+')"
 _FIRST_OF = f"{R}{_BOTH}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, pii_type ORDER BY rank, start_pos, end_pos) AS n FROM two)"
 _EXACT = f"""{R}{_BOTH}, g AS (SELECT doc_id, pii_type, arg_max({{'t': text, 'c': confidence, 's': start_pos}}, row(confidence, -rank, -start_pos, -end_pos)) AS b, count(*) AS votes, avg(confidence) AS mean FROM two GROUP BY doc_id, lower(text), pii_type)
 SELECT doc_id, pii_type, b.t AS text, round(@score, 6) AS confidence, b.s AS start_pos, votes FROM g WHERE @wins"""
+#: Confidences in millionths, whose sum is exact in any order, and their mean, halves rounded away from 0.
+_TOTAL = "sum(round(confidence * 1000000)::BIGINT)::BIGINT"
+_MEAN = "(sign(total) * ((2 * abs(total) + {n}) // (2 * {n})) / 1000000::DOUBLE)"
 # Steps that depend on those before are recursions in SQL: a row for each step of a group, with lists of what was taken so far.
 _R = "WITH RECURSIVE " + RULE_SPANS_SQL.replace("round(confidence, 6) AS confidence", "confidence")
 
@@ -344,7 +347,7 @@ SELECT doc_id, pii_type, b.t AS text, round(b.c, 6) AS confidence, f[2] AS start
   WHEN 'PERSON' THEN CASE WHEN len({_PARTS}) >= 2 AND regexp_matches(replace(text, ' ', ''), '^\\p{{L}}+$') THEN 0.9 ELSE 0.7 END
   WHEN 'ADDRESS' THEN 0.8 WHEN 'ID_NUMBER' THEN 0.9 WHEN 'ORGANIZATION' THEN 0.75 ELSE 0.7 END::DOUBLE, 6) AS confidence
 FROM (SELECT *, {_UPPER} AS kind FROM spans)""",
-    "o138_exact_weighted": _EXACT.replace("@score", "mean").replace("@wins", "votes = 1 OR mean >= 0.7::DOUBLE"),
+    "o138_exact_weighted": _EXACT.replace("avg(confidence) AS mean", f"{_TOTAL} AS total").replace("@score", _MEAN.format(n="votes")).replace("@wins", "votes = 1 OR total >= 700000 * votes"),
     "o138_exact_union": _EXACT.replace("@score", "b.c").replace("@wins", "true"),
     "o138_exact_majority": _EXACT.replace("@score", "b.c").replace("@wins", "votes > 1"),
     "o136_similar_groups": _GROUPED + " SELECT doc_id, pii_type, text, round(confidence, 6) AS confidence, start_pos, end_pos, extractor, rank AS extractor_rank, grp FROM g",
