@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import mean_of_millionths, mean_reaches, millionths
 from ..functions.text import digits
 
 #: Category of each type, identity if unknown; and what a role may see.
@@ -143,8 +144,10 @@ def apply_corrections(spans: DataFrame, corrections: DataFrame, key: Sequence[st
 
 
 def accept(spans: DataFrame, least: float = 0.7, key: str = "doc_id", flags: Mapping[str, str] | None = None) -> DataFrame:
-    """Documents whose spans are taken as they are: any, with at least the mean confidence asked for."""
-    return spans.groupBy(key).agg(F.count("*").alias("spans"), F.avg("confidence").alias("mean")).withColumn("accepted", (F.col("spans") > 0) & (F.col("mean") >= least))
+    """Documents whose spans are taken as they are: any, with at least the mean confidence asked for. Confidences count in millionths."""
+    out = spans.groupBy(key).agg(F.count("*").alias("spans"), F.sum(millionths(F.col("confidence"))).alias("_total"), F.count("confidence").alias("_n"))
+    total, n = F.col("_total"), F.col("_n")
+    return out.select(key, "spans", mean_of_millionths(total, n).alias("mean"), ((F.col("spans") > 0) & mean_reaches(total, n, least)).alias("accepted"))
 
 
 def jaccard_of_sets(a: Column, b: Column) -> Column:

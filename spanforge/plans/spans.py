@@ -372,7 +372,7 @@ FROM m JOIN said p USING (doc_id, kind, i) JOIN true_ t USING (doc_id, kind, j)
     "o152_noisy_counts": R + """, n AS (SELECT pii_type, count(*) AS spans, (('0x' || substr(md5('salt|' || pii_type), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE - 0.5::DOUBLE AS u FROM spans GROUP BY ALL)
 SELECT pii_type, spans, greatest(trunc(spans - sign(u) * ln(1 - 2 * abs(u)))::BIGINT, 0) AS noisy FROM n""",
     "o215_corrected_spans": R + """SELECT doc_id, start_pos, end_pos, CASE WHEN (doc_id + start_pos) % 5 = 1 THEN 'organization' ELSE pii_type END AS pii_type, CASE WHEN (doc_id + start_pos) % 5 = 2 THEN upper(text) ELSE text END AS text, confidence FROM spans WHERE (doc_id + start_pos) % 5 <> 0""",
-    "o216_accepted": R + "SELECT doc_id, count(*) AS spans, round(avg(confidence), 6) AS mean, avg(confidence) >= 0.7::DOUBLE AS accepted FROM spans GROUP BY doc_id",
+    "o216_accepted": R + f", g AS (SELECT doc_id, count(*) AS spans, {_TOTAL} AS total FROM spans GROUP BY doc_id) SELECT doc_id, spans, round({_MEAN.format(n='spans')}, 6) AS mean, total >= 700000 * spans AS accepted FROM g",
     "o118_rule_spans": f"WITH {RULE_SPANS_SQL} SELECT * FROM spans",
     "o119_dictionary_spans": f"""WITH documents AS (SELECT c_custkey AS doc_id, 'Account number: ' || lpad(c_custkey::VARCHAR, 9, '0') || ' of ' || c_name || '. Contact by e-mail or phone; badge ' || (c_nationkey + 1000)::VARCHAR || ', MRN: ' || (c_custkey + 7000000)::VARCHAR || ', numéro d''employé ' || c_mktsegment || '.' AS text, NULL AS lang, NULL AS source FROM customer), {DICTIONARY_SPANS_SQL} SELECT doc_id, text, pii_type, confidence, start_pos, end_pos, extractor, dictionary FROM spans""",
 }
