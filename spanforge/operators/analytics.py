@@ -168,8 +168,12 @@ def average_rank(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def ends_compared(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, n: int = 5, band: float = 0.05) -> DataFrame:
     """Mean of the first n and the last n values of each group, and the trend between them."""
-    up, down = (F.row_number().over(Window.partitionBy(*by).orderBy(*(o(c) for c in order))) for o in (F.asc, F.desc))
-    out = rows.withColumns({"up": up, "down": down}).groupBy(*by).agg(F.avg(F.when(F.col("up") <= n, F.col(value))).alias("first"), F.avg(F.when(F.col("down") <= n, F.col(value))).alias("last"))
+    ends = []
+    for end, o in (("first", F.asc), ("last", F.desc)):
+        # a limit on the row number is kept by each task before rows are dealt by group, so that a group's task gets n rows of each
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(*(o(c) for c in order)))
+        ends.append(rows.select(*by, *(c for c in order if c not in by), F.col(value).alias("_v")).withColumn("_n", place).filter(F.col("_n") <= n).select(*by, F.lit(end).alias("_end"), "_v"))
+    out = ends[0].unionAll(ends[1]).groupBy(*by).agg(*(F.avg(F.when(F.col("_end") == end, F.col("_v"))).alias(end) for end in ("first", "last")))
     return out.withColumn("trend", F.when(F.col("last") > F.col("first") * (1 + band), "improving").when(F.col("last") < F.col("first") * (1 - band), "declining").otherwise("stable"))
 
 
