@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
+from ..sources.sinks import checkpointed
 
 #: Type of each label of a tagger, words that are no names.
 LABELS = {"PER": "person_name", "ORG": "organization", "LOC": "location", "MISC": "misc_pii"}
@@ -129,6 +130,7 @@ def weighted_rates(pairs: DataFrame, truth: str = "truth", predicted: str = "pre
 
 def model_profiles(summary: DataFrame, columns: Sequence[str], k: int = 3, seed: int = 7) -> DataFrame:
     """Clusters of models by their standardised measures, at most k and no more than there are models."""
+    summary = checkpointed(summary)  # a row for each model; every step of the fit reads them again
     n = min(k, summary.count())
     if n < 2:
         return summary.withColumn("profile", F.lit(0))
