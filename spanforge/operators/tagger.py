@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\+?\w+(?:[@.%+\-/:']+\w+)*")
 #: Numbers that shapes are hashed to.
 SHAPES = 1 << 14
+#: Texts whose sequences are searched side by side.
+ABREAST = 256
 OUT = "O"
 
 
@@ -30,6 +33,11 @@ def shape(word: str, before: str) -> int:
 
     Letters after the second of a run don't count.
     """
+    return _shape(word, "_" if before.isspace() else "^" if not before else "|")
+
+
+@lru_cache(1 << 16)
+def _shape(word: str, gap: str) -> int:
     parts, last, n = [], "", 0
     for c in word:
         kind = "d" if c.isdigit() else c if not c.isalpha() else ("X" if c.isupper() else "x") if c.isascii() else ("Y" if c.isupper() else "y")
@@ -42,7 +50,6 @@ def shape(word: str, before: str) -> int:
         elif kind not in "XxYy" or n <= 2:
             parts.append(kind)
         last = kind
-    gap = "_" if before.isspace() else "^" if not before else "|"
     return zlib.crc32(f"{gap}{''.join(parts[:40])}".encode()) % SHAPES
 
 
@@ -51,7 +58,7 @@ def words(text: str) -> tuple[list[tuple[int, int]], list[int]]:
     places, shapes, end = [], [], 0
     for m in WORD.finditer(text):
         places.append(m.span())
-        shapes.append(shape(m[0], text[end : m.start()] if places[1:] else ""))
+        shapes.append(shape(m[0], text[end : m.start()] if len(places) > 1 else ""))
         end = m.end()
     return places, shapes
 
@@ -104,54 +111,101 @@ class Tagger:
 
     def likeliest(self, shapes: Sequence[int]) -> list[int]:
         """Viterbi: the tags of the likeliest sequence from O to O."""
-        if not len(shapes):
-            return []
-        seen = self.shows[:, shapes].T
-        score = self.step[self.tags.index(OUT)] + seen[0]
-        back = np.zeros((len(shapes), len(self.tags)), np.int32)
-        for k in range(1, len(shapes)):
-            every = score[:, None] + self.step
-            back[k] = every.argmax(0)
-            score = every[back[k], np.arange(len(self.tags))] + seen[k]
-        best = [int((score + self.step[:, self.tags.index(OUT)]).argmax())]
-        for k in range(len(shapes) - 1, 0, -1):
-            best.append(int(back[k][best[-1]]))
-        return best[::-1]
+        return self.likeliest_each([shapes])[0]
 
     def shares(self, shapes: Sequence[int], ranges: Sequence[tuple[int, int, list[int]]]) -> list[float]:
         """Of each range of words and its tags: the share that sequences with these tags have in the probability of all."""
-        seen, n, o = self.shows[:, shapes].T, len(shapes), self.tags.index(OUT)
-        ahead, behind = np.zeros((n, len(self.tags))), np.zeros((n, len(self.tags)))
-        ahead[0] = self.step[o] + seen[0]
-        for k in range(1, n):
-            ahead[k] = np.logaddexp.reduce(ahead[k - 1][:, None] + self.step, axis=0) + seen[k]
-        behind[-1] = self.step[:, o]
-        for k in range(n - 2, -1, -1):
-            behind[k] = np.logaddexp.reduce(self.step + (seen[k + 1] + behind[k + 1])[None], axis=1)
-        total = np.logaddexp.reduce(ahead[-1] + behind[-1])
+        return self.shares_each([shapes], [ranges])[0]
+
+    def likeliest_each(self, several: Sequence[Sequence[int]]) -> list[list[int]]:
+        """likeliest() of several sequences, the longest first, which go abreast."""
+        o, n, t = self.tags.index(OUT), len(several), len(self.tags)
+        sizes = np.array([len(s) for s in several])
+        codes = _padded(several)
+        score, back, out = np.empty((n, t)), np.zeros((codes.shape[1], n, t), np.int16), []
+        for k in range(codes.shape[1]):
+            m = int(np.searchsorted(-sizes, -k, "left"))
+            seen = self.shows.T[codes[:m, k]]
+            if k:
+                best = score[:m, :1] + self.step[0]
+                for a in range(1, t):
+                    other = score[:m, a : a + 1] + self.step[a]
+                    back[k, :m][other > best] = a
+                    np.maximum(best, other, out=best)
+                score[:m] = best + seen
+            else:
+                score[:m] = self.step[o] + seen
+        last = (score + self.step[:, o]).argmax(1)
+        for i, size in enumerate(sizes):
+            best = [int(last[i])] if size else []
+            for k in range(size - 1, 0, -1):
+                best.append(int(back[k, i, best[-1]]))
+            out.append(best[::-1])
+        return out
+
+    def shares_each(self, several: Sequence[Sequence[int]], ranges: Sequence[Sequence[tuple[int, int, list[int]]]]) -> list[list[float]]:
+        """shares() of several sequences, the longest first.
+
+        Probabilities are scaled word by word (forward-backward), so that none runs out of a double's range.
+        """
+        o, step, sizes = self.tags.index(OUT), np.exp(self.step), np.array([len(s) for s in several])
+        codes = _padded(several)
+        n, longest, t = *codes.shape, len(self.tags)
+        seen = self.shows.T[codes]
+        seen = np.exp(seen - seen.max(2, keepdims=True))
+        ahead, behind, scale = np.zeros((longest, n, t)), np.zeros((longest, n, t)), np.ones((longest, n))
+        for k in range(longest):
+            m = int(np.searchsorted(-sizes, -k, "left"))
+            now = (ahead[k - 1, :m] @ step if k else step[o]) * seen[:m, k]
+            scale[k, :m] = now.sum(1)
+            ahead[k, :m] = now / scale[k, :m, None]
+        for k in range(longest - 1, -1, -1):
+            m, more = (int(np.searchsorted(-sizes, -x, "left")) for x in (k, k + 1))
+            behind[k, more:m] = step[:, o]
+            if more:
+                behind[k, :more] = (seen[:more, k + 1] * behind[k + 1, :more] / scale[k + 1, :more, None]) @ step.T
         out = []
-        for i, j, t in ranges:
-            score = ahead[i][t[0]] + sum(self.step[t[k - 1 - i], t[k - i]] + seen[k][t[k - i]] for k in range(i + 1, j))
-            out.append(float(np.exp(score + behind[j - 1][t[-1]] - total)))
+        for w, own in enumerate(ranges):
+            total = ahead[sizes[w] - 1, w] @ step[:, o]
+            out.append([])
+            for i, j, tags in own:
+                p = ahead[i, w, tags[0]] * behind[j - 1, w, tags[-1]] / total
+                for k in range(i + 1, j):
+                    p *= step[tags[k - 1 - i], tags[k - i]] * seen[w, k, tags[k - i]] / scale[k, w]
+                out[-1].append(float(p))
         return out
 
     def __call__(self, texts: list[str]) -> list[list[tuple[str, str, float, int, int]]]:
         """Spans (text, type, confidence, start, end) of each text, as operators.extract.model_spans takes them."""
-        out = []
-        for text in texts:
-            places, shapes = words(text)
-            best, ranges = self.likeliest(shapes), []
-            for k, t in enumerate(best):
-                if self.tags[t].startswith("B-"):
-                    ranges.append([k, k + 1, [t]])
-                elif self.tags[t].startswith("I-"):
-                    ranges[-1][1] = k + 1
-                    ranges[-1][2].append(t)
-            sure = self.shares(shapes, ranges) if ranges else []
-            out.append([(text[places[i][0] : places[j - 1][1]], self.tags[t[0]][2:], p, places[i][0], places[j - 1][1]) for (i, j, t), p in zip(ranges, sure, strict=True)])
+        out, cut = [[] for _ in texts], [words(text) for text in texts]
+        order = sorted((i for i, (places, _) in enumerate(cut) if places), key=lambda i: -len(cut[i][0]))
+        for start in range(0, len(order), ABREAST):
+            block, found = order[start : start + ABREAST], {}
+            for i, best in zip(block, self.likeliest_each([cut[i][1] for i in block]), strict=True):
+                ranges = []
+                for k, t in enumerate(best):
+                    if self.tags[t].startswith("B-"):
+                        ranges.append([k, k + 1, [t]])
+                    elif self.tags[t].startswith("I-"):
+                        ranges[-1][1] = k + 1
+                        ranges[-1][2].append(t)
+                if ranges:
+                    found[i] = ranges
+            sure = self.shares_each([cut[i][1] for i in found], list(found.values())) if found else []
+            for (i, ranges), shares in zip(found.items(), sure, strict=True):
+                places = cut[i][0]
+                out[i] = [(texts[i][places[a][0] : places[b - 1][1]], self.tags[t[0]][2:], p, places[a][0], places[b - 1][1]) for (a, b, t), p in zip(ranges, shares, strict=True)]
         return out
 
 
+def _padded(several: Sequence[Sequence[int]]) -> np.ndarray:
+    """Sequences as rows of one array, filled up with 0."""
+    out = np.zeros((len(several), max(map(len, several), default=0)), np.int32)
+    for row, s in zip(out, several, strict=True):
+        row[: len(s)] = s
+    return out
+
+
 def fitted(counts: DataFrame, smooth: float = 0.01) -> Tagger:
     """The tagger of counted(): a row for each pair of tags and each shape under a tag, of which there are at most SHAPES times the tags.
 
