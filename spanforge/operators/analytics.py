@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import f_tail, t_quantile, t_tails
 from ..functions.text import ratio
-from .scan import lasts, percentiles, scanned
+from .scan import percentiles, trailed
 
 DIFFICULTIES = ("Easy", "Medium", "Hard", "Very Hard")
 #: Weights of variance scores, thresholds of ratings.
@@ -152,11 +152,7 @@ def histogram(rows: DataFrame, value: str, least: float, most: float, bins: int)
 
 def rolling_mean(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, width: int = 5) -> DataFrame:
     """Mean of each row's value and those of the width - 1 rows before it, nulls left out."""
-    lift = {"last": F.array(F.col(value).cast("double"))}
-    out = scanned(rows, by, order, lift, lasts(width), {"last": F.array().cast("array<double>")})
-    known = F.filter(F.col("_upto")["last"], lambda x: x.isNotNull())
-    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
-    return out.withColumn("rolling_mean", F.when(F.size(known) > 0, mean)).drop("_before", "_upto")
+    return trailed(rows, by, order, width, lambda w: F.avg(F.col(value).cast("double")).over(w), "rolling_mean")
 
 
 def average_rank(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -2,20 +2,22 @@
 
 scanned() is a prefix scan: rows are dealt by range and keep that place, blocks of BLOCK of them are folded, and the totals of blocks are
 scanned in the same way until a block holds all that is left of a group. percentiles() narrows brackets by counts: each round deals
-the values of a bracket to bins, and the bin that holds the wanted rank is the next bracket.
+the values of a bracket to bins, and the bin that holds the wanted rank is the next bracket. trailed() is for what reaches back a fixed number of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.sinks import checkpointed
 
 #: Rows, or totals, that are folded in one place.
 BLOCK = 256
+#: Rows of a stretch of trailed().
+STRETCH = 1 << 16
 #: Bins of a bracket, and brackets up to which they are broadcast.
 BINS, BROADCAST_BRACKETS = 512, 100_000
 
@@ -87,6 +89,20 @@ def scanned(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], l
     return _blocks(packed, by, combine, zero, block).select("_row.*", "_before", "_upto")
 
 
+def trailed(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], width: int, value: Callable[[WindowSpec], Column], name: str, stretch: int = STRETCH) -> DataFrame:
+    """Adds value over each row and the width - 1 rows of its group before it.
+
+    What reaches back a fixed number of rows needs no scan: places are cut into stretches, and a stretch also gets the last width - 1 rows of the one before.
+    """
+    stretch = max(stretch, width)
+    laid = placed(rows, [*by, *order])
+    own = F.floor(F.col("_place") / stretch)
+    ends = F.col("_place") % stretch >= stretch - (width - 1)
+    dealt = laid.withColumn("_stretch", F.explode(F.when(ends, F.array(own, own + 1)).otherwise(F.array(own))))
+    frame = Window.partitionBy(*by, "_stretch").orderBy("_place").rowsBetween(1 - width, 0)  # stretch + width - 1 rows at most
+    return dealt.withColumn(name, value(frame)).filter(F.col("_stretch") == own).drop("_place", "_stretch")
+
+
 def sums(*names: str) -> tuple[Callable[[State, State], State], State]:
     """Rule and zero of running sums."""
     return lambda a, b: {k: a[k] + b[k] for k in names}, {k: F.lit(0) for k in names}

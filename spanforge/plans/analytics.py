@@ -140,7 +140,7 @@ def o097_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(W + "SELECT document_id, model, round(avg(latency) OVER (PARTITION BY model ORDER BY timestamp, document_id, latency ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS rolling_mean FROM performance")
 def o098_rolling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(A.rolling_mean(performance(spark, sf_dir), ["model"], ["timestamp", "document_id", "latency"], "latency").select("document_id", "model", "rolling_mean"))
+    return rounded(A.rolling_mean(performance(spark, sf_dir).select("document_id", "model", "timestamp", "latency"), ["model"], ["timestamp", "document_id", "latency"], "latency").select("document_id", "model", "rolling_mean"))
 
 
 @query(W + ", g4 AS (SELECT domain, document_name, count(*) AS n FROM performance GROUP BY ALL) SELECT domain, document_name, n, round(rank() OVER (PARTITION BY domain ORDER BY n DESC) + (count(*) OVER (PARTITION BY domain, n) - 1) / 2.0::DOUBLE, 2) AS rank FROM g4")
