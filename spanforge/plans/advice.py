@@ -12,7 +12,7 @@ from ..operators import models as M
 from ..operators import privacy as P
 from ..operators import spans as S
 from .ledger import rounded
-from .spans import RULE_SPANS_SQL, _UPPER, _spans, _truth, _two
+from .spans import RULE_SPANS_SQL, _UPPER, _doubled, _spans, _stored_spans, _truth_of
 from .tables import LEDGER_SQL, PERFORMANCE_SQL, documents, ledger, performance, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -56,8 +56,9 @@ def o123_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def o139_meta_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = M.span_features(_two(spark, sf_dir))
-    model = M.train_meta(M.labelled(two, _truth(spark, sf_dir)))
+    spans = _stored_spans(spark, sf_dir)
+    two = M.span_features(_doubled(spans))
+    model = M.train_meta(M.labelled(two, _truth_of(spans)))
     return rounded(M.meta(N.exact_groups(two), model))
 
 

@@ -17,7 +17,7 @@ from ..operators import quality as Q
 from ..operators import routing as R
 from ..sources import files
 from .ledger import batch_documents, rounded
-from .spans import _BLOCKS, _MATCHED, RULE_SPANS_SQL, _rewritten, _spans, _truth, _two
+from .spans import _BLOCKS, _MATCHED, RULE_SPANS_SQL, _rewritten, _doubled, _stored_spans, _truth_of, _two
 from .tables import LEDGER_SQL, PERFORMANCE_SQL, documents, ledger, performance, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -104,8 +104,8 @@ WHERE NOT EXISTS (FROM m JOIN said USING (doc_id, kind, i) WHERE said.doc_id = s
 ORDER BY spans.confidence DESC, doc_id, start_pos, pii_type LIMIT 10""")
 def o144_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten likeliest predictions that no truth matches."""
-    p = _spans(spark, sf_dir)
-    hit = V.match(p, _truth(spark, sf_dir)).select("doc_id", F.col("p_start").alias("start_pos"), F.col("p_end").alias("end_pos"), F.col("p_text").alias("text"))
+    p = _stored_spans(spark, sf_dir)
+    hit = V.match(p, _truth_of(p)).select("doc_id", F.col("p_start").alias("start_pos"), F.col("p_end").alias("end_pos"), F.col("p_text").alias("text"))
     return rounded(p.join(hit, ["doc_id", "start_pos", "end_pos", "text"], "left_anti").orderBy(F.desc("confidence"), "doc_id", "start_pos", "pii_type").limit(10).drop("context"))
 
 
@@ -121,7 +121,8 @@ def o146_coerced_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def o147_models_against_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro means over documents of each model's rates."""
-    per = V.rates(X.cross_evaluate(_two(spark, sf_dir), _truth(spark, sf_dir), V.counts))
+    spans = _stored_spans(spark, sf_dir)
+    per = V.rates(X.cross_evaluate(_doubled(spans), _truth_of(spans), V.counts))
     return rounded(per.groupBy("model").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), F.countDistinct("doc_id").alias("documents")), 6)
 
 
