@@ -15,7 +15,7 @@ from ..operators import privacy as P
 from ..operators import spans as S
 from ..sources.sinks import checkpointed
 from .tables import documents as docs
-from .tables import table
+from .tables import spread, table
 
 SCORE = {"confidence": 6}
 
@@ -32,7 +32,7 @@ def o118_rule_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def o119_dictionary_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over a card for each customer, as no document holds any of the dictionaries' terms."""
     card = F.concat(F.lit("Account number: "), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(" of "), "c_name", F.lit(". Contact by e-mail or phone; badge "), (F.col("c_nationkey") + 1000).cast("string"), F.lit(", MRN: "), (F.col("c_custkey") + 7000000).cast("string"), F.lit(", numéro d'employé "), "c_mktsegment", F.lit("."))
-    cards = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), card.alias("text"))
+    cards = spread(table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("doc_id"), card.alias("text"))
     return rounded(E.dictionary_spans(cards, types=None).drop("context"))
 
 
