@@ -17,7 +17,7 @@ from ..operators import quality as Q
 from ..operators import routing as R
 from ..sources import files
 from .ledger import batch_documents, rounded
-from .spans import _BLOCKS, _MATCHED, RULE_SPANS_SQL, _rewritten, _doubled, _stored_spans, _truth_of, _two
+from .spans import _BLOCKS, _MATCHED, RULE_SPANS_SQL, _rewritten, _doubled, _spans, _stored_spans, _truth_of, _two
 from .tables import LEDGER_SQL, PERFORMANCE_SQL, documents, ledger, performance, table
 
 QUERIES, ORACLE_SQL = {}, {}
